@@ -1,2 +1,218 @@
-QUERIES = {}
-ORACLES = {}
+"""Column functions over whole tables and whole texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+from fieldtrust.carriers import account_number, rendered_date, table
+from fieldtrust.catalog.sql import RECORDS, n1, n2, n3, n4, rendered_date as sql_date
+from fieldtrust.functions import masking, normalize, parsing
+
+
+def normalize_strings(spark, sf):
+    docs = table(spark, sf, "documents")
+    n = normalize.normalize_string(F.col("text"))
+    return docs.select("doc_id", F.md5(n).alias("digest"), F.length(n).cast("bigint").alias("n_chars"))
+
+
+def normalize_addresses(spark, sf):
+    docs = table(spark, sf, "documents")
+    n = normalize.normalize_address(F.col("text"))
+    return docs.select("doc_id", F.md5(n).alias("digest"), F.length(n).cast("bigint").alias("n_chars"))
+
+
+def normalize_numbers(spark, sf):
+    """Order totals written in ways by key: plain, with currency, in brackets, broken."""
+    o = table(spark, sf, "orders")
+    k, v = F.col("o_orderkey"), F.format_number("o_totalprice", 2)
+    written = (
+        F.when(k % 5 == 0, v).when(k % 5 == 1, F.concat(F.lit("INR "), v))
+        .when(k % 5 == 2, F.concat(F.lit("("), v, F.lit(")")))
+        .when(k % 5 == 3, F.concat(v, F.lit(".9"))).otherwise(F.lit("N/A"))
+    )
+    return o.select("o_orderkey", normalize.normalize_number(written).alias("number"))
+
+
+def normalize_dates(spark, sf):
+    """Order dates in seven forms, some padded, some impossible."""
+    o = table(spark, sf, "orders")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    written = (
+        F.when(k % 31 == 0, F.lit(" 30/02/2024 ")).when(k % 37 == 0, F.lit("next week"))
+        .when(k % 41 == 0, F.concat(F.lit("  "), rendered_date(k, d), F.lit("\t")))
+        .when(k % 43 == 0, F.concat_ws("/", F.month(d), F.dayofmonth(d), F.year(d)))
+        .when(k % 47 == 0, F.lower(rendered_date(k, d)))
+        .otherwise(rendered_date(k, d))
+    )
+    return o.select("o_orderkey", normalize.normalize_date(written).alias("iso"))
+
+
+def parse_import_values(spark, sf):
+    """Import parsers on written order values; a bad amount is reported, not guessed."""
+    o = table(spark, sf, "orders")
+    k, v = F.col("o_orderkey"), F.format_number("o_totalprice", 2)
+    amount = F.when(k % 7 == 0, F.lit("")).when(k % 11 == 0, F.lit("n/a")).otherwise(F.concat(F.lit("INR "), v))
+    money = F.when(k % 3 == 0, v).otherwise(F.concat(F.when(k % 2 == 0, "USD").otherwise("EUR"), F.lit(" "), v))
+    day = (
+        F.when(k % 13 == 0, F.lit("05/2020")).when(k % 17 == 0, F.lit("x/5/2020"))
+        .otherwise(F.concat_ws("/", F.dayofmonth("o_orderdate"), F.month("o_orderdate"), F.year("o_orderdate")))
+    )
+    bank_day = (
+        F.when(k % 5 == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+        .when(k % 5 == 1, F.date_format("o_orderdate", "d/M/yyyy"))
+        .when(k % 5 == 2, F.lit("")).otherwise(F.lit("2024-99-99"))
+    )
+    ref = F.when(k % 4 == 0, F.lit("-")).when(k % 4 == 1, F.lit("")).when(k % 4 == 2, F.col("o_orderpriority"))
+    return o.select(
+        "o_orderkey",
+        parsing.parse_amount(amount).alias("amount"), parsing.amount_bad(amount).alias("amount_bad"),
+        parsing.parse_currency(money).alias("currency"),
+        parsing.parse_slash_date(day).alias("day"), parsing.slash_date_bad(day).alias("day_bad"),
+        parsing.parse_statement_date(bank_day).alias("bank_day"),
+        parsing.normalize_ref_no(ref).alias("ref_no"),
+    )
+
+
+def mask_documents(spark, sf):
+    """All digits of a whole text but the last four."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.md5(masking.mask_account_number(F.col("text"))).alias("digest"))
+
+
+def mask_accounts(spark, sf):
+    c = table(spark, sf, "customer").select(
+        "c_custkey", account_number(F.col("c_custkey") * 7919).alias("account_number")
+    )
+    one = masking.mask_account_number(F.col("account_number"), 1)
+    return masking.mask_statements(c.withColumn("last_digit", one))
+
+
+def document_types(spark, sf):
+    """Type by tag, by default and by name prefix."""
+    docs = table(spark, sf, "documents")
+    tag = F.when(F.col("doc_id") % 3 == 0, F.lit("bank_statement")).when(F.col("doc_id") % 3 == 1, F.lit(None))
+    tag = tag.otherwise(F.lit("")).cast("string")
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("bankstmt_")).otherwise(F.lit("doc_")), F.col("doc_id"))
+    return docs.select(
+        "doc_id", parsing.truth_doc_type(tag).alias("truth_type"),
+        parsing.training_doc_type(tag, name).alias("training_type"),
+    )
+
+
+def router_texts(spark, sf):
+    docs = table(spark, sf, "documents")
+    kept = parsing.training_text(F.col("text"))
+    return docs.select("doc_id", F.md5(kept).alias("digest"), F.length(kept).cast("bigint").alias("n_chars")).filter(
+        F.col("digest").isNotNull()
+    )
+
+
+def fingerprints(spark, sf):
+    docs = table(spark, sf, "documents")
+    version = F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string"))
+    return docs.select("doc_id", parsing.fingerprint_column(F.lit("rules"), version, F.col("source")).alias("fingerprint"))
+
+
+def _error_text() -> Column:
+    k = F.col("event_id")
+    return (
+        F.when(k % 6 == 0, F.lit("429 RESOURCE_EXHAUSTED: tokens per minute (TPM) 'retryDelay': '9.5s'"))
+        .when(k % 6 == 1, F.lit("429 PerDay tokens per day (TPD)"))
+        .when(k % 6 == 2, F.lit("503 UNAVAILABLE"))
+        .when(k % 6 == 3, F.lit("429 quota limit: 0"))
+        .when(k % 6 == 4, F.lit("429 slow down"))
+        .otherwise(F.lit("bad JSON"))
+    )
+
+
+def error_log(spark, sf):
+    e = table(spark, sf, "events").filter(F.col("event_type") == "error")
+    text = F.concat(F.lit("doc_"), F.col("user_id"), F.lit(".pdf: "), _error_text())
+    return e.select("event_id", text.alias("error"))
+
+
+def error_classes(spark, sf):
+    e = F.col("error")
+    return error_log(spark, sf).select(
+        "event_id", parsing.error_class(e).alias("error_class"), parsing.error_doc(e).alias("doc_name"),
+        parsing.failure_kind(e).alias("failure_kind"), parsing.retry_delay_s(e).alias("retry_delay_s"),
+    )
+
+
+def confidence_bands(spark, sf):
+    c = F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)
+    bands = table(spark, sf, "events").select(
+        parsing.confidence_band(c).alias("band"), parsing.queue_band(c).alias("queue_band")
+    )
+    return bands.groupBy("band", "queue_band").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nested_paths(spark, sf):
+    """A dotted path in untyped JSON and in a typed record."""
+    e = table(spark, sf, "events")
+    doc = F.to_json(F.struct(F.struct(F.col("value").alias("total_tax")).alias("tax")))
+    return e.select(
+        "event_id", F.get_json_object(doc, "$.tax.total_tax").cast("double").alias("total_tax"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
+
+
+def label_paths(spark, sf):
+    """Nested total of the ground-truth records."""
+    from fieldtrust.carriers import invoice_records
+
+    return invoice_records(spark, sf).select("doc_name", F.col("tax.total_tax").alias("total_tax"), "due_date")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalize_strings, normalize_addresses, normalize_numbers, normalize_dates,
+        parse_import_values, mask_documents, mask_accounts, document_types, router_texts,
+        fingerprints, error_classes, confidence_bands, nested_paths, label_paths,
+    )
+}
+
+_V = "format('{:,.2f}', o_totalprice)"
+_K = "o_orderkey"
+_ERR = """CASE event_id % 6 WHEN 0 THEN '429 RESOURCE_EXHAUSTED: tokens per minute (TPM) ''retryDelay'': ''9.5s''' WHEN 1 THEN '429 PerDay tokens per day (TPD)'
+  WHEN 2 THEN '503 UNAVAILABLE' WHEN 3 THEN '429 quota limit: 0' WHEN 4 THEN '429 slow down' ELSE 'bad JSON' END"""
+_ACCOUNT = """CASE WHEN (c_custkey * 7919) % 2 = 0 THEN substr(d, 1, 4) || '-' || substr(d, 5, 4) || '-' || substr(d, 9, 4) ELSE d END"""
+
+ORACLES = {
+    "normalize_strings": f"SELECT doc_id, md5({n1('text')}) AS digest, length({n1('text')}) AS n_chars FROM documents",
+    "normalize_addresses": f"SELECT doc_id, md5({n2('text')}) AS digest, length({n2('text')}) AS n_chars FROM documents",
+    "normalize_numbers": f"""WITH w AS (SELECT o_orderkey, CASE {_K} % 5 WHEN 0 THEN {_V} WHEN 1 THEN 'INR ' || {_V} WHEN 2 THEN '(' || {_V} || ')'
+        WHEN 3 THEN {_V} || '.9' ELSE 'N/A' END AS x FROM orders) SELECT o_orderkey, {n3('x')} AS number FROM w""",
+    "normalize_dates": f"""WITH w AS (SELECT o_orderkey, CASE WHEN {_K} % 31 = 0 THEN ' 30/02/2024 ' WHEN {_K} % 37 = 0 THEN 'next week'
+        WHEN {_K} % 41 = 0 THEN {sql_date(_K, 'o_orderdate')} WHEN {_K} % 43 = 0 THEN month(o_orderdate) || '/' || day(o_orderdate) || '/' || year(o_orderdate)
+        WHEN {_K} % 47 = 0 THEN lower({sql_date(_K, 'o_orderdate')}) ELSE {sql_date(_K, 'o_orderdate')} END AS x FROM orders)
+        SELECT o_orderkey, {n4('x')} AS iso FROM w""",
+    "parse_import_values": f"""SELECT o_orderkey, CASE WHEN {_K} % 7 = 0 OR {_K} % 11 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS amount,
+        {_K} % 7 <> 0 AND {_K} % 11 = 0 AS amount_bad,
+        CASE WHEN {_K} % 3 = 0 THEN 'INR' WHEN {_K} % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
+        CASE WHEN {_K} % 13 = 0 OR {_K} % 17 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
+        {_K} % 13 <> 0 AND {_K} % 17 = 0 AS day_bad,
+        CASE {_K} % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN NULL ELSE '2024-99-99' END AS bank_day,
+        CASE WHEN {_K} % 4 = 2 THEN o_orderpriority END AS ref_no FROM orders""",
+    "mask_documents": r"""SELECT doc_id, md5(CASE WHEN regexp_matches(text, '(?s)^.*(?:[0-9][^0-9]*){4}$')
+        THEN regexp_replace(regexp_extract(text, '(?s)^(.*)((?:[0-9][^0-9]*){4})$', 1), '[0-9]', 'X', 'g') || regexp_extract(text, '(?s)^(.*)((?:[0-9][^0-9]*){4})$', 2)
+        ELSE text END) AS digest FROM documents""",
+    "mask_accounts": f"""WITH a AS (SELECT c_custkey, lpad((c_custkey * 7919)::VARCHAR, 12, '0') AS d FROM customer), b AS (SELECT c_custkey, {_ACCOUNT} AS x FROM a)
+        SELECT c_custkey, regexp_replace(left(x, length(x) - 4), '[0-9]', 'X', 'g') || right(x, 4) AS account_number,
+        regexp_replace(left(x, length(x) - 1), '[0-9]', 'X', 'g') || right(x, 1) AS last_digit FROM b""",
+    "document_types": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'bank_statement' WHEN 1 THEN 'invoice' ELSE '' END AS truth_type,
+        CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN 'bank_statement' ELSE 'invoice' END AS training_type FROM documents""",
+    "router_texts": "SELECT doc_id, md5(text) AS digest, length(text) AS n_chars FROM documents WHERE regexp_matches(text, '[^\\s\\p{Z}]')",
+    "fingerprints": "SELECT doc_id, sha256('rules' || 'v' || (doc_id % 3) || source) AS fingerprint FROM documents",
+    "error_classes": f"""WITH e AS (SELECT event_id, user_id, {_ERR} AS t FROM events WHERE event_type = 'error')
+        SELECT event_id, CASE WHEN t LIKE '%(TPM)%' THEN 'tpm' WHEN t LIKE '%(TPD)%' THEN 'tpd' ELSE 'other' END AS error_class,
+        'doc_' || user_id || '.pdf' AS doc_name,
+        CASE event_id % 6 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'permanent' WHEN 2 THEN 'busy' WHEN 3 THEN 'permanent' WHEN 4 THEN 'rate_limited' ELSE 'other' END AS failure_kind,
+        CASE event_id % 6 WHEN 0 THEN 11.5::DOUBLE WHEN 2 THEN 20.0::DOUBLE WHEN 4 THEN 65.0::DOUBLE END AS retry_delay_s FROM e""",
+    "confidence_bands": """WITH c AS (SELECT (props->>'$.k')::INTEGER AS p FROM events)
+        SELECT CASE WHEN p >= 90 THEN 'green' WHEN p >= 70 THEN 'yellow' ELSE 'red' END AS band,
+        CASE WHEN p >= 70 THEN 'yellow' ELSE 'red' END AS queue_band, count(*) AS n FROM c GROUP BY ALL""",
+    "nested_paths": "SELECT event_id, value AS total_tax, (props->>'$.k')::INTEGER AS k FROM events",
+    "label_paths": f"WITH {RECORDS} SELECT doc_name, tax AS total_tax, due_date FROM records",
+}

@@ -36,64 +36,38 @@ def normalize_number(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9.\-]", "").try_cast("double")
 
 
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    # A cast decides whether the calendar day exists, and unlike format parsers raises nothing
-    # on the rows that do not fit.
-    return F.concat_ws("-", year, month, day).try_cast("date")
+# One pattern for the forms that are not ISO already, rewritten to year-month-day. Groups that take
+# no part in a match are empty in the replacement, so the three alternatives share it.
+_WRITTEN = (
+    r"^(?:([a-z]+)\s+(\d{1,2}),\s+|(\d{1,2})\s+([a-z]+)\s+|(\d{1,2})([/.\-])(\d{1,2})\6)(\d{4})$"
+)
+_YEAR_MONTH_DAY = "$8-$1$4$7-$2$3$5"
 
 
 def normalize_date(c: Column) -> Column:
     """ISO date when one of the accepted forms fits, else the stripped input.
 
     Accepted, first fit wins: Y-m-d, d/m/Y, d-m-Y, m/d/Y, d.m.Y, "Month d, Y", "d Month Y".
+    Casts decide whether a day exists: unlike format parsers they raise nothing internally on the
+    many rows that do not fit. The expression is kept small, since it is compiled inline into every
+    stage that compares dates.
     """
     text = strip(c)
-    lowered = F.lower(text)
-
-    def part(pattern: str, group: int, source: Column = text) -> Column:
-        return F.regexp_extract(source, pattern, group)
-
-    ymd = r"^((?!0000)\d{4})-(\d{1,2})-(\d{1,2})$"
-    dmy = r"^(\d{1,2})([/.\-])(\d{1,2})\2((?!0000)\d{4})$"
-    name_first = r"^([a-z]+)\s+(\d{1,2}),\s+(\d{4})$"
-    day_first = r"^(\d{1,2})\s+([a-z]+)\s+(\d{4})$"
-    months = F.array(*[F.lit(m) for m in _MONTHS])
-
-    def month_number(name: Column) -> Column:
-        return F.nullif(F.array_position(months, name), F.lit(0)).cast("string")
-
-    year, first, second = part(dmy, 4), part(dmy, 1), part(dmy, 3)
-    parsed = (
-        F.when(text.rlike(ymd), _iso(part(ymd, 1), part(ymd, 2), part(ymd, 3)))
-        .when(
-            text.rlike(dmy),
-            F.coalesce(
-                _iso(year, second, first),
-                # Month before day is accepted with slashes only.
-                F.when(part(dmy, 2) == "/", _iso(year, first, second)),
-            ),
-        )
-        .when(
-            lowered.rlike(name_first),
-            F.when(
-                month_number(part(name_first, 1, lowered)).isNotNull(),
-                _iso(
-                    part(name_first, 3, lowered),
-                    month_number(part(name_first, 1, lowered)),
-                    part(name_first, 2, lowered),
-                ),
-            ),
-        )
-        .when(
-            lowered.rlike(day_first),
-            F.when(
-                month_number(part(day_first, 2, lowered)).isNotNull(),
-                _iso(
-                    part(day_first, 3, lowered),
-                    month_number(part(day_first, 2, lowered)),
-                    part(day_first, 1, lowered),
-                ),
-            ),
-        )
+    ordered = F.regexp_replace(F.lower(text), _WRITTEN, _YEAR_MONTH_DAY)
+    swapped = F.regexp_replace(ordered, r"^(\d{4})-(\d+)-(\d+)$", "$1-$3-$2")
+    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.split_part(ordered, F.lit("-"), F.lit(2)))
+    named = F.concat(
+        F.split_part(ordered, F.lit("-"), F.lit(1)), F.lit("-"), month.cast("string"), F.lit("-"),
+        F.split_part(ordered, F.lit("-"), F.lit(3)),
+    )
+    parsed = F.when(
+        ordered.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"),
+        # Month before day is accepted with slashes only.
+        F.coalesce(
+            ordered.try_cast("date"), F.when(text.contains("/"), swapped.try_cast("date"))
+        ),
+    ).when(
+        # An unknown name has position 0, which is no month.
+        ordered.rlike(r"^(?!0000)\d{4}-[a-z]+-\d{1,2}$"), named.try_cast("date")
     )
     return F.coalesce(parsed.cast("string"), text)

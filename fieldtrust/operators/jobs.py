@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust.operators.ranking import value_at_fraction
 from fieldtrust.schemas import STATUS_OF_EVENT
+from fieldtrust.session import materialised
 
 JOB_COLUMNS = ["doc_type", "queue", "error_message", "processing_time_s"]
 
@@ -134,27 +135,47 @@ def with_share(counts: DataFrame) -> DataFrame:
 
 
 def job_stats(jobs: DataFrame) -> DataFrame:
-    """Statistics as rows (metric, key, value)."""
-    n = F.count(F.lit(1)).cast("double").alias("value")
+    """Statistics as rows (metric, key, value).
+
+    The job view is computed once, merged to one row per (status, type, time) with counts, and
+    written; all statistics read that.
+    """
+    open_items = F.size(F.filter("queue", lambda i: ~F.coalesce(i["resolved"], F.lit(False))))
+    merged = materialised(
+        jobs.groupBy("status", "doc_type", "processing_time_s").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.when(F.col("queue").isNotNull(), open_items).otherwise(0)).alias("n_open"),
+        ),
+        "job-stats",
+    )
 
     def rows(df: DataFrame, metric: str, key: Column | None = None) -> DataFrame:
         shown = F.lit(None).cast("string") if key is None else key
-        return df.select(F.lit(metric).alias("metric"), shown.alias("key"), F.col("value"))
+        return df.select(
+            F.lit(metric).alias("metric"), shown.alias("key"), F.col("value").cast("double").alias("value")
+        )
 
-    by_status = jobs.groupBy("status").agg(n)
-    by_type = jobs.filter(F.coalesce(F.col("doc_type"), F.lit("")) != "").groupBy("doc_type").agg(n)
-    mean = jobs.agg(F.round(F.avg("processing_time_s"), 2).alias("value"))
-    p95 = value_at_fraction(jobs, "processing_time_s", 0.95).select(F.round("p95", 2).alias("value"))
-    open_items = F.size(F.filter("queue", lambda i: ~F.coalesce(i["resolved"], F.lit(False))))
-    pending = jobs.agg(
-        F.coalesce(F.sum(F.when(F.col("queue").isNotNull(), open_items)), F.lit(0)).cast("double").alias("value")
-    )
-    total = jobs.agg(n)
+    n = F.sum("n").alias("value")
+    timed = merged.filter(F.col("processing_time_s").isNotNull())
+    total_time = F.sum(F.col("processing_time_s") * F.col("n"))
+    p95 = value_at_fraction(timed, "processing_time_s", 0.95, weight="n")
     return (
-        rows(total, "total_jobs")
-        .unionAll(rows(by_status, "by_status", F.col("status")))
-        .unionAll(rows(by_type, "by_doc_type", F.col("doc_type")))
-        .unionAll(rows(mean, "avg_processing_time_s"))
-        .unionAll(rows(p95, "p95_processing_time_s"))
-        .unionAll(rows(pending, "pending_review_items"))
+        rows(merged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value")), "total_jobs")
+        .unionAll(rows(merged.groupBy("status").agg(n), "by_status", F.col("status")))
+        .unionAll(
+            rows(
+                merged.filter(F.coalesce(F.col("doc_type"), F.lit("")) != "").groupBy("doc_type").agg(n),
+                "by_doc_type", F.col("doc_type"),
+            )
+        )
+        .unionAll(
+            rows(
+                timed.agg(F.round(F.try_divide(total_time, F.sum("n")), 2).alias("value")),
+                "avg_processing_time_s",
+            )
+        )
+        .unionAll(rows(p95.select(F.round("p95", 2).alias("value")), "p95_processing_time_s"))
+        .unionAll(
+            rows(merged.agg(F.coalesce(F.sum("n_open"), F.lit(0)).alias("value")), "pending_review_items")
+        )
     )

@@ -108,17 +108,18 @@ def _join_offsets(level: DataFrame, offsets: DataFrame, cell: list[str]) -> Data
 
 def value_at_fraction(
     df: DataFrame, value: str, fraction: float = 0.95, groups: list[str] | None = None,
-    alias: str = "p95",
+    alias: str = "p95", weight: str | None = None,
 ) -> DataFrame:
     """Per group the value at 0-based index ``int(n * fraction)`` of the sorted non-null values.
 
     Neither interpolated nor ``percentile_disc``: of 20 values the 0.95 one is the largest.
+    ``weight`` names a column saying how many rows a row stands for.
     """
     groups = groups or []
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
     keyed, digits = with_digits(counts, value)
     # Walk down the digits, each time keeping only the cell that holds the wanted index.

@@ -55,6 +55,8 @@ def top_k_similar(
     )
     sizes = q_sizes.join(c_sizes, "doc_type")
 
+    shared, blocks = ["doc_type", "embedding", "q_block", "c_block"], ["q_block", "c_block"]
+
     def grid(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
         # A row goes to its own block in every pairing with the other side's blocks.
         block = F.pmod(F.xxhash64(id_col), F.col(f"{own}_blocks"))
@@ -62,17 +64,18 @@ def top_k_similar(
             df.join(sizes, "doc_type")
             .withColumn(f"{own}_block", block)
             .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_blocks") - 1)))
-            .drop("q_blocks", "c_blocks")
+            # New names: both sides may come from one table, as when all documents ask all others.
+            .select(*[F.col(c).alias(f"{own}_{c}" if c in shared else c) for c in [*df.columns, *blocks]])
         )
 
     q_grid = grid(queries, "query_id", "q", "c")
     c_grid = grid(corpus, "id", "c", "q")
-    keys = ["doc_type", "q_block", "c_block"]
+    keys = ["doc_type", *blocks]
     q_type = queries.schema["query_id"].dataType.simpleString()
     c_type = corpus.schema["id"].dataType.simpleString()
     pairs = (
-        q_grid.groupBy(*keys)
-        .cogroup(c_grid.groupBy(*keys))
+        q_grid.groupBy(*[f"q_{c}" for c in keys])
+        .cogroup(c_grid.groupBy(*[f"c_{c}" for c in keys]))
         .applyInPandas(
             _block_product(k, exclude_same_id),
             f"query_id {q_type}, id {c_type}, distance double",
@@ -99,10 +102,10 @@ def _block_product(k: int, exclude_same_id: bool, slab: int = 512) -> Callable:
         if q.empty or c.empty:
             return empty
         c = c.sort_values("id", kind="stable")
-        c_unit, c_ok = _unit_rows(c["embedding"])
+        c_unit, c_ok = _unit_rows(c["c_embedding"])
         c_ids = c["id"].to_numpy()[c_ok]
         c_unit = c_unit[c_ok]
-        q_unit, q_ok = _unit_rows(q["embedding"])
+        q_unit, q_ok = _unit_rows(q["q_embedding"])
         q_ids = q["query_id"].to_numpy()[q_ok]
         q_unit = q_unit[q_ok]
         parts = [empty]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust.functions.parsing import error_class, error_doc, training_doc_type, training_text
 from fieldtrust.operators.ranking import stratified_folds
+from fieldtrust.session import materialised
 
 # Fixed values of the training recipe.
 MAX_FEATURES = 1000
@@ -76,11 +76,7 @@ class RouterModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``predicted_type`` and ``confidence`` (the winning class's probability)."""
-        return (
-            self.pipeline.transform(df)
-            .withColumn("confidence", F.array_max(vector_to_array("_probability")))
-            .drop(*[c for c in _WORK_COLUMNS])
-        )
+        return _scored(self.pipeline, df)
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(path)
@@ -96,16 +92,29 @@ _WORK_COLUMNS = [
 ]
 
 
-def fit_router(
-    training: DataFrame, max_features: int = MAX_FEATURES, c: float = REGULARISATION_C,
+def _scored(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
+    return (
+        pipeline.transform(df)
+        .withColumn("confidence", F.array_max(vector_to_array("_probability")))
+        .drop(*_WORK_COLUMNS)
+    )
+
+
+def _with_terms(df: DataFrame) -> DataFrame:
+    return PipelineModel(_token_stages()).transform(df).drop("_all_tokens", "_tokens", "_bigrams")
+
+
+def _fit_on_terms(
+    terms: DataFrame, max_features: int = MAX_FEATURES, c: float = REGULARISATION_C,
     max_iter: int = MAX_ITER,
-) -> RouterModel:
-    """Fit TF-IDF over uni- and bigrams with logistic regression on (text, label)."""
-    started = time.monotonic()
-    tokens = PipelineModel(_token_stages())
-    prepared = tokens.transform(training)
-    counts = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features).fit(prepared)
-    counted = counts.transform(prepared)
+) -> tuple[PipelineModel, list[str], int]:
+    """(stages after the terms, classes, examples) fitted on (_terms, label)."""
+    counts = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features).fit(terms)
+    # At most ``max_features`` counts per text are left; every later pass reads those.
+    counted = materialised(counts.transform(terms).select("_tf", "label"), "term-counts")
+    n = counted.count()
+    if n < MIN_EXAMPLES:
+        raise ValueError(f"only {n} examples, too few to train on")
     # idf = ln((1 + n) / (1 + df)) + 1; Spark leaves the + 1 out, so it is put into the weights.
     idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted)
     weights = ElementwiseProduct(
@@ -115,41 +124,41 @@ def fit_router(
     unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_features")
     index = StringIndexer(
         inputCol="label", outputCol="_label", stringOrderType="alphabetAsc"
-    ).fit(training)
-    # Only what the solver reads is kept for its passes; lost blocks are recomputed.
-    features = index.transform(unit.transform(weights.transform(counted))).select("_features", "_label")
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = features.count()
-        if n < MIN_EXAMPLES:
-            raise ValueError(f"only {n} examples, too few to train on")
-        # The loss is a mean here and a sum in the recipe, hence the division by n.
-        model = LogisticRegression(
-            featuresCol="_features", labelCol="_label", predictionCol="_prediction",
-            probabilityCol="_probability", rawPredictionCol="_raw", maxIter=max_iter, tol=1e-4,
-            regParam=1.0 / (c * n), standardization=False,
-        ).fit(features)
-    finally:
-        features.unpersist()
+    ).fit(counted)
+    features = index.transform(unit.transform(weights.transform(counted)))
+    # The loss is a mean here and a sum in the recipe, hence the division by n.
+    model = LogisticRegression(
+        featuresCol="_features", labelCol="_label", predictionCol="_prediction",
+        probabilityCol="_probability", rawPredictionCol="_raw", maxIter=max_iter, tol=1e-4,
+        regParam=1.0 / (c * n), standardization=False,
+    ).fit(features.select("_features", "_label"))
     named = IndexToString(inputCol="_prediction", outputCol="predicted_type", labels=index.labels)
-    pipeline = PipelineModel(_token_stages() + [counts, weights, unit, model, named])
+    return PipelineModel([counts, weights, unit, model, named]), list(index.labels), n
+
+
+def fit_router(training: DataFrame, **recipe: object) -> RouterModel:
+    """Fit TF-IDF over uni- and bigrams with logistic regression on (text, label)."""
+    started = time.monotonic()
+    tail, classes, n = _fit_on_terms(_with_terms(training.select("text", "label")), **recipe)
     meta = {
         "n_examples": n,
-        "classes": sorted(index.labels),
+        "classes": sorted(classes),
         "train_time_s": round(time.monotonic() - started, 4),
     }
-    return RouterModel(pipeline, meta)
+    return RouterModel(PipelineModel(_token_stages() + tail.stages), meta)
 
 
 def cross_validate(
-    training: DataFrame, n_folds: int = N_FOLDS, seed: int = SEED, key: str = "doc_name", **fit: object
+    training: DataFrame, n_folds: int = N_FOLDS, seed: int = SEED, key: str = "doc_name",
+    **recipe: object,
 ) -> DataFrame:
-    """Accuracy per held-out fold (fold, accuracy, n)."""
+    """Accuracy per held-out fold (fold, accuracy, n). Texts are cut into terms once."""
     folds = stratified_folds(training, "label", key, n_folds, seed)
+    terms = materialised(_with_terms(folds).select("label", "fold", "_terms"), "fold-terms")
     scores = None
     for i in range(n_folds):
-        model = fit_router(folds.filter(F.col("fold") != i), **fit)
-        held_out = model.predict(folds.filter(F.col("fold") == i))
+        tail, _, _ = _fit_on_terms(terms.filter(F.col("fold") != i), **recipe)
+        held_out = _scored(tail, terms.filter(F.col("fold") == i))
         one = held_out.agg(
             F.lit(i).alias("fold"),
             F.avg((F.col("predicted_type") == F.col("label")).cast("int")).alias("accuracy"),

@@ -27,6 +27,7 @@ from fieldtrust.functions.matching import field_match
 from fieldtrust.functions.normalize import normalize_string
 from fieldtrust.operators.ranking import running_sums
 from fieldtrust.schemas import CALIBRATED_FIELDS, FIELD_DDL, SCORED_FIELDS, TAX_TOTAL
+from fieldtrust.session import materialised
 
 
 def score_documents(
@@ -45,8 +46,12 @@ def score_documents(
     def dotted(field: Column) -> Column:
         return F.when(field == "tax", F.lit(TAX_TOTAL)).otherwise(field)
 
-    def pair(t: Column) -> Column:
-        p = F.get(F.filter(F.col("_pred"), lambda f: f["field"] == t["field"]), F.lit(0))
+    def pair(t: Column, i: Column) -> Column:
+        # Both sides normally list the fields in declared order; search only where they do not.
+        same_place = F.get("_pred", i)
+        p = F.when(same_place["field"] == t["field"], same_place).otherwise(
+            F.get(F.filter(F.col("_pred"), lambda f: f["field"] == t["field"]), F.lit(0))
+        )
         return F.struct(
             dotted(t["field"]).alias("field"),
             t["value"].alias("truth"),
@@ -269,9 +274,10 @@ def trust_metrics(scored_long: DataFrame, target: float = 0.99, n_bins: int = 10
     """All headline metrics as rows (section, metric, value).
 
     ``scored_long`` holds all twelve fields per document (one without truth has a NULL result),
-    so every metric's population can be cut from it, and one shuffle serves them all.
+    so every metric's population can be cut from it. Scoring runs once; all metrics read the merged
+    rows, written in between.
     """
-    merged = cells(scored_long, merge=True)
+    merged = materialised(cells(scored_long, merge=True), "trust-cells")
     pairs = calibrated(merged)
 
     def rows(df: DataFrame, *metrics: str) -> DataFrame:

@@ -28,31 +28,29 @@ def file_suffix(path: Column) -> Column:
 
 
 def scan_labels(
-    spark: SparkSession, path: str, schema: str = INVOICE_LABEL_DDL, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str = INVOICE_LABEL_DDL, multi_line: bool = True,
+    glob: str = "*.json",
 ) -> tuple[DataFrame, DataFrame]:
     """(labels, skipped): label files with ``doc_name``, and the files that are no valid JSON.
 
     ``multi_line`` reads one pretty-printed label per file; without it files hold one label per
     line and can be split, which is the layout for large corpora.
     """
-    full = struct_of(schema).add("_corrupt_record", T.StringType())
-    raw = (
-        spark.read.schema(full)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", "*.json")
-        .json(path)
-        .withColumn("label_path", F.col("_metadata.file_path"))
+    text = (
+        spark.read.option("wholetext", multi_line).option("pathGlobFilter", glob).text(path)
+        .select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("label_path"))
     )
-    labels = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    parsed = _with_raw(text, "record", schema)
     doc_name = F.coalesce(
         F.nullif(F.col("_meta.doc_file"), F.lit("")), F.concat(file_stem(F.col("label_path")), F.lit(".pdf"))
     )
-    skipped = raw.filter(F.col("_corrupt_record").isNotNull()).select(
-        "label_path", F.col("_corrupt_record").alias("record"), F.lit("invalid JSON").alias("reason")
+    labels = (
+        parsed.filter(F.col("raw").isNotNull()).select("label_path", "raw.*").withColumn("doc_name", doc_name)
     )
-    return labels.withColumn("doc_name", doc_name), skipped
+    skipped = parsed.filter(F.col("raw").isNull()).select(
+        "label_path", "record", F.lit("invalid JSON").alias("reason")
+    )
+    return labels, skipped
 
 
 def with_documents(labels: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,27 +75,23 @@ def read_invoice_batch(spark: SparkSession, path: str) -> DataFrame:
     return with_raw_invoice(rows)
 
 
-def with_raw_invoice(rows: DataFrame, json_column: str = "json_data") -> DataFrame:
-    """Parse the embedded JSON; bad JSON gives ``raw`` NULL instead of a row of nulls."""
-    schema = f"{RAW_INVOICE_DDL}, _corrupt_record string"
-    parsed = F.from_json(json_column, schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+def _with_raw(rows: DataFrame, json_column: str, ddl: str) -> DataFrame:
+    parsed = F.from_json(
+        json_column, f"{ddl}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}
+    )
     staged = rows.withColumn("_parsed", parsed)
-    names = struct_of(RAW_INVOICE_DDL).fieldNames()
     good = F.col("_parsed").isNotNull() & F.col("_parsed._corrupt_record").isNull()
-    return staged.withColumn(
-        "raw", F.when(good, F.struct(*[F.col(f"_parsed.{n}").alias(n) for n in names]))
-    ).drop("_parsed")
+    members = [F.col(f"_parsed.{n}").alias(n) for n in struct_of(ddl).fieldNames()]
+    return staged.withColumn("raw", F.when(good, F.struct(*members))).drop("_parsed")
+
+
+def with_raw_invoice(rows: DataFrame, json_column: str = "json_data") -> DataFrame:
+    """Parse the embedded JSON; bad JSON gives ``raw`` NULL instead of a row of nulls."""
+    return _with_raw(rows, json_column, RAW_INVOICE_DDL)
 
 
 def with_raw_statement(rows: DataFrame, json_column: str = "json_data") -> DataFrame:
-    schema = f"{RAW_STATEMENT_DDL}, _corrupt_record string"
-    parsed = F.from_json(json_column, schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    staged = rows.withColumn("_parsed", parsed)
-    names = struct_of(RAW_STATEMENT_DDL).fieldNames()
-    good = F.col("_parsed").isNotNull() & F.col("_parsed._corrupt_record").isNull()
-    return staged.withColumn(
-        "raw", F.when(good, F.struct(*[F.col(f"_parsed.{n}").alias(n) for n in names]))
-    ).drop("_parsed")
+    return _with_raw(rows, json_column, RAW_STATEMENT_DDL)
 
 
 def read_statement_batch(spark: SparkSession, root: str) -> DataFrame:

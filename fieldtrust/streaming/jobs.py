@@ -55,20 +55,29 @@ def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def publish_states(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the whole state table of each trigger to ``path/batch=<n>``; readers take the last.
+    """Write the jobs that changed in each trigger, as whole state rows, to ``path/batch=<n>``.
 
-    Rewriting a batch after a failure replaces the same folder.
+    A trigger costs what changed, not all jobs. Rewriting a batch after a failure replaces the same
+    folder; ``current_states`` reads the newest row per job.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        states.writeStream.outputMode("complete").foreachBatch(write)
+        states.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def current_states(spark: SparkSession, path: str) -> DataFrame:
+    """Newest published state per job."""
+    published = spark.read.parquet(path)
+    columns = [c for c in published.columns if c not in ("job_id", "batch")]
+    newest = F.max_by(F.struct(*columns), "batch")
+    return published.groupBy("job_id").agg(newest.alias("s")).select("job_id", "s.*")
+
+
 def publish_stats(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Live counts and mean times by status, a few rows per trigger under ``path/batch=<n>``."""
 
@@ -88,7 +97,7 @@ def live_stats(jobs: DataFrame) -> DataFrame:
     )
 
 
-def last_batch(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def last_batch(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the newest published batch."""
     published = spark.read.parquet(path)
     newest = published.agg(F.max("batch").alias("b"))
