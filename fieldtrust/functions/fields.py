@@ -91,6 +91,11 @@ def effective_number(f: Column) -> Column:
     return F.when(~is_abstained(f), f["value_num"])
 
 
+def raw_value(fields: Column, name: str) -> Column:
+    """Value of one field of a document even if abstained."""
+    return F.get(F.filter(fields, lambda f: f["field"] == name), F.lit(0))["value"]
+
+
 def rebuilt(f: Column, **changes: Column) -> Column:
     """Copy of a wrapped field with some members replaced."""
     names = ["field", "value", "value_num", "confidence", "source_location", "status"]

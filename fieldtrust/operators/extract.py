@@ -6,9 +6,11 @@ expressions; a model of the user's own runs batch-wise inside ``mapInPandas``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from fieldtrust.functions.fields import field_struct, has_value, location, no_lo
 from fieldtrust.functions.normalize import normalize_address, normalize_date, normalize_number, strip
 from fieldtrust.schemas import DATE_FIELDS, INVOICE_FIELDS, NUMBER_FIELDS
 
+# Task code travels with the job, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Line-oriented rules for plain-text invoices: first group is the value.
 INVOICE_RULES = {
     "invoice_number": r"(?im)^\s*invoice (?:no|number)\s*[:.]\s*(\S[^\r\n]*)$",

@@ -9,14 +9,20 @@ blocks.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrust.functions.fields import has_value
+from fieldtrust.functions.fields import has_value, raw_value
+from fieldtrust.session import materialised
+
+# Task code travels with the job, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Distances equal to this many decimals are ties, decided by the smaller id.
 TIE_DECIMALS = 10
@@ -159,11 +165,6 @@ def exemplar_text(vendor: Column, address: Column, line_items: Column) -> Column
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n")
 
 
-def raw_value(fields: Column, name: str) -> Column:
-    """Value of a field even if abstained."""
-    return F.get(F.filter(fields, lambda f: f["field"] == name), F.lit(0))["value"]
-
-
 def document_text(df: DataFrame) -> Column:
     items = F.col("line_items") if "line_items" in df.columns else F.lit(None).cast(
         "array<struct<description:string>>"
@@ -243,7 +244,8 @@ def retrieve_exemplars(
     Exemplars come with (id, doc_type, layout_text). Equal texts have equal vectors, so each
     distinct text is embedded and compared once, and of the exemplars sharing a text only the k
     smallest ids can be among the k nearest. That is exact, and keeps one vendor's mass of equal
-    layouts from multiplying the work. Without an embedder retrieval is off: no rows.
+    layouts from multiplying the work. The few distinct texts are written with their vectors, as
+    several joins read them. Without an embedder retrieval is off: no rows.
     """
     if embed is None:
         return queries.sparkSession.createDataFrame(
@@ -255,20 +257,25 @@ def retrieve_exemplars(
     by_text = Window.partitionBy("doc_type", "text_key")
     # The rank filter runs before the shuffle as well, so a text shared by many exemplars sends
     # k rows per input partition and no more.
-    heads = (
+    heads = materialised(
         exemplars.select("id", "doc_type", "layout_text", F.md5("layout_text").alias("text_key"))
         .withColumn("_nth", F.row_number().over(by_text.orderBy("id")))
         .filter(F.col("_nth") <= k)
-        .withColumn("text_id", F.min("id").over(by_text))
+        .withColumn("text_id", F.min("id").over(by_text)),
+        "exemplar-heads",
     )
     # The k nearest texts, ties by smallest member id, hold the k nearest exemplars.
-    corpus_texts = embed(
-        heads.filter(F.col("_nth") == 1).select("id", "doc_type", "layout_text"), "layout_text"
+    corpus_texts = materialised(
+        embed(heads.filter(F.col("_nth") == 1).select("id", "doc_type", "layout_text"), "layout_text"),
+        "exemplar-vectors",
+    )
+    query_texts = materialised(
+        embed(
+            queries.groupBy("doc_type", "text_key").agg(F.min("layout_text").alias("layout_text")),
+            "layout_text",
+        ).withColumn("query_id", F.concat_ws(":", "doc_type", "text_key")),
+        "query-vectors",
     )
-    query_texts = embed(
-        queries.groupBy("doc_type", "text_key").agg(F.min("layout_text").alias("layout_text")),
-        "layout_text",
-    ).withColumn("query_id", F.concat_ws(":", "doc_type", "text_key"))
     near = top_k_similar(query_texts, corpus_texts, k, block_rows=block_rows)
     members = heads.select("text_id", F.col("id").alias("member"))
     best = Window.partitionBy("query_id").orderBy("distance", "member")
