@@ -65,7 +65,7 @@ def parse_import_values(spark, sf):
     ref = F.when(k % 4 == 0, F.lit("-")).when(k % 4 == 1, F.lit("")).when(k % 4 == 2, F.col("o_orderpriority"))
     return o.select(
         "o_orderkey",
-        parsing.parse_amount(amount).alias("amount"), parsing.amount_bad(amount).alias("amount_bad"),
+        parsing.parse_amount(amount).alias("amount"), parsing.unread(amount, parsing.parse_amount(amount)).alias("amount_bad"),
         parsing.parse_currency(money).alias("currency"),
         parsing.parse_slash_date(day).alias("day"), parsing.slash_date_bad(day).alias("day_bad"),
         parsing.parse_statement_date(bank_day).alias("bank_day"),

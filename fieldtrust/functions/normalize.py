@@ -67,7 +67,8 @@ def normalize_date(c: Column) -> Column:
             ordered.try_cast("date"), F.when(text.contains("/"), swapped.try_cast("date"))
         ),
     ).when(
-        # An unknown name has position 0, which is no month.
-        ordered.rlike(r"^(?!0000)\d{4}-[a-z]+-\d{1,2}$"), named.try_cast("date")
+        # An unknown name has position 0, which is no month; written forms with a name have no dash.
+        ~text.contains("-") & ordered.rlike(r"^(?!0000)\d{4}-[a-z]+-\d{1,2}$"),
+        named.try_cast("date"),
     )
     return F.coalesce(parsed.cast("string"), text)

@@ -1,7 +1,7 @@
 """Import-time parsers and small classifiers.
 
-Where bad input must fail the whole row, the parser comes as a pair: the value, and a ``*_bad``
-condition that the importers collect into the row's error text.
+Where bad input must fail the whole row, the importers compare the parser's NULL with the text it was
+given (``unread``).
 """
 
 from __future__ import annotations
@@ -23,11 +23,6 @@ def parse_amount(c: Column) -> Column:
     return F.when(blank_to_null(c).isNotNull(), normalize_number(c))
 
 
-def amount_bad(c: Column) -> Column:
-    """True when there is text but no number in it."""
-    return F.coalesce(blank_to_null(c).isNotNull() & parse_amount(c).isNull(), F.lit(False))
-
-
 def parse_currency(c: Column, default: str = "INR") -> Column:
     """Leading letters of a text such as ``INR 1,676.00``."""
     return F.coalesce(blank_to_null(F.regexp_extract(strip(c), r"^([A-Za-z]+)", 1)), F.lit(default))
@@ -66,25 +61,23 @@ def slash_date_bad(c: Column) -> Column:
 
 
 def parse_statement_date(c: Column) -> Column:
-    """Text before the first space; dashed dates pass as they are, slashed ones are reordered."""
+    """Text before the first space; dashed dates pass as they are, slashed ones are reordered.
+
+    NULL for a missing date, and for slashes around anything but three parts with whole day and
+    month, which fails the row.
+    """
     day = F.substring_index(strip(c), " ", 1)
     parts = F.split(day, "/")
+    sound = (F.size(parts) == 3) & ~_non_integer_day_or_month(parts)
+    slashed = ~day.contains("-") & day.contains("/")
     return F.when(
-        blank_to_null(c).isNotNull(),
-        F.when(day.contains("-"), day).when(day.contains("/"), _reordered(parts)).otherwise(day),
+        blank_to_null(c).isNotNull(), F.when(slashed, F.when(sound, _reordered(parts))).otherwise(day)
     )
 
 
-def statement_date_bad(c: Column) -> Column:
-    day = F.substring_index(strip(c), " ", 1)
-    parts = F.split(day, "/")
-    bad = (
-        blank_to_null(c).isNotNull()
-        & ~day.contains("-")
-        & day.contains("/")
-        & ((F.size(parts) != 3) | _non_integer_day_or_month(parts))
-    )
-    return F.coalesce(bad, F.lit(False))
+def unread(text: Column, parsed: Column) -> Column:
+    """True where there was text but its parser gave nothing."""
+    return F.coalesce(blank_to_null(text).isNotNull() & parsed.isNull(), F.lit(False))
 
 
 def normalize_ref_no(c: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from fieldtrust.functions.fields import field_struct, has_value, location, no_location, rebuilt
 from fieldtrust.functions.normalize import normalize_address, normalize_date, normalize_number, strip
+from fieldtrust.functions.staging import computed_once
 from fieldtrust.schemas import DATE_FIELDS, INVOICE_FIELDS, NUMBER_FIELDS
 
 # Task code travels with the job, so that executors need no copy of this package.
@@ -73,9 +74,9 @@ def rule_extractor(
     """Extractor that adds ``fields`` to rows with ``text``; values keep the text they came from."""
 
     def extract(df: DataFrame) -> DataFrame:
-        # Staged, so that each pattern runs once although value and number both use its result.
-        raw = df.withColumn(
-            "_raw", F.struct(*[rule_value(F.col("text"), p).alias(n) for n, p in rules.items()])
+        # Value and number of a field come from one run of its pattern.
+        raw = computed_once(
+            df, "_raw", F.struct(*[rule_value(F.col("text"), p).alias(n) for n, p in rules.items()])
         )
         fields = []
         for name in rules:
@@ -165,7 +166,7 @@ def text_verifier(df: DataFrame, text: str = "text", page: int = 0) -> DataFrame
     """
     body = F.col(text)
     words = F.concat(F.lit(" "), normalize_address(F.col(text)), F.lit(" "))
-    staged = df.withColumn("_words", words).withColumn(
+    staged = computed_once(df, "_words", words).withColumn(
         "_length", F.greatest(F.length(body), F.lit(1)).cast("double")
     )
 

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.parsing import (
-    amount_bad,
     normalize_ref_no,
     parse_amount,
     parse_currency,
     parse_slash_date,
     parse_statement_date,
     slash_date_bad,
-    statement_date_bad,
+    unread,
 )
+from fieldtrust.functions.staging import computed_once
 from fieldtrust.schemas import LINE_ITEM_DDL, META_DDL, TAX_DDL, TRANSACTION_DDL
 
 
@@ -42,31 +42,49 @@ def invoice_labels(
     its file name and the error text; the job goes on.
     """
     raw, total = F.col("raw"), F.col("raw.summary")
-    items = F.coalesce(F.col("raw.items"), F.array().cast("array<struct<description:string,quantity:string,net_price:string,net_worth:string>>"))
+    no_items = F.array().cast(
+        "array<struct<description:string,quantity:string,net_price:string,net_worth:string>>"
+    )
+    items = F.coalesce(F.col("raw.items"), no_items)
+    # Every amount is parsed once; the checks below only look at what came out.
+    staged = computed_once(
+        df,
+        "_parsed",
+        F.struct(
+            F.transform(
+                items,
+                lambda i: F.struct(
+                    i["description"].alias("description"), _null("string").alias("hsn_sac"),
+                    parse_amount(i["quantity"]).alias("quantity"),
+                    parse_amount(i["net_price"]).alias("unit_price"),
+                    parse_amount(i["net_worth"]).alias("line_total"),
+                ),
+            ).alias("line_items"),
+            parse_amount(total["net_worth"]).alias("subtotal"),
+            parse_amount(total["vat_amount"]).alias("total_tax"),
+            parse_amount(total["gross_worth"]).alias("total_amount"),
+        ),
+    )
+    parsed = F.col("_parsed")
+    bad_items = F.exists(
+        F.zip_with(
+            items, parsed["line_items"],
+            lambda i, p: unread(i["quantity"], p["quantity"]) | unread(i["net_price"], p["unit_price"])
+            | unread(i["net_worth"], p["line_total"]),
+        ),
+        lambda bad: bad,
+    )
     error = _first_error(
         (raw.isNull(), "invalid JSON"),
         (slash_date_bad(raw["date_of_issue"]), "bad date_of_issue"),
+        (bad_items, "bad item amount"),
         (
-            F.exists(items, lambda i: amount_bad(i["quantity"]) | amount_bad(i["net_price"])
-                     | amount_bad(i["net_worth"])),
-            "bad item amount",
-        ),
-        (
-            amount_bad(total["net_worth"]) | amount_bad(total["vat_amount"])
-            | amount_bad(total["gross_worth"]),
+            unread(total["net_worth"], parsed["subtotal"]) | unread(total["vat_amount"], parsed["total_tax"])
+            | unread(total["gross_worth"], parsed["total_amount"]),
             "bad summary amount",
         ),
     )
-    line_items = F.transform(
-        items,
-        lambda i: F.struct(
-            i["description"].alias("description"), _null("string").alias("hsn_sac"),
-            parse_amount(i["quantity"]).alias("quantity"),
-            parse_amount(i["net_price"]).alias("unit_price"),
-            parse_amount(i["net_worth"]).alias("line_total"),
-        ),
-    )
-    return df.select(
+    return staged.select(
         "filename",
         error.alias("row_error"),
         _meta(F.col("filename"), None, "csv_ground_truth", labeled_at, note).alias("_meta"),
@@ -79,13 +97,13 @@ def invoice_labels(
         raw["client"]["name"].alias("buyer_name"),
         _null("string").alias("buyer_gstin"),
         parse_currency(total["total_gross_worth"]).alias("currency"),
-        parse_amount(total["net_worth"]).alias("subtotal"),
+        parsed["subtotal"].alias("subtotal"),
         F.struct(
             _null("double").alias("cgst"), _null("double").alias("sgst"),
-            _null("double").alias("igst"), parse_amount(total["vat_amount"]).alias("total_tax"),
+            _null("double").alias("igst"), parsed["total_tax"].alias("total_tax"),
         ).cast(TAX_DDL).alias("tax"),
-        parse_amount(total["gross_worth"]).alias("total_amount"),
-        line_items.cast(f"array<{LINE_ITEM_DDL}>").alias("line_items"),
+        parsed["total_amount"].alias("total_amount"),
+        parsed["line_items"].cast(f"array<{LINE_ITEM_DDL}>").alias("line_items"),
     )
 
 
@@ -106,7 +124,7 @@ def transaction(t: Column) -> Column:
     signed = F.map_contains_key(t, "cr_dr")
     amount = at("transaction_amount").try_cast("double")
     return F.struct(
-        parse_statement_date(_either(at("value_date"), at("date"))).alias("date"),
+        parse_statement_date(_transaction_date(t)).alias("date"),
         at("description").alias("narration"),
         F.when(signed, F.when(at("cr_dr") == "DR", amount))
         .otherwise(at("debit").try_cast("double")).alias("debit"),
@@ -118,9 +136,8 @@ def transaction(t: Column) -> Column:
     )
 
 
-def _transaction_bad(t: Column) -> Column:
-    date = _either(F.try_element_at(t, F.lit("value_date")), F.try_element_at(t, F.lit("date")))
-    return statement_date_bad(date)
+def _transaction_date(t: Column) -> Column:
+    return _either(F.try_element_at(t, F.lit("value_date")), F.try_element_at(t, F.lit("date")))
 
 
 def statement_labels(
@@ -129,10 +146,15 @@ def statement_labels(
     """(doc_file, raw) -> statement label columns and ``row_error``."""
     raw = F.col("raw")
     txs = F.coalesce(raw["transactions"], F.array().cast("array<map<string,string>>"))
-    error = _first_error(
-        (raw.isNull(), "invalid JSON"), (F.exists(txs, _transaction_bad), "bad transaction date")
+    staged = computed_once(
+        df, "_transactions", F.transform(txs, transaction).cast(f"array<{TRANSACTION_DDL}>")
+    )
+    bad_date = F.exists(
+        F.zip_with(txs, F.col("_transactions"), lambda t, p: unread(_transaction_date(t), p["date"])),
+        lambda bad: bad,
     )
-    return df.select(
+    error = _first_error((raw.isNull(), "invalid JSON"), (bad_date, "bad transaction date"))
+    return staged.select(
         "doc_file",
         error.alias("row_error"),
         _meta(F.col("doc_file"), "bank_statement", "huggingface_ground_truth", labeled_at, note).alias("_meta"),
@@ -144,7 +166,7 @@ def statement_labels(
         raw["opening_balance"].alias("opening_balance"),
         raw["closing_balance"].alias("closing_balance"),
         raw["currency"].alias("currency"),
-        F.transform(txs, transaction).cast(f"array<{TRANSACTION_DDL}>").alias("transactions"),
+        F.col("_transactions").alias("transactions"),
     )
 
 

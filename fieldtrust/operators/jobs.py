@@ -120,7 +120,7 @@ def breakdown(jobs: DataFrame, key: str) -> DataFrame:
     counts = jobs.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return with_share(counts)
+    return with_share(materialised(counts, "breakdown"))
 
 
 def with_share(counts: DataFrame) -> DataFrame:

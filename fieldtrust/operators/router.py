@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.parsing import error_class, error_doc, training_doc_type, training_text
+from fieldtrust.functions.staging import computed_once
 from fieldtrust.operators.ranking import stratified_folds
 from fieldtrust.session import materialised
 
@@ -42,9 +43,11 @@ def training_set(
 ) -> DataFrame:
     """(doc_name, text, label) from labels (doc_name, doc_type) and texts (doc_name, text).
 
-    Documents without text are dropped. ``max_chars`` keeps the start of each text only.
+    Documents without text are dropped. ``max_chars`` keeps the start of each text only. Joined by
+    shuffle even where the labels would fit a broadcast: what follows is many passes of heavy work
+    per text, which should be spread evenly however the texts lie in files.
     """
-    joined = labels.join(texts, "doc_name")
+    joined = labels.hint("merge").join(texts, "doc_name")
     return joined.select(
         "doc_name",
         training_text(F.col("text"), max_chars).alias("text"),
@@ -223,13 +226,24 @@ INVOICE_WORDS = r"(?i)\b(?:invoice|bill to|subtotal|amount due|gstin)\b"
 STATEMENT_WORDS = r"(?i)\b(?:statement|opening balance|closing balance|ifsc|account holder)\b"
 
 
-def keyword_classifier(text: Column) -> tuple[Column, Column]:
-    """(type, confidence) by counting telling words; undecided is an invoice at 0.5."""
-    a = F.regexp_count(text, F.lit(INVOICE_WORDS)).cast("double")
-    b = F.regexp_count(text, F.lit(STATEMENT_WORDS)).cast("double")
-    a, b = F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))
-    kind = F.when(b > a, F.lit("bank_statement")).otherwise(F.lit("invoice"))
-    return kind, F.coalesce(F.try_divide(F.greatest(a, b), a + b), F.lit(0.5))
+def keyword_classifier(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``predicted_type`` and ``confidence`` by counting telling words; undecided is an
+    invoice at 0.5."""
+
+    def hits(pattern: str) -> Column:
+        return F.coalesce(F.regexp_count(F.col(text), F.lit(pattern)), F.lit(0)).cast("double")
+
+    counted = computed_once(
+        docs, "_hits", F.struct(hits(INVOICE_WORDS).alias("a"), hits(STATEMENT_WORDS).alias("b"))
+    )
+    a, b = F.col("_hits.a"), F.col("_hits.b")
+    return (
+        counted.withColumn(
+            "predicted_type", F.when(b > a, F.lit("bank_statement")).otherwise(F.lit("invoice"))
+        )
+        .withColumn("confidence", F.coalesce(F.try_divide(F.greatest(a, b), a + b), F.lit(0.5)))
+        .drop("_hits")
+    )
 
 
 def route(
@@ -241,13 +255,11 @@ def route(
     The trained model decides where there is text; the fallback classifier takes the rest, and
     everything when there is no model.
     """
-    kind, sure = keyword_classifier(F.col(fallback_text or text))
     if model is None:
-        return docs.withColumn("predicted_type", kind).withColumn("confidence", sure)
+        return keyword_classifier(docs, fallback_text or text)
     usable = F.coalesce(training_text(F.col(text)).isNotNull(), F.lit(False))
     first = model.predict(docs.filter(usable))
-    second = docs.filter(~usable).withColumn("predicted_type", kind).withColumn("confidence", sure)
-    return first.unionByName(second)
+    return first.unionByName(keyword_classifier(docs.filter(~usable), fallback_text or text))
 
 
 def router_results(predictions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust.operators.incremental import cached_results, merge_results, work_list
 from fieldtrust.operators.trust import cells, corpus_summary, regression_gate, score_documents, trust_metrics
+from fieldtrust.session import materialised
 
 
 def evaluate(
@@ -24,7 +25,10 @@ def evaluate(
         "doc_name", "fields", F.lit(True).alias("cached")
     )
     todo = work_list(docs, cache, current)
-    fresh = extract(todo).select("doc_name", "fields", F.lit(False).alias("cached"))
+    # Written at once: extraction is what the cache is there to spare, whoever reads the results.
+    fresh = materialised(
+        extract(todo).select("doc_name", "fields", F.lit(False).alias("cached")), "fresh-results"
+    )
     results = merge_results(hits, fresh)
     scored = score_documents(truth, results).filter(F.col("extracted_doc"))
     return results, scored

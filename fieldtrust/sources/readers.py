@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldtrust.functions.staging import computed_once
 from fieldtrust.schemas import INVOICE_LABEL_DDL, RAW_INVOICE_DDL, RAW_STATEMENT_DDL, struct_of
 
 # Document formats taken in.
@@ -45,7 +46,8 @@ def scan_labels(
         F.nullif(F.col("_meta.doc_file"), F.lit("")), F.concat(file_stem(F.col("label_path")), F.lit(".pdf"))
     )
     labels = (
-        parsed.filter(F.col("raw").isNotNull()).select("label_path", "raw.*").withColumn("doc_name", doc_name)
+        parsed.filter(F.col("raw").isNotNull()).select("label_path", "raw.*")
+        .drop("_corrupt_record").withColumn("doc_name", doc_name)
     )
     skipped = parsed.filter(F.col("raw").isNull()).select(
         "label_path", "record", F.lit("invalid JSON").alias("reason")
@@ -79,10 +81,10 @@ def _with_raw(rows: DataFrame, json_column: str, ddl: str) -> DataFrame:
     parsed = F.from_json(
         json_column, f"{ddl}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}
     )
-    staged = rows.withColumn("_parsed", parsed)
-    good = F.col("_parsed").isNotNull() & F.col("_parsed._corrupt_record").isNull()
-    members = [F.col(f"_parsed.{n}").alias(n) for n in struct_of(ddl).fieldNames()]
-    return staged.withColumn("raw", F.when(good, F.struct(*members))).drop("_parsed")
+    staged = computed_once(rows, "_parsed", parsed)
+    return staged.withColumn(
+        "raw", F.when(F.col("_parsed._corrupt_record").isNull(), F.col("_parsed"))
+    ).drop("_parsed")
 
 
 def with_raw_invoice(rows: DataFrame, json_column: str = "json_data") -> DataFrame:
