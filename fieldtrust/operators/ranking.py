@@ -30,7 +30,11 @@ def order_key(c: Column) -> Column:
     exp = F.greatest(exp, F.lit(-1022).cast("bigint"))
     mantissa = F.floor((v / F.pow(F.lit(2.0), exp)) * F.lit(float(2**52)))
     bits = (exp + 1022) * F.lit(2**52).cast("bigint") + mantissa
-    bits = F.when(v == 0, F.lit(0).cast("bigint")).otherwise(bits.cast("bigint"))
+    bits = (
+        F.when(v == 0, F.lit(0).cast("bigint"))
+        .when(v >= float("inf"), F.lit(2047 * 2**52).cast("bigint"))
+        .otherwise(bits.cast("bigint"))
+    )
     return F.when(c < 0, -bits).otherwise(bits)
 
 

@@ -59,7 +59,9 @@ def top_k_similar(
     c_sizes = corpus.groupBy("doc_type").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("c_blocks")
     )
-    sizes = q_sizes.join(c_sizes, "doc_type")
+    # A row per document type. Read back from a table its size is known when the joins below are
+    # planned: small as it is it is broadcast, and past the threshold it would be shuffled.
+    sizes = materialised(q_sizes.join(c_sizes, "doc_type"), "block-counts")
 
     shared, blocks = ["doc_type", "embedding", "q_block", "c_block"], ["q_block", "c_block"]
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_CONF = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def local_session(app: str = "fieldtrust", cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -42,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_DIR_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="fieldtrust-")
-    spark.conf.set(_DIR_CONF, path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="fieldtrust-")
+    return _local_dirs[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

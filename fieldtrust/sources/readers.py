@@ -38,7 +38,7 @@ def scan_labels(
     line and can be split, which is the layout for large corpora.
     """
     text = (
-        spark.read.option("wholetext", multi_line).option("pathGlobFilter", glob).text(path)
+        spark.read.option("pathGlobFilter", glob).text(path, wholetext=multi_line)
         .select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("label_path"))
     )
     parsed = _with_raw(text, "record", schema)
@@ -99,7 +99,7 @@ def with_raw_statement(rows: DataFrame, json_column: str = "json_data") -> DataF
 def read_statement_batch(spark: SparkSession, root: str) -> DataFrame:
     """(doc_file, subtype, raw) of ``root/<subtype>/<name>.json``."""
     files = (
-        spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*/*.json")
+        spark.read.text(f"{root.rstrip('/')}/*/*.json", wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
     subtype = file_name(F.element_at(F.split("path", "/"), -2))
@@ -113,7 +113,10 @@ def read_statement_batch(spark: SparkSession, root: str) -> DataFrame:
 
 
 def document_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of a folder's files; contents are not read."""
+    """(path, length) of a folder's files; contents are not read.
+
+    Spark leaves files of zero bytes out of a scan, so those count as missing documents.
+    """
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         .select("path", "length")
