@@ -181,6 +181,21 @@ def verification_defaults(spark, sf):
     return fl.fields_long(out).groupBy("field", F.col("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def verification_join(spark, sf):
+    """Extracted fields and verifier rows as two long tables; some fields have no answer."""
+    p = carriers.invoice_predictions(spark, sf)
+    extracted = fl.fields_long(p, "k", "doc_name")
+    name = F.when(F.col("field") == "tax", F.lit("tax_total_tax")).otherwise(F.col("field"))
+    answers = fl.fields_long(p, "k", "doc_name").filter(
+        ~((F.col("field") == "currency") & (F.col("k") % 3 == 0))
+    ).select("doc_name", name.alias("field"), "confidence", "source_location")
+    bare = extracted.select("k", "doc_name", "field", "value")
+    return fl.join_verification(bare, answers).groupBy("field").agg(
+        F.round(F.avg("confidence"), 4).alias("mean_confidence"),
+        F.count("source_location").alias("n_located"), F.count(F.lit(1)).alias("n"),
+    )
+
+
 def schema_violations(spark, sf):
     """Fields with confidences and boxes out of range by key."""
     p = carriers.invoice_predictions(spark, sf)
@@ -211,7 +226,7 @@ QUERIES = {
         abstention_rate, trust_report, regression_gate, precision_recall, gate_status,
         abstained_fields, ungrounded_fields, review_queue, review_queue_by_reason,
         review_queue_no_location, confidence_pairs, value_records, value_pivot,
-        verification_defaults, schema_violations,
+        verification_defaults, verification_join, schema_violations,
     )
 }
 
@@ -299,6 +314,9 @@ ORACLES = {
     "verification_defaults": f"""WITH {RECORDS}, {PRED_LONG} SELECT field, CASE WHEN field = 'invoice_number' AND k % 2 = 0 THEN 0.95::DOUBLE
         WHEN field = 'tax' THEN 0.7::DOUBLE WHEN field = 'currency' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence, count(*) AS n
         FROM pred GROUP BY ALL""",
+    "verification_join": f"""WITH {RECORDS}, {PRED_LONG}, a AS (SELECT *, field = 'currency' AND k % 3 = 0 AS gone FROM pred)
+        SELECT field, round(avg(CASE WHEN gone THEN 0.5::DOUBLE ELSE confidence END), 4) AS mean_confidence,
+        count(*) FILTER (WHERE located AND NOT gone) AS n_located, count(*) AS n FROM a GROUP BY field""",
     "schema_violations": f"""WITH {RECORDS} SELECT 'currency: confidence must lie in [0, 1]' AS violation, count(*) AS n FROM records WHERE k % 5 = 0
         UNION ALL SELECT 'subtotal: page must be >= 0', count(*) FROM records WHERE k % 7 = 0
         UNION ALL SELECT 'subtotal: bbox must hold 4 numbers', count(*) FROM records WHERE k % 7 = 0""",

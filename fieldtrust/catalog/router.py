@@ -86,6 +86,15 @@ def keyword_routing(spark, sf):
     )
 
 
+def first_page_routing(spark, sf):
+    """Conversations as documents of many pages, told by their first page."""
+    pages = table(spark, sf, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id")).alias("doc_name"), F.col("turn").alias("page"),
+        F.concat(F.col("text"), F.when(F.col("conv_id") % 3 == 0, F.lit(" Account holder")).otherwise(F.lit(" invoice"))).alias("text"),
+    )
+    return r.route(r.first_pages(pages)).select("doc_name", "predicted_type", "confidence")
+
+
 def keyword_routing_accuracy(spark, sf):
     return r.router_accuracy(r.router_results(r.route(_mixed(spark, sf))))
 
@@ -127,7 +136,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         training_set, class_distribution, stratified_folds, router_predictions, router_accuracy,
-        router_cross_validation, router_saved, router_record, keyword_routing, keyword_routing_accuracy,
+        router_cross_validation, router_saved, router_record, keyword_routing, first_page_routing,
+        keyword_routing_accuracy,
         two_tier_routing, class_report, misclassified_documents, skip_summary, skipped_documents,
     )
 }
@@ -159,6 +169,9 @@ ORACLES = {
     "class_distribution": f"SELECT lang AS label, count(*) AS n FROM documents WHERE {_BLANK} GROUP BY lang",
     "stratified_folds": """SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1) % 5 AS fold FROM documents""",
     "keyword_routing": f"{_ROUTED} SELECT doc_name, true_type, predicted_type, round(confidence, 6) AS confidence, true_type = predicted_type AS correct FROM routed",
+    "first_page_routing": f"""WITH x AS (SELECT conv_id, text || CASE WHEN conv_id % 3 = 0 THEN ' Account holder' ELSE ' invoice' END AS text FROM conversations WHERE turn = 0),
+        c AS (SELECT conv_id, {_A} AS a, {_B} AS b FROM x) SELECT 'c' || conv_id AS doc_name, CASE WHEN b > a THEN 'bank_statement' ELSE 'invoice' END AS predicted_type,
+        coalesce(greatest(a, b) / nullif(a + b, 0), 0.5) AS confidence FROM c""",
     "keyword_routing_accuracy": f"""{_ROUTED} SELECT true_type, round(avg((true_type = predicted_type)::INT), 4) AS accuracy,
         count(*) FILTER (WHERE true_type = predicted_type) AS n_correct, count(*) AS n FROM routed GROUP BY GROUPING SETS ((true_type), ())""",
     "class_report": f"""{_ROUTED}, c AS (SELECT unnest(['invoice', 'bank_statement']) AS class), s AS (SELECT class, count(*) FILTER (WHERE true_type = class) AS support,

@@ -129,6 +129,29 @@ def apply_verification(fields: Column, verification: Column) -> Column:
     return F.transform(fields, attach)
 
 
+def join_verification(
+    extracted: DataFrame, answers: DataFrame, keys: tuple[str, str] = ("doc_name", "field")
+) -> DataFrame:
+    """The same for long tables: extracted fields with a verifier's rows (keys, confidence,
+    source_location), left join on document and field."""
+    named = answers.select(
+        *[
+            F.when(F.col(k) == "tax_total_tax", F.lit("tax")).otherwise(F.col(k)).alias(k)
+            if k == keys[1]
+            else F.col(k)
+            for k in keys
+        ],
+        F.col("confidence").alias("_confidence"),
+        F.col("source_location").alias("_location"),
+    )
+    kept = [c for c in extracted.columns if c not in ("confidence", "source_location")]
+    return extracted.join(named, list(keys), "left").select(
+        *kept,
+        F.coalesce("_confidence", F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
+        F.col("_location").alias("source_location"),
+    )
+
+
 def fields_long(df: DataFrame, *keys: str, fields: str = "fields") -> DataFrame:
     """One row per (document, field)."""
     return df.select(*keys, F.inline(F.col(fields).cast(f"array<{FIELD_DDL}>")))

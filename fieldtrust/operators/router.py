@@ -55,6 +55,11 @@ def training_set(
     ).filter(F.col("text").isNotNull())
 
 
+def first_pages(pages: DataFrame, page: str = "page") -> DataFrame:
+    """Only the first page of a document is looked at to tell its type."""
+    return pages.filter(F.col(page) == 0)
+
+
 def class_distribution(training: DataFrame) -> DataFrame:
     return training.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

@@ -17,32 +17,12 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return reader.parquet(path)
 
 
-def job_states(
-    events: DataFrame, columns: list[str] | None = None, time: str | None = None, late: str | None = None
-) -> DataFrame:
+def job_states(events: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Streaming twin of the batch job view: one state row per job, kept by partial aggregates.
 
-    The reference point has no late-data rule, so jobs stay in state. ``time`` and ``late`` add a
-    watermark that ends a day's jobs once no more of their events are accepted; the view then is
-    per job and day.
+    The log has no late-data rule: events may come in any order, and a job stays in state.
     """
-    if time is None or late is None:
-        return job_view(events, columns)
-    return job_view_by_day(events.withWatermark(time, late), time, columns)
-
-
-def job_view_by_day(events: DataFrame, time: str, columns: list[str] | None) -> DataFrame:
-    from fieldtrust.operators.jobs import JOB_COLUMNS, latest, status_of_event
-
-    names = [c for c in (JOB_COLUMNS if columns is None else columns) if c in events.columns]
-    return (
-        events.withColumn("_status", status_of_event(F.col("event_type")))
-        .groupBy(F.window(time, "1 day"), "job_id")
-        .agg(
-            F.max_by("_status", F.when(F.col("_status").isNotNull(), F.col("ord"))).alias("status"),
-            *[latest(n).alias(n) for n in names],
-        )
-    )
+    return job_view(events, columns)
 
 
 def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,42 @@ def test_skips(spark):
     df = spark.createDataFrame([("a.pdf: tokens per day (TPD)",), ("b.pdf: x",)], "error string")
     assert {x["error_class"]: x["n"] for x in r.skip_summary(df).collect()} == {"tpd": 1, "other": 1}
     assert {tuple(x) for x in r.skipped_documents(df).collect()} == {("tpd", "a.pdf"), ("other", "b.pdf")}
+
+
+def test_features_and_optimum(spark):
+    """TF-IDF weights and the fitted coefficients against the formulas, worked out in numpy."""
+    texts = ["alpha beta alpha", "beta gamma", "alpha gamma delta", "beta beta delta", "delta delta alpha"] * 3
+    labels = [("a", "b")[i % 2] for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(texts, labels)), "text string, label string")
+    model = r.fit_router(df)
+    counts = model.pipeline.stages[4]
+    vocabulary = counts.vocabulary
+    rows = model.pipeline.transform(df).select("text", "label", "_features").collect()
+
+    def terms(text):
+        words = text.split()
+        return words + [" ".join(p) for p in zip(words, words[1:])]
+
+    n = len(texts)
+    frequency = np.array([sum(t in terms(x) for x in texts) for t in vocabulary])
+    idf = np.log((1 + n) / (1 + frequency)) + 1
+    x = np.array([[terms(row["text"]).count(t) for t in vocabulary] for row in rows]) * idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(x, np.array([row["_features"].toArray() for row in rows]))
+    lr = [s for s in model.pipeline.stages if hasattr(s, "interceptVector")][0]
+    y = np.array([row["label"] == "b" for row in rows], float)
+    w, b = lr.coefficients.toArray(), lr.intercept
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    # Gradient of  sum(log loss) + |w|^2 / 2  vanishes at the optimum.
+    assert np.abs(x.T @ (p - y) + w).max() < 0.02 and abs((p - y).sum()) < 0.02
+
+
+def test_first_pages(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "doc_name string, page int")
+    assert r.first_pages(df).count() == 2
+
+
+def test_training_record(training, model):
+    record = r.training_record(training, model, r.cross_validate(training, n_folds=3)).first()
+    assert (record["n_examples"], record["train_accuracy"], record["cv_accuracy_mean"]) == (35, 1.0, 1.0)
+    assert record["classes"] == ["bank_statement", "invoice"]
