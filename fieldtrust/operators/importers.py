@@ -84,9 +84,9 @@ def invoice_labels(
             "bad summary amount",
         ),
     )
-    return staged.select(
+    return computed_once(staged, "row_error", error).select(
         "filename",
-        error.alias("row_error"),
+        "row_error",
         _meta(F.col("filename"), None, "csv_ground_truth", labeled_at, note).alias("_meta"),
         raw["invoice_no"].alias("invoice_number"),
         parse_slash_date(raw["date_of_issue"]).alias("invoice_date"),
@@ -154,9 +154,9 @@ def statement_labels(
         lambda bad: bad,
     )
     error = _first_error((raw.isNull(), "invalid JSON"), (bad_date, "bad transaction date"))
-    return staged.select(
+    return computed_once(staged, "row_error", error).select(
         "doc_file",
-        error.alias("row_error"),
+        "row_error",
         _meta(F.col("doc_file"), "bank_statement", "huggingface_ground_truth", labeled_at, note).alias("_meta"),
         raw["account_holder"].alias("account_holder_name"),
         raw["account_number"].alias("account_number"),
