@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldtrust import carriers
 from fieldtrust.carriers import table
 from fieldtrust.catalog.router import INVOICE_TEXT, STATEMENT_TEXT
-from fieldtrust.catalog.sql import FIELDS, RECORDS, n1, n2, n3
+from fieldtrust.catalog.sql import FIELDS, PRED_LONG, RECORDS, SCORED, n1, n2, n3
 from fieldtrust.functions import fields as fl
 from fieldtrust.functions.parsing import fingerprint
 from fieldtrust.operators import extract as x
@@ -286,8 +286,6 @@ QUERIES = {
     )
 }
 
-from fieldtrust.catalog.sql import PRED_LONG, SCORED  # noqa: E402
-
 _RULE_SQL = {
     "invoice_number": r"(?im)^\s*invoice (?:no|number)\s*[:.]\s*(\S[^\r\n]*)$",
     "invoice_date": r"(?im)^\s*(?:invoice )?date(?: of issue)?\s*:\s*(\S[^\r\n]*)$",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrust import carriers
 from fieldtrust.carriers import account_number, table
 from fieldtrust.operators import importers as imp
 from fieldtrust.operators import router as r

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust import carriers
-from fieldtrust.catalog.sql import EVENT_SCORES, GATED, PRED_LONG, RECORDS, SCORED, TRUTH_LONG
+from fieldtrust.catalog.sql import EVENT_SCORES, GATED, PRED_LONG, RECORDS, SCORED
 from fieldtrust.functions import fields as fl
 from fieldtrust.operators import gate, trust
 from fieldtrust.plans.evaluation import report

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from fieldtrust import carriers
 from fieldtrust.carriers import table
+from fieldtrust.catalog.sql import PRED_LONG, RECORDS
 from fieldtrust.operators import retrieval as r
+from fieldtrust.operators.gate import apply_gate
 
 
 def _vectors(spark, sf):
@@ -93,8 +95,6 @@ def retrieval_off(spark, sf):
 
 def ingestable_exemplars(spark, sf):
     """Documents that may become exemplars: nothing abstained."""
-    from fieldtrust.operators.gate import apply_gate
-
     gated = carriers.invoice_predictions(spark, sf).withColumn("fields", apply_gate(F.col("fields"), 0.55))
     return r.ingestable_exemplars(gated).select(
         "id", "layout_text", F.try_element_at("extracted_fields", F.lit("subtotal")).alias("subtotal"),
@@ -110,8 +110,6 @@ QUERIES = {
     )
 }
 
-from fieldtrust.catalog.sql import PRED_LONG, RECORDS  # noqa: E402
-
 _COS = "1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _TOPK = f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 10) AS d FROM embeddings a JOIN embeddings b
     ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p)

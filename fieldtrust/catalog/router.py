@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldtrust import carriers
 from fieldtrust.carriers import table
 from fieldtrust.catalog.scalars import error_log
+from fieldtrust.catalog.sql import RECORDS, rendered_date
 from fieldtrust.operators import ranking
 from fieldtrust.operators import router as r
 from fieldtrust.session import fresh_path, materialised
@@ -142,8 +143,6 @@ QUERIES = {
     )
 }
 
-from fieldtrust.catalog.sql import RECORDS, rendered_date  # noqa: E402
-
 _BLANK = r"regexp_matches(text, '[^\s\p{Z}]')"
 INVOICE_TEXT = f"""texts AS (SELECT k, doc_name, 'Invoice No: ' || invoice_number || chr(10) || 'Date: ' || {rendered_date('k', 'invoice_date::DATE')}
   || chr(10) || coalesce('Due: ' || due_date, '') || chr(10) || 'Seller: ' || vendor_name || chr(10) || CASE WHEN k % 29 <> 0 THEN 'GSTIN: ' || vendor_gstin ELSE '' END

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fieldtrust.carriers import account_number, rendered_date, table
+from fieldtrust.carriers import account_number, invoice_records, rendered_date, table
 from fieldtrust.catalog.sql import RECORDS, n1, n2, n3, n4, rendered_date as sql_date
 from fieldtrust.functions import masking, normalize, parsing
 
@@ -159,8 +159,6 @@ def nested_paths(spark, sf):
 
 def label_paths(spark, sf):
     """Nested total of the ground-truth records."""
-    from fieldtrust.carriers import invoice_records
-
     return invoice_records(spark, sf).select("doc_name", F.col("tax.total_tax").alias("total_tax"), "due_date")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IDF,
     IndexToString,
@@ -18,6 +18,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
     StopWordsRemover,
     StringIndexer,
+    VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -112,14 +113,23 @@ def _with_terms(df: DataFrame) -> DataFrame:
     return PipelineModel(_token_stages()).transform(df).drop("_all_tokens", "_tokens", "_bigrams")
 
 
-def _fit_on_terms(
-    terms: DataFrame, max_features: int = MAX_FEATURES, c: float = REGULARISATION_C,
-    max_iter: int = MAX_ITER,
-) -> tuple[PipelineModel, list[str], int]:
-    """(stages after the terms, classes, examples) fitted on (_terms, label)."""
-    counts = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features).fit(terms)
-    # At most ``max_features`` counts per text are left; every later pass reads those.
-    counted = materialised(counts.transform(terms).select("_tf", "label"), "term-counts")
+def _term_totals(terms: DataFrame, *keys: str) -> DataFrame:
+    """How often each term occurs (added up before the shuffle)."""
+    return terms.select(*keys, F.explode("_terms").alias("term")).groupBy(*keys, "term").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def _top_terms(totals: DataFrame, max_features: int) -> list[str]:
+    """The most frequent terms, equal counts in alphabetical order."""
+    top = totals.orderBy(F.desc("n"), "term").limit(max_features)
+    return [row["term"] for row in top.collect()]
+
+
+def _fit_on_counts(
+    counted: DataFrame, c: float = REGULARISATION_C, max_iter: int = MAX_ITER
+) -> tuple[list, list[str], int]:
+    """(stages after the counts, classes, examples) fitted on (_tf, label)."""
     n = counted.count()
     if n < MIN_EXAMPLES:
         raise ValueError(f"only {n} examples, too few to train on")
@@ -141,32 +151,59 @@ def _fit_on_terms(
         regParam=1.0 / (c * n), standardization=False,
     ).fit(features.select("_features", "_label"))
     named = IndexToString(inputCol="_prediction", outputCol="predicted_type", labels=index.labels)
-    return PipelineModel([counts, weights, unit, model, named]), list(index.labels), n
+    return [weights, unit, model, named], list(index.labels), n
 
 
-def fit_router(training: DataFrame, **recipe: object) -> RouterModel:
-    """Fit TF-IDF over uni- and bigrams with logistic regression on (text, label)."""
+def fit_router(
+    training: DataFrame, max_features: int = MAX_FEATURES, **solver: object
+) -> RouterModel:
+    """Fit TF-IDF over uni- and bigrams with logistic regression on (text, label).
+
+    Texts are cut into terms twice, for the vocabulary and for the counts. The counts, at most
+    ``max_features`` numbers per text, are written, and all later passes read those.
+    """
     started = time.monotonic()
-    tail, classes, n = _fit_on_terms(_with_terms(training.select("text", "label")), **recipe)
+    terms = _with_terms(training.select("text", "label"))
+    vocabulary = _top_terms(_term_totals(terms), max_features)
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, "_terms", "_tf")
+    counted = materialised(counts.transform(terms).select("_tf", "label"), "term-counts")
+    tail, classes, n = _fit_on_counts(counted, **solver)
     meta = {
         "n_examples": n,
         "classes": sorted(classes),
         "train_time_s": round(time.monotonic() - started, 4),
     }
-    return RouterModel(PipelineModel(_token_stages() + tail.stages), meta)
+    return RouterModel(PipelineModel([*_token_stages(), counts, *tail]), meta)
 
 
 def cross_validate(
     training: DataFrame, n_folds: int = N_FOLDS, seed: int = SEED, key: str = "doc_name",
-    **recipe: object,
+    max_features: int = MAX_FEATURES, **solver: object,
 ) -> DataFrame:
-    """Accuracy per held-out fold (fold, accuracy, n). Texts are cut into terms once."""
-    folds = stratified_folds(training, "label", key, n_folds, seed)
-    terms = materialised(_with_terms(folds).select("label", "fold", "_terms"), "fold-terms")
+    """Accuracy per held-out fold (fold, accuracy, n).
+
+    Each fold has its own vocabulary, but texts are still cut into terms only twice: term totals are
+    kept per fold, so that every training part's totals are sums of them, and counts are taken
+    once over the union of the vocabularies.
+    """
+    terms = _with_terms(stratified_folds(training, "label", key, n_folds, seed))
+    totals = materialised(_term_totals(terms, "fold"), "fold-terms")
+    vocabularies = [
+        _top_terms(
+            totals.filter(F.col("fold") != i).groupBy("term").agg(F.sum("n").alias("n")), max_features
+        )
+        for i in range(n_folds)
+    ]
+    union = sorted(set().union(*vocabularies))
+    place = {term: i for i, term in enumerate(union)}
+    counter = CountVectorizerModel.from_vocabulary(union, "_terms", "_all_tf")
+    counted = materialised(counter.transform(terms).select("label", "fold", "_all_tf"), "fold-counts")
     scores = None
-    for i in range(n_folds):
-        tail, _, _ = _fit_on_terms(terms.filter(F.col("fold") != i), **recipe)
-        held_out = _scored(tail, terms.filter(F.col("fold") == i))
+    for i, vocabulary in enumerate(vocabularies):
+        own = VectorSlicer(inputCol="_all_tf", outputCol="_tf", indices=[place[t] for t in vocabulary])
+        rows = own.transform(counted)
+        tail, _, _ = _fit_on_counts(rows.filter(F.col("fold") != i), **solver)
+        held_out = _scored(PipelineModel(tail), rows.filter(F.col("fold") == i))
         one = held_out.agg(
             F.lit(i).alias("fold"),
             F.avg((F.col("predicted_type") == F.col("label")).cast("int")).alias("accuracy"),

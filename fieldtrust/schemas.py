@@ -103,8 +103,3 @@ EVENT_DDL = (
     "doc_type string, queue_items int, error_message string, processing_time_s double, "
     "created_at timestamp"
 )
-
-
-def struct_of(ddl: str) -> T.StructType:
-    """Parsed form of one of the DDL strings above (needs an active session)."""
-    return T.StructType.fromDDL(ddl)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldtrust.functions.staging import computed_once
-from fieldtrust.schemas import INVOICE_LABEL_DDL, RAW_INVOICE_DDL, RAW_STATEMENT_DDL, struct_of
+from fieldtrust.schemas import INVOICE_LABEL_DDL, RAW_INVOICE_DDL, RAW_STATEMENT_DDL
 
 # Document formats taken in.
 PDF_SUFFIXES = [".pdf"]

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrust.operators import router as r
+from fieldtrust.operators.ranking import stratified_folds
 from fieldtrust.session import fresh_path
 
 
@@ -113,3 +114,22 @@ def test_training_record(training, model):
     record = r.training_record(training, model, r.cross_validate(training, n_folds=3)).first()
     assert (record["n_examples"], record["train_accuracy"], record["cv_accuracy_mean"]) == (35, 1.0, 1.0)
     assert record["classes"] == ["bank_statement", "invoice"]
+
+
+def test_cross_validation_equals_fitting_each_fold(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for n in range(80):
+        label = "ab"[n % 2]
+        lean = words[:34] if label == "a" else words[6:]
+        rows.append((f"d{n}", " ".join(rng.choice(lean, 5)), label))
+    df = spark.createDataFrame(rows, "doc_name string, text string, label string")
+    got = {x["fold"]: x["accuracy"] for x in r.cross_validate(df, n_folds=3, max_features=30).collect()}
+    folds = stratified_folds(df, "label", "doc_name", 3)
+    for i, accuracy in got.items():
+        model = r.fit_router(folds.filter(F.col("fold") != i), max_features=30)
+        held = model.predict(folds.filter(F.col("fold") == i))
+        want = held.select(F.avg((F.col("predicted_type") == F.col("label")).cast("int"))).first()[0]
+        assert accuracy == pytest.approx(want)
+    assert min(got.values()) < 1.0
