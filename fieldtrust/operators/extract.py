@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtrust.functions.fields import field_struct, has_value, location, no_location, rebuilt
+from fieldtrust.functions.fields import field_struct, location, no_location, rebuilt
 from fieldtrust.functions.normalize import normalize_address, normalize_date, normalize_number, strip
 from fieldtrust.functions.staging import computed_once
 from fieldtrust.schemas import DATE_FIELDS, INVOICE_FIELDS, NUMBER_FIELDS
@@ -159,6 +159,13 @@ def model_extractor(
 EXACT, REFORMATTED, PARTIAL, ABSENT = 0.95, 0.8, 0.6, 0.2
 
 
+# Written dates as word sequences, separators aside.
+_DATE_WORDS = [
+    "yyyy MM dd", "dd MM yyyy", "MM dd yyyy", "d M yyyy",
+    "MMMM dd yyyy", "MMMM d yyyy", "dd MMMM yyyy", "d MMMM yyyy",
+]
+
+
 def text_verifier(df: DataFrame, text: str = "text", page: int = 0) -> DataFrame:
     """Set confidence and location of every field by looking its value up in the document's text.
 
@@ -176,41 +183,48 @@ def text_verifier(df: DataFrame, text: str = "text", page: int = 0) -> DataFrame
             F.lit(page), x0, F.lit(0.0), F.least(x0 + width / total, F.lit(1.0)), F.lit(1.0)
         )
 
+    def other_form_at(f: Column, bare: Column) -> Column:
+        """Place of the value in another spelling: by words, as a date, or as a number."""
+        day = normalize_date(f["value"]).try_cast("date")
+        written = [
+            F.instr(F.col("_words"), F.concat(F.lit(" "), F.lower(F.date_format(day, form)), F.lit(" ")))
+            for form in _DATE_WORDS
+        ]
+        number = F.regexp_replace(f["value"], r"[^0-9.\-]", "")
+        plain = F.regexp_replace(body, r"(?<=\d),(?=\d)", "")
+        special = (
+            F.when(f["field"].isin(DATE_FIELDS), F.greatest(*written))
+            .when(f["field"].isin(NUMBER_FIELDS) & (number != ""), F.instr(plain, number))
+        )
+        return F.greatest(
+            F.when(F.trim(bare) != "", F.instr(F.col("_words"), bare)), special, F.lit(0)
+        )
+
     def verify(f: Column) -> Column:
         value = f["value"]
-        # Compared forms: number and date fields in their canonical form as well as by words.
         bare = F.concat(F.lit(" "), normalize_address(value), F.lit(" "))
-        iso = F.concat(F.lit(" "), normalize_address(normalize_date(value)), F.lit(" "))
         exact_at = F.instr(body, value)
-        bare_at = F.greatest(
-            F.instr(F.col("_words"), bare),
-            F.when(f["field"].isin(DATE_FIELDS), F.instr(F.col("_words"), iso)).otherwise(0),
-        )
+        bare_at = other_form_at(f, bare)
         tokens = F.filter(F.split(F.trim(bare), " "), lambda t: t != "")
         hits = F.filter(
             tokens, lambda t: F.instr(F.col("_words"), F.concat(F.lit(" "), t, F.lit(" "))) > 0
         )
         partly = (F.size(tokens) > 0) & (F.size(hits) * 2 >= F.size(tokens))
-        blank = F.trim(bare) == ""
         return rebuilt(
             f,
             confidence=F.when(value.isNull(), F.lit(ABSENT))
             .when(exact_at > 0, F.lit(EXACT))
-            .when(~blank & (bare_at > 0), F.lit(REFORMATTED))
+            .when(bare_at > 0, F.lit(REFORMATTED))
             .when(partly, F.lit(PARTIAL))
             .otherwise(F.lit(ABSENT)),
             source_location=F.when(
                 exact_at > 0, span(exact_at, F.length(value), F.col("_length"))
             )
             .when(
-                ~blank & (bare_at > 0),
+                bare_at > 0,
                 span(bare_at, F.length(value), F.length(F.col("_words")).cast("double")),
             )
             .otherwise(no_location()),
         )
 
     return staged.withColumn("fields", F.transform("fields", verify)).drop("_words", "_length")
-
-
-def extracted_any(fields: Column) -> Column:
-    return F.exists(fields, has_value)

@@ -48,6 +48,17 @@ def test_verifier_bands(spark):
     }
 
 
+def test_verifier_knows_other_spellings(spark):
+    df = documents(spark, {"a": {
+        "invoice_date": ("2024-03-15", 1.0), "due_date": ("March 16, 2024", 1.0), "subtotal": ("1000.5", 1.0), "total_amount": ("1180.58", 1.0),
+        "tax": ("n/a", 1.0),
+    }}).withColumn("text", F.lit(TEXT))
+    got = {k: r["confidence"] for k, r in fields_of(x.text_verifier(df)).items()}
+    assert got == {
+        "invoice_date": x.REFORMATTED, "due_date": x.ABSENT, "subtotal": x.REFORMATTED, "total_amount": x.ABSENT, "tax": x.ABSENT,
+    }
+
+
 def test_model_retries_then_error_row(spark):
     def call(text, hint):
         if text == "never":
