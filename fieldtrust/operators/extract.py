@@ -1,7 +1,7 @@
 """Text -> typed fields, and text -> confidence and location per field.
 
-The reference point of both steps is a pluggable extractor. The default works by rules, as
-expressions; a model of the user's own runs batch-wise inside ``mapInPandas``.
+Both steps are plugged in. The defaults work by rules, as expressions; a model of the user's own
+runs batch-wise inside ``mapInPandas``.
 """
 
 from __future__ import annotations

@@ -18,6 +18,10 @@ from fieldtrust.functions.staging import computed_once
 from fieldtrust.schemas import LINE_ITEM_DDL, META_DDL, TAX_DDL, TRANSACTION_DDL
 
 
+# Who a label says it was made by.
+_BY_CSV, _BY_STATEMENT_BATCH = "csv_ground_truth", "huggingface_ground_truth"
+
+
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
@@ -87,7 +91,7 @@ def invoice_labels(
     return computed_once(staged, "row_error", error).select(
         "filename",
         "row_error",
-        _meta(F.col("filename"), None, "csv_ground_truth", labeled_at, note).alias("_meta"),
+        _meta(F.col("filename"), None, _BY_CSV, labeled_at, note).alias("_meta"),
         raw["invoice_no"].alias("invoice_number"),
         parse_slash_date(raw["date_of_issue"]).alias("invoice_date"),
         _null("string").alias("due_date"),
@@ -157,7 +161,7 @@ def statement_labels(
     return computed_once(staged, "row_error", error).select(
         "doc_file",
         "row_error",
-        _meta(F.col("doc_file"), "bank_statement", "huggingface_ground_truth", labeled_at, note).alias("_meta"),
+        _meta(F.col("doc_file"), "bank_statement", _BY_STATEMENT_BATCH, labeled_at, note).alias("_meta"),
         raw["account_holder"].alias("account_holder_name"),
         raw["account_number"].alias("account_number"),
         raw["bank_name"].alias("bank_name"),

@@ -321,6 +321,7 @@ def regression_gate(
     def pct(c: Column) -> Column:
         return F.concat(F.format_number(c * 100, 1), F.lit("%"))
 
+    # The wording of the messages.
     bounds = f"floor {floor:.1%} (baseline {baseline:.1%} - tolerance {tolerance:.1%})"
     return summary.select(
         F.coalesce(acc >= F.lit(floor), F.lit(False)).alias("passed"),
