@@ -26,27 +26,30 @@ MAX_EPOCHS = 3
 CELLS = 65_536
 #: Weight of a document in the draw, by its quality label.
 QUALITY = {1: 2.0, 0: 0.5}
+#: Words from which a text without labels has its full weight.
+FULL_WORDS = 200
 
 
-def keyed(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``docs`` with size, key and cell. Null texts have size 0; documents without a quality label weigh 1."""
-    if labels is None:
-        rows = docs.withColumn("_w", F.lit(1.0))
-    else:
-        quality = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
-        weight = F.lit(1.0)
-        for label, value in QUALITY.items():
-            weight = F.when(F.col("_q") == label, value).otherwise(weight)
-        rows = docs.join(quality, docs["doc_id"] == quality["_id"], "left").withColumn("_w", weight).drop("_id", "_q")
+def sized(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of words in each text; null texts have none."""
+    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+
+
+def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with _weight, by the quality label; documents without one weigh 1."""
+    quality = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
+    weight = F.lit(1.0)
+    for label, value in QUALITY.items():
+        weight = F.when(F.col("_q") == label, value).otherwise(weight)
+    return docs.join(quality, docs["doc_id"] == quality["_id"], "left").withColumn("_weight", weight).drop("_id", "_q")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, _weight) with the key of the draw and its cell."""
     digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return (
-        rows.withColumn("size", size)
-        .withColumn("_key", -F.log(u) / F.col("_w"))
-        .withColumn("_cell", F.floor((1 - F.exp(-F.col("_key"))) * CELLS))
-        .drop("_w")
-    )
+    rows = docs.withColumn("_key", -F.log(u) / F.col("_weight"))
+    return rows.withColumn("_cell", F.floor((1 - F.exp(-F.col("_key"))) * CELLS)).drop("_weight")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = MAX_EPOCHS) -> DataFrame:
@@ -77,17 +80,16 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float =
     return rows.select("source", "source_size", target.alias("target"), epochs.cast("long").alias("_epochs"))
 
 
-def mix(docs: DataFrame, labels: DataFrame | None, weights: Sequence[float] = WEIGHTS) -> DataFrame:
-    """Rows of ``docs`` (doc_id, source, text, any others) with size, source_size, target, copies and taken.
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """Rows of ``docs`` (doc_id, source, size, _weight, any others) with source_size, target, copies and taken.
 
     copies = times the mix repeats the document, taken = copies * size. Within a source, complete epochs
     come first; of the rest, documents in the order of their keys as long as each brings the total nearer
-    to the target. Writes the keyed rows once to the shared folder. Rows that repeat a doc_id and a size
-    share one key and are taken together. Null ids, sources and texts are ordinary values; a source
-    without words is kept once; an empty table gives an empty one.
+    to the target. Writes the keyed rows once to the shared folder: what follows reads its columns by need.
+    Rows that repeat a doc_id and a size share one key and are taken together. Null ids and sources are
+    ordinary values; a source without words is kept once; an empty table gives an empty one.
     """
-    clash = {c: f"_in_{c}" for c in ("size", "source_size", "target", "copies", "taken") if c in docs.columns}
-    rows = materialised(keyed(docs.withColumnsRenamed(clash), labels), "keyed")
+    rows = materialised(keyed(docs), "keyed")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     share = targets(sizes, weights).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     share = materialised(share, "shares")
@@ -125,15 +127,24 @@ def mix(docs: DataFrame, labels: DataFrame | None, weights: Sequence[float] = WE
     return out.drop("_key", "_cell")
 
 
-def mixture(docs: DataFrame, labels: DataFrame | None, weights: Sequence[float] = WEIGHTS) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it was taken, in its own columns."""
-    mixed = mix(docs, labels, weights).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return mixed.select(*[F.col(f"_in_{c}").alias(c) if f"_in_{c}" in mixed.columns else F.col(c) for c in docs.columns])
+def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """The mix of ``docs`` (doc_id, source, text, any others) itself: every row as often as it is taken.
+
+    Texts weigh by their length up to ``FULL_WORDS`` words, from 0.5 to 1.5, which needs no second table
+    and so no shuffle of texts. Columns stay as they are, also those named like a result of ``mix``.
+    """
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = sized(docs.select("doc_id", "source", "text", given)).drop("text")
+    weight = 0.5 + F.least(F.col("size"), F.lit(FULL_WORDS)) / FULL_WORDS
+    mixed = mix(rows.withColumn("_weight", weight), weights).where("copies > 0")
+    repeated = mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select("_row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    mixed = mix(labelled_quality(docs, table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources}

@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 
-from fieldtrust.llm.mixing import QUALITY, mix, mixture, targets
+from fieldtrust.llm.mixing import QUALITY, labelled_quality, mix, mixture, sized, targets
 
 DOCS = "doc_id long, source string, text string"
 
@@ -42,18 +42,17 @@ def test_takings_equal_one_sorted_pass(spark):
     docs = [(i, "hot" if i % 3 else f"s{i % 7}", "word " * (1 + i * 37 % 90)) for i in range(600)]
     docs += [(1000, None, None), (1001, None, ""), (1002, None, "a  b\tc d\n"), (None, "s1", "x y"), (5, "s9", "same"), (5, "s9", "same")]
     labels = [(i, i % 2, 0) for i in range(0, 400)] + [(3, 1, 0), (None, 1, 0)]
-    got = mix(
-        spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    ).collect()
+    rows = labelled_quality(sized(spark.createDataFrame(docs, DOCS)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = mix(rows).collect()
     quality = {}
     for i, q, _ in labels:
         quality[i] = max(q, quality.get(i, 0))
-    sized = [(d, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, s, t in docs]
-    sizes = {s: sum(z for _, o, z in sized if o == s) for _, s, _ in sized}
+    counted = [(d, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, s, t in docs]
+    sizes = {s: sum(z for _, o, z in counted if o == s) for _, s, _ in counted}
     target = plain_targets(sizes)
     want = []
     for s in sizes:
-        own = sorted((key(d, QUALITY.get(quality.get(d) if d is not None else None, 1.0)), d is not None, d or 0, z) for d, o, z in sized if o == s)
+        own = sorted((key(d, QUALITY.get(quality.get(d) if d is not None else None, 1.0)), d is not None, d or 0, z) for d, o, z in counted if o == s)
         epochs = math.floor(target[s] / sizes[s]) if sizes[s] else 1
         rest, before = target[s] - epochs * sizes[s], 0
         for _, known, d, z in own:
@@ -63,7 +62,7 @@ def test_takings_equal_one_sorted_pass(spark):
     assert shape((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in got) == shape(want)
     for s in sizes:
         taken = sum(r["taken"] for r in got if r["source"] == s)
-        assert abs(taken - target[s]) <= max(z for _, o, z in sized if o == s)
+        assert abs(taken - target[s]) <= max(z for _, o, z in counted if o == s)
     assert all(r["taken"] <= 3 * r["size"] for r in got)
 
 
@@ -72,14 +71,14 @@ def test_mixture_repeats_rows_in_their_own_columns(spark):
         [(1, "a", "one two three four", 9, "t"), (2, "b", "x", 8, "u"), (3, "b", "y z", 7, "v")],
         DOCS + ", size int, target string",
     )
-    mixed = mix(docs, None)
-    out = mixture(docs, None)
+    out = mixture(docs)
     assert out.columns == docs.columns
-    assert out.count() == sum(r["copies"] for r in mixed.collect())
+    # 7 words by weights 5 and 2: a's target 5 and b's 2; a is one epoch of 4 and a rest of 1, b is less than one epoch.
+    assert [tuple(r) for r in out.collect()].count((1, "a", "one two three four", 9, "t")) == 1
     assert {r["size"] for r in out.collect()} <= {9, 8, 7}
 
 
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
-    assert mix(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
-    assert mixture(empty, None).count() == 0
+    assert mix(labelled_quality(sized(empty), spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
+    assert mixture(empty).count() == 0
