@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrust.llm import mixing
+from fieldtrust.llm import bpe, mixing
 
-_MODULES = (mixing,)
+_MODULES = (bpe, mixing)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
