@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrust.llm import bpe, mixing
+from fieldtrust.llm import bpe, mixing, toxicity
 
-_MODULES = (bpe, mixing)
+_MODULES = (bpe, mixing, toxicity)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
