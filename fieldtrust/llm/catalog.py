@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrust.llm import bpe, mixing, toxicity
+from fieldtrust.llm import bpe, jaccard, mixing, toxicity
 
-_MODULES = (bpe, mixing, toxicity)
+_MODULES = (bpe, jaccard, mixing, toxicity)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
