@@ -29,9 +29,9 @@ from fieldtrust.llm.common import table, tokenizer_path, whole_text
 #: Code points of a leaf, and of a piece that is a task's row of its own.
 LEAF = 2048
 PIECE = 1 << 16
-#: Longest chunk that is looked up in the table of chunks, and most chunks in it.
+#: Longest chunk that is looked up in the table of chunks, and most chunks in each of its two generations.
 CHUNK = 64
-TABLE = 500_000
+TABLE = 150_000
 
 Segment = tuple[str, bytes]  # text, ids as little-endian unsigned 32-bit integers
 
@@ -51,7 +51,9 @@ class TreeEncoder:
         self.tokenizer.no_padding()
         self.leaf = max(1, leaf)
         self.reach = max([1, *(len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
-        self._after_blank: dict[str, Segment] = {}
+        # Chunks that follow a blank. When the young generation is full it becomes the old one; what is met again returns.
+        self._young: dict[str, Segment] = {}
+        self._old: dict[str, Segment] = {}
 
     def ids(self, text: str) -> bytes:
         return b"".join([ids for _, ids in self.segments(text)])
@@ -85,41 +87,48 @@ class TreeEncoder:
     def _flat(self, text: str) -> list[Segment]:
         """Segments of a text without cutting it in halves."""
         first, *rest = text.split(" ")
-        found = list(map(self._after_blank.get, rest))
+        found: list[Segment | None] = list(map(self._young.get, rest))
         if None in found:
-            if not all(map(self._known_start, rest)):
-                return self._chunks([c for c in self._CUT.split(text) if c])
-            return self._chunks([c for c in (first, *[f" {r}" for r in rest]) if c])
-        return (self._chunks([first]) if first else []) + found
-
-    def _known_start(self, chunk: str) -> bool:
-        return self._VISIBLE.match(chunk) is not None
-
-    def _chunks(self, chunks: list[str]) -> list[Segment]:
-        known = self._after_blank
-        new = {c for c in chunks if c[0] == " " and len(c) <= CHUNK and c[1:] not in known}
-        # A chunk that does not follow a blank, as the first of a leaf, is encoded each time.
-        single = [*new, *(c for c in chunks if c[0] != " " and len(c) <= CHUNK)]
-        encoded = dict(zip(single, self._encoded(single)))
-        if len(known) + len(new) > TABLE:
-            known.clear()
-        out: list[Segment] = []
-        for chunk in chunks:
-            if len(chunk) > CHUNK:
-                out += self._tokens(chunk)
-                continue
-            segment = known.get(chunk[1:]) if chunk[0] == " " else None
+            missing = [i for i, segment in enumerate(found) if segment is None]
+            if not all(self._VISIBLE.match(rest[i]) for i in missing):
+                first, *rest = [c for c in self._CUT.split(text) if c] or [""]
+                if first[:1] == " ":
+                    first, rest = "", [first, *rest]
+                rest = [c[1:] for c in rest]
+                found = list(map(self._young.get, rest))
+            self._learn([c for c, segment in zip(rest, found) if segment is None and len(c) < CHUNK])
+            young = self._young
+            found = [segment or young.get(c) for c, segment in zip(rest, found)]
+            if None in found:  # too long for the table
+                found = [s for c, segment in zip(rest, found) for s in ((segment,) if segment else self._tokens(f" {c}"))]
+        if not first:
+            return found
+        return (self._tokens(first) if len(first) > CHUNK else [(first, self._encoded([first])[0])]) + found
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts chunks that follow a blank into the table."""
+        if len(self._young) + len(chunks) > TABLE:
+            self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        new = []
+        for chunk in dict.fromkeys(chunks):
+            segment = old.get(chunk)
             if segment is None:
-                segment = (chunk, encoded[chunk] if chunk in encoded else self._encoded([chunk])[0])
-                if chunk[0] == " " and len(chunk) > 1 and self._known_start(chunk[1:]):
-                    known[chunk[1:]] = segment
-            out.append(segment)
-        return out
+                new.append(f" {chunk}")
+            else:
+                young[chunk] = segment
+        for chunk, ids in zip(new, self._encoded(new)):
+            young[chunk[1:]] = (chunk, ids)
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        if not texts:
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, of which all but the first begin with a blank: one text to the library, cut afterwards."""
+        if not chunks:
             return []
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encoding = self.tokenizer.encode("".join(chunks), add_special_tokens=False)
+        ids = np.array(encoding.ids, "<u4").tobytes()
+        starts = [start for start, _ in encoding.offsets]
+        ends = np.searchsorted(starts, np.cumsum([len(c) for c in chunks]))
+        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], [*ends[:-1], len(starts)])]
 
     def _tokens(self, text: str) -> list[Segment]:
         """A segment per token; tokens that share a character stay together, dropped blanks go with what follows."""
