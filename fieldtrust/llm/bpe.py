@@ -33,14 +33,15 @@ PIECE = 1 << 16
 CHUNK = 64
 TABLE = 150_000
 
-Segment = tuple[str, bytes]  # text, ids as little-endian unsigned 32-bit integers
+#: Texts of consecutive segments, and the ids of each as little-endian unsigned 32-bit integers.
+Segments = tuple[list[str], list[bytes]]
 
 
 class TreeEncoder:
     """Encodes texts with one vocabulary file. A chunk met before is looked up instead of merged again."""
 
     _CUT = re.compile(r"(?= [!-~À-ɏ])")
-    _VISIBLE = re.compile(r"[!-~À-ɏ]")
+    _CHUNK = re.compile(r" [!-~À-ɏ]")
 
     def __init__(self, path: str, leaf: int = LEAF):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,103 +52,107 @@ class TreeEncoder:
         self.tokenizer.no_padding()
         self.leaf = max(1, leaf)
         self.reach = max([1, *(len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
-        # Chunks that follow a blank. When the young generation is full it becomes the old one; what is met again returns.
-        self._young: dict[str, Segment] = {}
-        self._old: dict[str, Segment] = {}
+        # Ids of chunks. When the young generation is full it becomes the old one; what is met again returns.
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        return b"".join([ids for _, ids in self.segments(text)])
+        return b"".join(self.segments(text)[1])
 
     def decode(self, ids: bytes) -> str:
         return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
-    def segments(self, text: str) -> list[Segment]:
+    def segments(self, text: str) -> Segments:
         if len(text) <= self.leaf:
             return self._flat(text)
         middle = len(text) // 2
         return self.join(self.segments(text[:middle]), self.segments(text[middle:]))
 
-    def join(self, left: list[Segment], right: list[Segment]) -> list[Segment]:
+    def join(self, left: Segments, right: Segments) -> Segments:
+        if not left[0] or not right[0]:
+            return left if left[0] else right
         width = 1
         while True:
             width *= 2
-            ends, begins = left[-width:], right[:width]
-            before, after = "".join([t for t, _ in ends]), "".join([t for t, _ in begins])
-            all_left, all_right = width >= len(left), width >= len(right)
-            window = self._flat(before + after)
-            wide = (all_left or len(before) >= self.reach) and (all_right or len(after) >= self.reach)
-            if (all_left and all_right) or (
-                wide
-                and (all_left or window[0] == ends[0])
-                and (all_right or window[-1] == begins[-1])
-                and (all_left or all_right or len(window) > 1)
-            ):
-                return left[: -len(ends) or None] + window + right[len(begins) :] if ends else window + right[len(begins) :]
-
-    def _flat(self, text: str) -> list[Segment]:
+            before, after = "".join(left[0][-width:]), "".join(right[0][:width])
+            all_left, all_right = width >= len(left[0]), width >= len(right[0])
+            texts, ids = self._flat(before + after)
+            at_left = all_left or (len(before) >= self.reach and (texts[0], ids[0]) == (left[0][-width], left[1][-width]))
+            at_right = all_right or (len(after) >= self.reach and (texts[-1], ids[-1]) == (right[0][width - 1], right[1][width - 1]))
+            if at_left and at_right and (len(texts) > 1 or all_left or all_right):
+                for side, window, other in ((left[0], texts, right[0]), (left[1], ids, right[1])):
+                    side[-width:] = window
+                    side += other[width:]
+                return left
+
+    def _flat(self, text: str) -> Segments:
         """Segments of a text without cutting it in halves."""
-        first, *rest = text.split(" ")
-        found: list[Segment | None] = list(map(self._young.get, rest))
-        if None in found:
-            missing = [i for i, segment in enumerate(found) if segment is None]
-            if not all(self._VISIBLE.match(rest[i]) for i in missing):
-                first, *rest = [c for c in self._CUT.split(text) if c] or [""]
-                if first[:1] == " ":
-                    first, rest = "", [first, *rest]
-                rest = [c[1:] for c in rest]
-                found = list(map(self._young.get, rest))
-            self._learn([c for c, segment in zip(rest, found) if segment is None and len(c) < CHUNK])
-            young = self._young
-            found = [segment or young.get(c) for c, segment in zip(rest, found)]
-            if None in found:  # too long for the table
-                found = [s for c, segment in zip(rest, found) for s in ((segment,) if segment else self._tokens(f" {c}"))]
-        if not first:
-            return found
-        return (self._tokens(first) if len(first) > CHUNK else [(first, self._encoded([first])[0])]) + found
+        texts = self._cut(text) if "\0" in text else text.replace(" ", "\0 ").split("\0")
+        if not texts[0]:
+            del texts[0]
+        ids: list[bytes | None] = list(map(self._young.get, texts))
+        if None in ids:
+            if not all(self._CHUNK.match(t) for t, known in zip(texts[1:], ids[1:]) if known is None):
+                texts = self._cut(text)
+                ids = list(map(self._young.get, texts))
+            self._learn([t for t, known in zip(texts, ids) if known is None and len(t) <= CHUNK])
+            ids = [self._young.get(t) if known is None else known for t, known in zip(texts, ids)]
+            if None in ids:
+                return self._with_tokens(texts, ids)
+        return texts, ids
+
+    def _cut(self, text: str) -> list[str]:
+        return [c for c in self._CUT.split(text) if c] or [""]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Puts chunks that follow a blank into the table."""
+        """Puts chunks into the table; only the first may begin without a blank."""
         if len(self._young) + len(chunks) > TABLE:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old
         new = []
         for chunk in dict.fromkeys(chunks):
-            segment = old.get(chunk)
-            if segment is None:
-                new.append(f" {chunk}")
+            ids = old.get(chunk)
+            if ids is None:
+                new.append(chunk)
             else:
-                young[chunk] = segment
-        for chunk, ids in zip(new, self._encoded(new)):
-            young[chunk[1:]] = (chunk, ids)
+                young[chunk] = ids
+        young.update(zip(new, self._encoded(new)))
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk, of which all but the first begin with a blank: one text to the library, cut afterwards."""
+        """Ids of each chunk: one text to the library, cut afterwards."""
         if not chunks:
             return []
         encoding = self.tokenizer.encode("".join(chunks), add_special_tokens=False)
         ids = np.array(encoding.ids, "<u4").tobytes()
         starts = [start for start, _ in encoding.offsets]
-        ends = np.searchsorted(starts, np.cumsum([len(c) for c in chunks]))
-        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], [*ends[:-1], len(starts)])]
+        ends = np.searchsorted(starts, np.cumsum([len(c) for c in chunks[:-1]])).tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], [*ends, len(starts)])]
+
+    def _with_tokens(self, texts: list[str], ids: list[bytes | None]) -> Segments:
+        """The segments, with those of its tokens for each chunk too long for the table."""
+        out: Segments = ([], [])
+        for text, known in zip(texts, ids):
+            more = ([text], [known]) if known is not None else self._tokens(text)
+            out[0].extend(more[0])
+            out[1].extend(more[1])
+        return out
 
-    def _tokens(self, text: str) -> list[Segment]:
+    def _tokens(self, text: str) -> Segments:
         """A segment per token; tokens that share a character stay together, dropped blanks go with what follows."""
         encoding = self.tokenizer.encode(text, add_special_tokens=False)
-        spans: list[list] = []
+        ends: list[int] = []
+        tokens: list[list[int]] = []
         for token, (start, end) in zip(encoding.ids, encoding.offsets):
-            if spans and start < spans[-1][0]:
-                spans[-1][0] = max(end, spans[-1][0])
-                spans[-1][1].append(token)
+            if ends and start < ends[-1]:
+                ends[-1] = max(end, ends[-1])
+                tokens[-1].append(token)
             else:
-                spans.append([end, [token]])
-        if not spans:
-            return [(text, b"")]
-        spans[-1][0] = len(text)
-        out, at = [], 0
-        for end, tokens in spans:
-            out.append((text[at:end], np.array(tokens, "<u4").tobytes()))
-            at = end
-        return out
+                ends.append(end)
+                tokens.append([token])
+        if not ends:
+            return [text], [b""]
+        ends[-1] = len(text)
+        return [text[a:b] for a, b in zip([0, *ends], ends)], [np.array(t, "<u4").tobytes() for t in tokens]
 
 
 @lru_cache(maxsize=2)
@@ -179,8 +184,8 @@ def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("_hash"), batch.column("_piece"),
-                    pa.array([[t for t, _ in s] for s in found], pa.list_(pa.string())),
-                    pa.array([[i for _, i in s] for s in found], pa.list_(pa.binary())),
+                    pa.array([texts for texts, _ in found], pa.list_(pa.string())),
+                    pa.array([ids for _, ids in found], pa.list_(pa.binary())),
                 ],
                 ["doc_id", "_hash", "_piece", "texts", "ids"],
             )
@@ -195,10 +200,10 @@ def _joined(path: str) -> Callable[[pa.Table], pa.Table]:
         numbers = pieces.column("_piece").to_pylist()
         copies = numbers.count(0)
         texts, ids = pieces.column("texts"), pieces.column("ids")
-        parts = [list(zip(texts[i].as_py(), ids[i].as_py())) for i in range(0, len(numbers), copies)]
+        parts = [(texts[i].as_py(), ids[i].as_py()) for i in range(0, len(numbers), copies)]
         while len(parts) > 1:
             parts = [encoder.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        whole = b"".join([i for _, i in parts[0]])
+        whole = b"".join(parts[0][1])
         doc_ids = pieces.column("doc_id").combine_chunks().slice(0, copies)
         return pa.Table.from_batches([_rows(doc_ids, [whole] * copies, encoder)])
 
