@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrust.llm import bpe, jaccard, lempel_ziv, mixing, token_index, toxicity, warc
+from fieldtrust.llm import bpe, chat, jaccard, lempel_ziv, mixing, token_index, toxicity, url_filter, warc
 
-_MODULES = (bpe, jaccard, lempel_ziv, mixing, token_index, toxicity, warc)
+_MODULES = (bpe, chat, jaccard, lempel_ziv, mixing, token_index, toxicity, url_filter, warc)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
