@@ -82,7 +82,7 @@ def model_extraction(spark, sf):
         number = text.split("\n")[0].removeprefix("Invoice No: ")
         if number.endswith("7"):
             raise RuntimeError("no reply")
-        if number.endswith("3") and "Previous attempt" not in (hint or ""):
+        if number.endswith("3") and "could not be used" not in (hint or ""):
             return {"invoice_number": 5}
         return {"invoice_number": number, "subtotal": 1.5}
 
@@ -123,16 +123,18 @@ def _shaky_verifier(df):
     )
 
 
-def two_pass_pipeline(spark, sf):
-    """Documents that abstain are done again with similar past documents as instruction."""
-    docs = _missed_texts(spark, sf)
-    past = carriers.invoice_records(spark, sf).select(
+def _past(spark, sf):
+    return carriers.invoice_records(spark, sf).select(
         F.concat(F.lit("past_"), F.col("doc_name")).alias("id"), F.lit("invoice").alias("doc_type"),
         F.concat_ws("\n", "vendor_name", "vendor_address").alias("layout_text"),
         F.map_from_arrays(F.array(F.lit("vendor_name")), F.array("vendor_name")).alias("extracted_fields"),
     )
+
+
+def two_pass_pipeline(spark, sf):
+    """Documents that abstain are done again with similar past documents as instruction."""
     out = plan.extract_invoices(
-        docs, verify=_shaky_verifier, exemplars=past, embed=retrieval.letter_profile
+        _missed_texts(spark, sf), verify=_shaky_verifier, exemplars=_past(spark, sf), embed=retrieval.letter_profile
     )
     return fl.fields_long(out, "doc_name").groupBy("field", "status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -182,6 +184,58 @@ def outcome_events(spark, sf):
     return events.groupBy("event_type", "payload").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _quota_extractor():
+    """A model whose calls fail for good on every seventh invoice number."""
+    def call(text, hint):
+        number = text.split("\n")[0].removeprefix("Invoice No: ")
+        if int(number.removeprefix("INV-")) % 7 == 3:
+            raise RuntimeError("429 RESOURCE_EXHAUSTED PerDay")
+        return {"invoice_number": number}
+
+    return x.model_extractor(call)
+
+
+def failed_jobs(spark, sf):
+    """Failed model calls are failed jobs with their error, no result and no queue."""
+    jobs = plan.job_results(plan.run_documents(_mixed(spark, sf), extract=_quota_extractor()))
+    return jobs.select(
+        "doc_name", "status", "error_message", F.col("result").isNotNull().alias("has_result"), F.col("queue").isNotNull().alias("has_queue"))
+
+
+def uncached_failures(spark, sf):
+    """A run fills the cache, without the failures, which the next run has to do again."""
+    path = fresh_path(spark, "cache")
+    texts, extract = _texts(spark, sf).select("k", "doc_name", "text"), _quota_extractor()
+    fields = extract(texts).schema["fields"].dataType.simpleString()
+    ddl = f"doc_name string, fields {fields}, fingerprint string"
+    results, scored = evaluate(carriers.invoice_truth(spark, sf), texts, read_or_empty(spark, path, ddl), CURRENT, extract)
+    append_cache(cache_rows(results, CURRENT), path)
+    tally = inc.cache_tally(texts, read_or_empty(spark, path, ddl), CURRENT)
+    return tally.crossJoin(scored.agg(F.countDistinct("doc_name").alias("n_scored_docs")))
+
+
+def second_pass_failure(spark, sf):
+    """A second call that fails leaves the first values and marks the document."""
+    def call(text, hint):
+        raise RuntimeError("503 UNAVAILABLE")
+
+    out = plan.extract_invoices(
+        _missed_texts(spark, sf), verify=_shaky_verifier, exemplars=_past(spark, sf), embed=retrieval.letter_profile,
+        second_extract=x.model_extractor(call, max_retries=2),
+    )
+    return out.select("doc_name", "extract_error", fl.raw_value(F.col("fields"), "invoice_number").alias("invoice_number"))
+
+
+def cache_duplicates(spark, sf):
+    """Rows that a retried write repeated: the latest counts, once."""
+    rows = _cache(spark, sf).withColumn("written_at", F.lit(1))
+    later = rows.withColumns({"written_at": F.lit(2), "fields": F.slice("fields", 1, 5)})
+    cache = rows.unionByName(rows).unionByName(later)
+    found = inc.cached_results(_work(spark, sf), cache, CURRENT)
+    return found.select("doc_name", F.size("fields").cast("bigint").alias("n_fields")).crossJoin(
+        inc.cache_tally(_work(spark, sf), cache, CURRENT))
+
+
 def absent_values(spark, sf):
     """Accepted values that do not occur in the document's own text."""
     texts = _texts(spark, sf)
@@ -280,7 +334,7 @@ QUERIES = {
     for f in (
         extract_fields, extract_pages, page_field_accuracy, verify_fields, verify_locations, model_extraction,
         invoice_pipeline, two_pass_pipeline, second_pass_off, statement_pipeline, unified_results, job_outcomes,
-        outcome_events, absent_values, document_costs, document_latency_p95, work_list, cached_results,
+        outcome_events, failed_jobs, uncached_failures, second_pass_failure, cache_duplicates, absent_values, document_costs, document_latency_p95, work_list, cached_results,
         cache_tally, pairing_gaps, incremental_evaluation, incremental_progress, cache_round_trip,
         draft_label_records,
     )
@@ -353,7 +407,16 @@ ORACLES = {
     "outcome_events": f"""{_EXTRACT}, {STATEMENT_TEXT}, q AS (SELECT doc_name, sum({_QUEUE_SUM})::BIGINT AS n FROM verified GROUP BY doc_name)
         SELECT 'extraction_done' AS event_type, '{{"doc_type":"invoice","queue_items":' || n || '}}' AS payload, count(*) AS n FROM q GROUP BY q.n
         UNION ALL SELECT 'extraction_done', '{{"doc_type":"bank_statement","queue_items":0}}', count(*) FROM stmts
-        UNION ALL SELECT 'extraction_failed', '{{"error":"' || repeat('e', 500) || '"}}', count(*) FROM events WHERE event_type = 'error'""",
+        UNION ALL SELECT 'extraction_failed', '{{"error":"' || repeat('e', 600) || '"}}', count(*) FROM events WHERE event_type = 'error'""",
+    "failed_jobs": f"""WITH {RECORDS}, {INVOICE_TEXT}, {STATEMENT_TEXT}, jobs AS (SELECT doc_name, k % 7 = 3 AS bad FROM texts UNION ALL SELECT doc_name, false FROM stmts)
+        SELECT doc_name, CASE WHEN bad THEN 'failed' ELSE 'done' END AS status, CASE WHEN bad THEN '429 RESOURCE_EXHAUSTED PerDay' END AS error_message,
+        NOT bad AS has_result, NOT bad AS has_queue FROM jobs""",
+    "uncached_failures": f"""WITH {RECORDS}, {INVOICE_TEXT} SELECT count(*) FILTER (WHERE k % 7 <> 3) AS n_cache_hits, count(*) FILTER (WHERE k % 7 = 3) AS n_fresh_calls,
+        count(*) FILTER (WHERE k % 7 <> 3) AS n_scored_docs FROM texts""",
+    "second_pass_failure": f"""WITH {RECORDS}, {INVOICE_TEXT} SELECT doc_name, CASE WHEN k % 50 = 1 THEN '503 UNAVAILABLE' END AS extract_error,
+        'INV-' || k AS invoice_number FROM texts""",
+    "cache_duplicates": f"""WITH {RECORDS} SELECT doc_name, 5::BIGINT AS n_fields, (SELECT count(*) FROM records WHERE {_CACHED}) AS n_cache_hits,
+        (SELECT count(*) FROM records WHERE NOT ({_CACHED})) AS n_fresh_calls FROM records WHERE {_CACHED}""",
     "absent_values": f"""WITH {RECORDS}, {INVOICE_TEXT}, {PRED_LONG} SELECT pred.doc_name, coalesce(string_agg(field, ',' ORDER BY i) FILTER (WHERE value IS NOT NULL AND confidence >= 0.6::DOUBLE
         AND instr({n1('text')}, {n1('value')}) = 0), '') AS absent FROM pred JOIN texts ON pred.doc_name = texts.doc_name GROUP BY pred.doc_name""",
     "document_costs": "SELECT user_id AS doc_name, round(sum(round(value / 10, 3)), 3) AS latency_s, round(sum((props->>'$.k')::BIGINT) * 0.001::DOUBLE, 4) AS cost, count(*) AS n_calls FROM events GROUP BY user_id",

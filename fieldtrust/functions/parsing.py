@@ -99,10 +99,9 @@ def training_doc_type(meta_doc_type: Column, doc_name: Column) -> Column:
     )
 
 
-def training_text(text: Column, max_chars: int | None = None) -> Column:
-    """Text given to the router; NULL when blank. ``max_chars`` keeps only the start of it."""
-    kept = text if max_chars is None else F.substring(text, 1, max_chars)
-    return F.when(F.length(strip(kept)) > 0, kept)
+def training_text(text: Column) -> Column:
+    """Text given to the router; NULL when blank."""
+    return F.when(F.length(strip(text)) > 0, text)
 
 
 def fingerprint(model: str, *parts: str | bytes) -> str:

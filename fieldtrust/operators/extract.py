@@ -87,15 +87,24 @@ def rule_extractor(
     return extract
 
 
+def is_permanent(error: str) -> bool:
+    """Whether a model error stays however long one waits; ``failure_kind`` says the same of a column."""
+    limited = "429" in error or "RESOURCE_EXHAUSTED" in error
+    return "limit: 0" in error or ("PerDay" in error and limited)
+
+
 def model_extractor(
-    call: Callable[[str, str | None], dict], fields: list[str] = INVOICE_FIELDS,
+    call: Callable[[str, str | None], dict] | None = None, fields: list[str] = INVOICE_FIELDS,
     max_retries: int = 3, max_parallel: int | None = None,
+    call_batch: Callable[[list[str], list[str | None]], list[dict]] | None = None,
 ) -> Callable[[DataFrame], DataFrame]:
     """Extractor around a user's model: ``call(text, instruction) -> {field: value}``.
 
-    A reply that is no record of declared scalar values is retried with the error as part of the
-    instruction, ``max_retries`` times in all; then the document becomes an error row instead of
-    failing the job. ``max_parallel`` bounds the calls running at once.
+    A model that takes many texts at once goes in as ``call_batch(texts, instructions)``, one reply per
+    text. A reply that is no record of declared scalar values is asked for again with what was wrong as
+    part of the instruction; a call that raises is made again as it was, unless its error is permanent.
+    After ``max_retries`` tries the document has its last error in ``extract_error`` and no values.
+    ``max_parallel`` bounds the calls running at once.
     """
     numbers = set(NUMBER_FIELDS)
 
@@ -113,25 +122,51 @@ def model_extractor(
                 raise ValueError(f"{name} must be text")
         return reply
 
-    def one(text: str, instruction: str | None) -> tuple[dict, str | None]:
-        hint, error = instruction, None
+    def replies(texts: list[str], hints: list[str | None]) -> list:
+        """A reply or the exception raised instead, for each text."""
+        if call_batch is None:
+            found = []
+            for text, hint in zip(texts, hints):
+                try:
+                    found.append(call(text, hint))
+                except Exception as exc:  # noqa: BLE001 - a failed call is data here
+                    found.append(exc)
+            return found
+        try:
+            found = list(call_batch(texts, hints))
+        except Exception as exc:  # noqa: BLE001
+            return [exc] * len(texts)
+        short = RuntimeError(f"{len(found)} replies to {len(texts)} texts")
+        return found if len(found) == len(texts) else [short] * len(texts)
+
+    def all_of(texts: list[str], instructions: list[str | None]) -> list[tuple[dict, str | None]]:
+        hints, done = list(instructions), [({}, None)] * len(texts)
+        open_ = list(range(len(texts)))
         for _ in range(max_retries):
-            try:
-                return checked_reply(call(text, hint)), None
-            except Exception as exc:  # noqa: BLE001 - a failed call is data here
-                error = str(exc)
-                hint = f"{instruction or ''}\nPrevious attempt failed schema validation:\n{error}"
-        return {}, error
+            again = []
+            for i, reply in zip(open_, replies([texts[i] for i in open_], [hints[i] for i in open_])):
+                if isinstance(reply, Exception):
+                    done[i] = ({}, str(reply))
+                    if not is_permanent(str(reply)):
+                        again.append(i)
+                    continue
+                try:
+                    done[i] = (checked_reply(reply), None)
+                except (ValueError, TypeError) as exc:
+                    done[i] = ({}, str(exc))
+                    hints[i] = f"{instructions[i] or ''}\nThe last reply could not be used: {exc}"
+                    again.append(i)
+            open_ = again
+            if not open_:
+                break
+        return done
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            hints = pdf["instruction"] if "instruction" in pdf else [None] * len(pdf)
-            values, errors = [], []
-            for text, hint in zip(pdf["text"], hints):
-                reply, error = one(text, hint)
-                values.append([None if reply.get(f) is None else str(reply[f]) for f in fields])
-                errors.append(error)
-            yield pdf.assign(_values=values, extract_error=errors)
+            hints = list(pdf["instruction"]) if "instruction" in pdf else [None] * len(pdf)
+            found = all_of(list(pdf["text"]), hints)
+            values = [[None if reply.get(f) is None else str(reply[f]) for f in fields] for reply, _ in found]
+            yield pdf.assign(_values=values, extract_error=[error for _, error in found])
 
     def extract(df: DataFrame) -> DataFrame:
         bounded = df if max_parallel is None else df.repartition(max_parallel)

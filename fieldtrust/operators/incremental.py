@@ -6,12 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def usable_cache(cache: DataFrame, current: str | Column, doc: str = "doc_name") -> DataFrame:
+    """One cache row per document under the current fingerprint.
+
+    Appended caches repeat rows after a retried write. With a column ``written_at`` the latest
+    counts, else any.
+    """
+    rows = cache.filter(F.col("fingerprint") == current)
+    others = [c for c in cache.columns if c != doc]
+    if "written_at" in others:
+        latest = F.max_by(F.struct(*others), F.col("written_at"))
+    else:
+        latest = F.any_value(F.struct(*others))
+    return rows.groupBy(doc).agg(latest.alias("_row")).select(doc, "_row.*")
+
+
 def cached_results(
     work: DataFrame, cache: DataFrame, current: str | Column, doc: str = "doc_name"
 ) -> DataFrame:
-    """Cache rows of wanted documents made under the current fingerprint."""
-    fresh_enough = cache.filter(F.col("fingerprint") == current)
-    return fresh_enough.join(work.select(doc), doc, "left_semi")
+    """Cache rows of wanted documents made under the current fingerprint, one per document."""
+    return usable_cache(cache, current, doc).join(work.select(doc), doc, "left_semi")
 
 
 def work_list(
@@ -22,6 +36,15 @@ def work_list(
     return work.join(done, doc, "left_anti")
 
 
+def with_cache(
+    work: DataFrame, cache: DataFrame, current: str | Column, doc: str = "doc_name"
+) -> DataFrame:
+    """``work`` with ``_cached`` (the cache row, NULL where there is none): hits and work list in one join."""
+    rows = usable_cache(cache, current, doc)
+    packed = rows.select(doc, F.struct(*[c for c in rows.columns if c != doc]).alias("_cached"))
+    return work.join(packed, doc, "left")
+
+
 def merge_results(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     return cached.unionByName(fresh, allowMissingColumns=True)
 
@@ -30,7 +53,7 @@ def cache_tally(
     work: DataFrame, cache: DataFrame, current: str | Column, doc: str = "doc_name"
 ) -> DataFrame:
     """Hits and fresh calls."""
-    done = cache.filter(F.col("fingerprint") == current).select(doc, F.lit(True).alias("_hit"))
+    done = usable_cache(cache, current, doc).select(doc, F.lit(True).alias("_hit"))
     return work.join(done, doc, "left").agg(
         F.count_if(F.col("_hit")).alias("n_cache_hits"),
         F.count_if(F.col("_hit").isNull()).alias("n_fresh_calls"),

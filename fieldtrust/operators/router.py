@@ -39,19 +39,16 @@ SEED = 42
 MIN_EXAMPLES = 10
 
 
-def training_set(
-    labels: DataFrame, texts: DataFrame, max_chars: int | None = None
-) -> DataFrame:
+def training_set(labels: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_name, text, label) from labels (doc_name, doc_type) and texts (doc_name, text).
 
-    Documents without text are dropped. ``max_chars`` keeps the start of each text only. Joined by
-    shuffle even where the labels would fit a broadcast: what follows is many passes of heavy work
-    per text, which should be spread evenly however the texts lie in files.
+    Documents without text are dropped. How the two are joined is left to Spark: where labels are
+    few, no text is moved.
     """
-    joined = labels.hint("merge").join(texts, "doc_name")
+    joined = labels.join(texts, "doc_name")
     return joined.select(
         "doc_name",
-        training_text(F.col("text"), max_chars).alias("text"),
+        training_text(F.col("text")).alias("text"),
         training_doc_type(F.col("doc_type"), F.col("doc_name")).alias("label"),
     ).filter(F.col("text").isNotNull())
 

@@ -270,6 +270,11 @@ def abstention_rate(cell_rows: DataFrame) -> DataFrame:
     )
 
 
+def written_cells(scored_long: DataFrame) -> DataFrame:
+    """The merged cells of a scored table, written when this is called."""
+    return materialised(cells(scored_long, merge=True), "trust-cells")
+
+
 def trust_metrics(scored_long: DataFrame, target: float = 0.99, n_bins: int = 10) -> DataFrame:
     """All headline metrics as rows (section, metric, value).
 
@@ -277,7 +282,11 @@ def trust_metrics(scored_long: DataFrame, target: float = 0.99, n_bins: int = 10
     so every metric's population can be cut from it. Scoring runs once; all metrics read the merged
     rows, written in between.
     """
-    merged = materialised(cells(scored_long, merge=True), "trust-cells")
+    return metrics_of_cells(written_cells(scored_long), target, n_bins)
+
+
+def metrics_of_cells(merged: DataFrame, target: float = 0.99, n_bins: int = 10) -> DataFrame:
+    """The headline metrics of merged cells."""
     pairs = calibrated(merged)
 
     def rows(df: DataFrame, *metrics: str) -> DataFrame:

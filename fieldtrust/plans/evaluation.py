@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.operators.incremental import cached_results, merge_results, work_list
-from fieldtrust.operators.trust import cells, corpus_summary, regression_gate, score_documents, trust_metrics
+from fieldtrust.operators.incremental import merge_results, with_cache
+from fieldtrust.operators.trust import (
+    corpus_summary,
+    metrics_of_cells,
+    regression_gate,
+    score_documents,
+    written_cells,
+)
 from fieldtrust.session import materialised
 
 
@@ -21,14 +27,16 @@ def evaluate(
     ``truth`` and the results are (doc_name, fields); ``cache`` adds ``fingerprint``. A document whose
     extraction failed yields no result and is left out of the scores, not counted as a miss.
     """
-    hits = cached_results(docs, cache, current).select(
-        "doc_name", "fields", F.lit(True).alias("cached")
-    )
-    todo = work_list(docs, cache, current)
     # Written at once: extraction is what the cache is there to spare, whoever reads the results.
-    fresh = materialised(
-        extract(todo).select("doc_name", "fields", F.lit(False).alias("cached")), "fresh-results"
+    split = materialised(with_cache(docs, cache, current), "work")
+    hits = split.filter(F.col("_cached").isNotNull()).select(
+        "doc_name", F.col("_cached.fields").alias("fields"), F.lit(True).alias("cached")
     )
+    todo = split.filter(F.col("_cached").isNull()).select(*docs.columns)
+    done = extract(todo)
+    if "extract_error" in done.columns:
+        done = done.filter(F.col("extract_error").isNull())
+    fresh = materialised(done.select("doc_name", "fields", F.lit(False).alias("cached")), "fresh-results")
     results = merge_results(hits, fresh)
     scored = score_documents(truth, results).filter(F.col("extracted_doc"))
     return results, scored
@@ -41,5 +49,6 @@ def cache_rows(results: DataFrame, current: str | Column) -> DataFrame:
 
 
 def report(scored: DataFrame, target: float = 0.99) -> tuple[DataFrame, DataFrame]:
-    """(metric rows, regression gate row)."""
-    return trust_metrics(scored, target), regression_gate(corpus_summary(cells(scored)))
+    """(metric rows, regression gate row). Scoring runs once, when this is called: both read what it wrote."""
+    merged = written_cells(scored)
+    return metrics_of_cells(merged, target), regression_gate(corpus_summary(merged))

@@ -63,7 +63,7 @@ def test_model_retries_then_error_row(spark):
     def call(text, hint):
         if text == "never":
             raise RuntimeError("quota")
-        if text == "second" and "Previous attempt" not in (hint or ""):
+        if text == "second" and "could not be used" not in (hint or ""):
             return {"subtotal": "abc"}
         return {"subtotal": 2, "invoice_number": text}
 

@@ -66,8 +66,8 @@ def test_keywords_undecided(spark):
 def test_training_set(spark):
     labels = spark.createDataFrame([("bankstmt_1", None), ("a", None), ("b", "invoice"), ("c", None)], "doc_name string, doc_type string")
     texts = spark.createDataFrame([("bankstmt_1", "x"), ("a", "y" * 2000), ("b", " ")], "doc_name string, text string")
-    got = {x["doc_name"]: (x["label"], len(x["text"])) for x in r.training_set(labels, texts, 1024).collect()}
-    assert got == {"bankstmt_1": ("bank_statement", 1), "a": ("invoice", 1024)}
+    got = {x["doc_name"]: (x["label"], len(x["text"])) for x in r.training_set(labels, texts).collect()}
+    assert got == {"bankstmt_1": ("bank_statement", 1), "a": ("invoice", 2000)}
     assert {x["label"]: x["n"] for x in r.class_distribution(r.training_set(labels, texts)).collect()} == {"bank_statement": 1, "invoice": 1}
 
 
