@@ -64,8 +64,9 @@ def import_invoice_failures(spark, sf):
 
 
 def import_invoice_tally(spark, sf):
-    listing = table(spark, sf, "lineitem").filter(F.col("l_linenumber") < 4).select(
-        F.concat(F.lit("inv_"), F.concat_ws("_", "l_orderkey", "l_linenumber"), F.lit(".pdf")).alias("doc_name")
+    """Labels written, failed and copied; the listing has one document per order, which not every line is."""
+    listing = table(spark, sf, "orders").select(
+        F.concat(F.lit("inv_"), F.concat_ws("_", "o_orderkey", F.col("o_custkey") % 7 + 1), F.lit(".pdf")).alias("doc_name")
     )
     return imp.import_tally(_invoice_labels(spark, sf), listing)
 
@@ -162,18 +163,16 @@ def label_files(spark, sf):
 
 
 def labels_without_document(spark, sf):
-    """Labels whose document is not listed: a warning row each."""
+    """Labels for which there is no page: a warning row each."""
     labels = table(spark, sf, "labels").select(F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".pdf")).alias("doc_name"))
-    listing = table(spark, sf, "documents").filter(F.col("lang") == "en").select(
-        F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".pdf")).alias("doc_name"))
+    listing = table(spark, sf, "pages").select(F.concat(F.lit("doc_"), F.col("page_id"), F.lit(".pdf")).alias("doc_name"))
     return readers.with_documents(labels, listing)[1]
 
 
 def labels_with_document(spark, sf):
     labels = table(spark, sf, "labels").select(
         F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".pdf")).alias("doc_name"), "quality")
-    listing = table(spark, sf, "documents").filter(F.col("lang") == "en").select(
-        F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".pdf")).alias("doc_name"))
+    listing = table(spark, sf, "pages").select(F.concat(F.lit("doc_"), F.col("page_id"), F.lit(".pdf")).alias("doc_name"))
     return readers.with_documents(labels, listing)[0]
 
 
@@ -206,7 +205,7 @@ def upload_intake(spark, sf):
     """Intake with the narrower list of formats the upload takes."""
     pages = table(spark, sf, "pages")
     suffix = F.when(F.col("page_id") % 2 == 0, F.lit(".tiff")).otherwise(F.lit(".pdf"))
-    listing = pages.select(F.concat(F.lit("page_"), F.col("page_id"), suffix).alias("path"), F.lit(1).alias("length"))
+    listing = pages.select(F.concat(F.lit("page_"), F.col("page_id"), suffix).alias("path"), F.length("html").alias("length"))
     return readers.intake(listing, readers.UPLOAD_SUFFIXES).groupBy("ok", "suffix").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -250,12 +249,13 @@ def call_trace_sink(spark, sf):
 
 
 def exemplar_sink(spark, sf):
-    """Vectors appended per document type, one type read back."""
+    """Vectors appended per document type and read back."""
     path = fresh_path(spark, "exemplars")
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").cast("string").alias("doc_type"), "embedding")
     writers.append_exemplars(e, path)
-    return spark.read.parquet(path).filter(F.col("doc_type") == "3").select("id", F.size("embedding").cast("bigint").alias("width"))
+    return spark.read.parquet(path).select(
+        "id", F.col("doc_type").cast("string").alias("doc_type"), F.size("embedding").cast("bigint").alias("width"))
 
 
 QUERIES = {
@@ -286,7 +286,7 @@ ORACLES = {
     "invoice_batch_csv": _INVOICES,
     "import_invoice_failures": f"SELECT {_NAME} AS filename, {_ERROR} AS row_error FROM lineitem WHERE {_ERROR} IS NOT NULL",
     "import_invoice_tally": f"""SELECT CASE WHEN {_ERROR} IS NULL THEN 'written' ELSE 'failed' END AS outcome, count(*) AS n FROM lineitem GROUP BY 1
-        UNION ALL SELECT 'copied', count(*) FROM lineitem WHERE {_ERROR} IS NULL AND l_linenumber < 4""",
+        UNION ALL SELECT 'copied', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_custkey % 7 + 1 WHERE {_ERROR} IS NULL""",
     "import_statements": f"""WITH {_STMT} SELECT doc_file, 'Holder ' || o_custkey AS account_holder_name, account_number, 'IFSC0001' AS ifsc, day AS start,
         o_totalprice AS closing_balance, CASE WHEN o_orderkey % 2 = 1 AND i = 2 THEN '2024-01-31' ELSE day END AS date,
         CASE WHEN o_orderkey % 2 = 0 THEN 'IMPS' WHEN i = 1 THEN 'Order' ELSE 'Payment' END AS narration,
@@ -300,16 +300,16 @@ ORACLES = {
         2 * count(*) AS n_transactions, round(max(o_totalprice), 2) AS max_balance FROM st WHERE row_error IS NULL GROUP BY 1""",
     "label_files": f"""SELECT 'label' AS kind, count(*) AS n, round(sum(l_extendedprice::DECIMAL(12,2)), 0)::DOUBLE AS subtotal FROM lineitem WHERE {_ERROR} IS NULL AND l_linenumber <> 3
         UNION ALL SELECT 'skipped', count(*), NULL FROM lineitem WHERE {_ERROR} IS NULL AND l_linenumber = 3""",
-    "labels_without_document": "SELECT 'doc_' || doc_id || '.pdf' AS doc_name, 'document not found' AS reason FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
-    "labels_with_document": "SELECT 'doc_' || doc_id || '.pdf' AS doc_name, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+    "labels_without_document": "SELECT 'doc_' || doc_id || '.pdf' AS doc_name, 'document not found' AS reason FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)",
+    "labels_with_document": "SELECT 'doc_' || doc_id || '.pdf' AS doc_name, quality FROM labels WHERE doc_id IN (SELECT page_id FROM pages)",
     "label_sink": f"""WITH {_STMT} SELECT 'invoice' AS doc_type, count(*) AS n, 2 * count(*) AS n_parts FROM lineitem WHERE {_ERROR} IS NULL
         UNION ALL SELECT 'bank_statement', count(*), 2 * count(*) FROM st WHERE row_error IS NULL""",
     "document_intake": """WITH l AS (SELECT page_id, ['.pdf', '.PNG', '.jpeg', '.exe', ''][(page_id % 5 + 1)::INTEGER] AS sx FROM pages),
-        e AS (SELECT *, CASE WHEN sx IN ('.exe', '') THEN 'Unsupported file format ''' || sx || '''' WHEN page_id % 7 = 0 THEN 'document has no pages' END AS error FROM l)
+        e AS (SELECT *, CASE WHEN sx IN ('.exe', '') THEN 'cannot read files of type ''' || sx || '''' WHEN page_id % 7 = 0 THEN 'document has no pages' END AS error FROM l)
         SELECT 'page_' || page_id || sx AS doc_name, lower(sx) AS suffix, error IS NULL AS ok, error FROM e""",
-    "upload_intake": "SELECT page_id % 2 = 1 AS ok, CASE WHEN page_id % 2 = 0 THEN '.tiff' ELSE '.pdf' END AS suffix, count(*) AS n FROM pages GROUP BY ALL",
+    "upload_intake": "SELECT page_id % 2 = 1 AND coalesce(length(html), 0) > 0 AS ok, CASE WHEN page_id % 2 = 0 THEN '.tiff' ELSE '.pdf' END AS suffix, count(*) AS n FROM pages GROUP BY ALL",
     "training_csv": r"SELECT lang AS label, count(*) AS n, sum(length(regexp_replace(text, '\s', '', 'g')))::BIGINT AS n_chars FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]') GROUP BY lang",
     "metrics_sink": "SELECT event_type AS section, 'mean' AS metric, round(avg(value * CASE WHEN event_type = 'view' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS value FROM events GROUP BY 1",
     "call_trace_sink": "SELECT event_type AS name, event_type <> 'error' AS success, count(*) AS n, round(sum(round(value / 7.0::DOUBLE, 3)), 2) AS latency_s FROM events GROUP BY ALL",
-    "exemplar_sink": "SELECT vec_id AS id, len(embedding) AS width FROM embeddings WHERE label = 3",
+    "exemplar_sink": "SELECT vec_id AS id, label::VARCHAR AS doc_type, len(embedding) AS width FROM embeddings",
 }

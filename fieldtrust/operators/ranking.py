@@ -147,7 +147,8 @@ def value_at_fraction(
         )
     # All digits fixed: the cell is one value.
     hit = _in_chosen(keyed, chosen, groups + digits)
-    return hit.select(*groups, F.col(value).alias(alias))
+    # Reading _n here too makes this branch's counts the same as those above, so Spark computes them once.
+    return hit.filter(F.col("_n").isNotNull()).select(*groups, F.col(value).alias(alias))
 
 
 def _in_chosen(keyed: DataFrame, chosen: DataFrame, cell: list[str]) -> DataFrame:

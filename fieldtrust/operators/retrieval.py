@@ -49,10 +49,12 @@ def top_k_similar(
     """(query_id, rank, id, distance): the k nearest corpus rows of the query's type.
 
     ``queries`` has (query_id, doc_type, embedding), ``corpus`` (id, doc_type, embedding) with unique
-    ids. Fewer rows of the type give fewer results. Zero vectors match nothing.
+    ids. Fewer rows of the type give fewer results. Zero vectors match nothing, nor do missing ones,
+    ones with missing components and queries of another width than the corpus has.
     """
-    corpus = corpus.select("id", "doc_type", "embedding")
-    queries = queries.select("query_id", "doc_type", "embedding")
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    corpus = corpus.select("id", "doc_type", "embedding").filter(whole)
+    queries = queries.select("query_id", "doc_type", "embedding").filter(whole)
     q_sizes = queries.groupBy("doc_type").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("q_blocks")
     )

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_CONF = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
+_SCOPE_CONF = "fieldtrust.scratch"
 
 
 def local_session(app: str = "fieldtrust", cpus: int | str = 8, **conf: str) -> SparkSession:
     """Session for tests and the bench. A cluster job passes its own session instead."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
+        .config(_DIR_CONF, f"file:///tmp/fieldtrust/{uuid.uuid4().hex}")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -35,23 +37,37 @@ def local_session(app: str = "fieldtrust", cpus: int | str = 8, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine, since there driver and
-    executors share one disk; on a cluster the missing setting is an error.
+    On a cluster the missing setting is an error. A local session without it, where driver and
+    executors are one process, gets a folder of its application.
     """
     path = spark.conf.get(_DIR_CONF, None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_DIR_CONF} to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="fieldtrust-")
-    return _local_dirs[app]
+    return f"file:///tmp/fieldtrust/{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Everything written to the shared folder inside the block is deleted when it ends.
+
+    Results that are needed afterwards must be written elsewhere, or collected, inside the block.
+    """
+    before = spark.conf.get(_SCOPE_CONF, "")
+    own = f"{before}/{uuid.uuid4().hex}"
+    spark.conf.set(_SCOPE_CONF, own)
+    try:
+        yield f"{shared_dir(spark)}{own}"
+    finally:
+        spark.conf.set(_SCOPE_CONF, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}{own}")
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """New, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}{spark.conf.get(_SCOPE_CONF, '')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

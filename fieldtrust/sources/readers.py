@@ -130,7 +130,7 @@ def intake(
     allowed = PDF_SUFFIXES + IMAGE_SUFFIXES if suffixes is None else suffixes
     suffix = file_suffix(F.col(path))
     error = F.when(
-        ~suffix.isin(allowed), F.concat(F.lit("Unsupported file format '"), suffix, F.lit("'"))
+        ~suffix.isin(allowed), F.concat(F.lit("cannot read files of type '"), suffix, F.lit("'"))
     )
     if size is not None:
         error = error.when(F.coalesce(F.col(size), F.lit(0)) == 0, F.lit("document has no pages"))
