@@ -1,3 +1,4 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fieldtrust.functions import fields as fl
@@ -107,7 +108,91 @@ def test_unified_results_and_jobs(spark):
     jobs = {r["doc_name"]: r for r in plan.job_results(out, errors=errors).collect()}
     assert jobs["b"]["queue"] == [] and len(jobs["a"]["queue"]) > 0 and jobs["c"]["status"] == "failed"
     events = {r["job_id"]: r["payload"] for r in plan.outcome_events(plan.job_results(out, errors=errors)).collect()}
-    assert events["c"] == '{"error":"' + "e" * 500 + '"}'
+    assert events["c"] == '{"error":"' + "e" * 600 + '"}'
+
+
+def test_failed_calls_are_failed_jobs(spark):
+    def call(text, hint):
+        if "ACME" in text:
+            raise RuntimeError("429 RESOURCE_EXHAUSTED PerDay")
+        return {"invoice_number": "1"}
+
+    invoices = [("a", "Invoice\nBill to: ACME"), ("b", "Invoice\nBill to: Beta"), ("s", STATEMENT)]
+    out = plan.run_documents(docs(spark, invoices), extract=x.model_extractor(call))
+    rows = {r["doc_name"]: r for r in out.collect()}
+    assert all(r["valid"] for r in rows.values())
+    assert (rows["a"]["invoice"], rows["a"]["error"]) == (None, "429 RESOURCE_EXHAUSTED PerDay") and rows["b"]["error"] is None
+    jobs = {r["doc_name"]: r for r in plan.job_results(out).collect()}
+    assert (jobs["a"]["status"], jobs["a"]["result"], jobs["a"]["queue"]) == ("failed", None, None)
+    assert jobs["b"]["status"] == jobs["s"]["status"] == "done"
+
+
+def test_retries_follow_the_kind_of_failure(spark):
+    calls = []
+
+    def batch(texts, hints):
+        calls.append((list(texts), list(hints)))
+        if len(calls) == 1:
+            raise RuntimeError("503 UNAVAILABLE")
+        return [{"invoice_number": 5} if t == "bad" and not h else {"invoice_number": t} for t, h in zip(texts, hints)]
+
+    run = x.model_extractor(call_batch=batch)
+    frames = list(_batches_of(run)(iter([pd.DataFrame({"text": ["bad", "good"]})])))
+    assert [f["extract_error"].tolist() for f in frames] == [[None, None]]
+    # A busy server is asked again as before; only the unusable reply is pointed out, and only to its own text.
+    assert calls[1] == (["bad", "good"], [None, None])
+    assert calls[2][0] == ["bad"] and "could not be used" in calls[2][1][0]
+
+
+def _batches_of(extract):
+    """The function an extractor gives to mapInPandas."""
+    names = extract.__code__.co_freevars
+    return extract.__closure__[names.index("batches")].cell_contents
+
+
+def test_permanent_errors_are_not_retried(spark):
+    asked = []
+
+    def call(text, hint):
+        asked.append(hint)
+        raise RuntimeError("429 limit: 0")
+
+    frame = next(_batches_of(x.model_extractor(call))(iter([pd.DataFrame({"text": ["a"]})])))
+    assert frame["extract_error"].tolist() == ["429 limit: 0"] and asked == [None]
+
+
+def test_model_extractor_for_statements(spark):
+    def call(text, hint):
+        return {"account_number": "1234-5678-9012", "closing_balance": "2,000.00", "bank_name": "B"}
+
+    extract = x.model_extractor(call, fields=list(x.STATEMENT_RULES))
+    out = plan.extract_statements(docs(spark, [("b", STATEMENT)]), extract=extract).first()
+    assert (out["account_number"], out["closing_balance"], out["bank_name"]) == ("XXXX-XXXX-9012", 2000.0, "B")
+
+
+def test_failed_second_pass_keeps_the_first(spark):
+    def first(df):
+        return df.withColumn("fields", F.array(fl.field_struct("vendor_name", F.lit("Acme"))))
+
+    def doubt(df):
+        return df.withColumn("fields", F.transform("fields", lambda f: fl.rebuilt(f, confidence=F.lit(0.1))))
+
+    def call(text, hint):
+        raise RuntimeError("503 UNAVAILABLE")
+
+    past = spark.createDataFrame(
+        [("p1", "invoice", "Acme", {"vendor_name": "Past"})], "id string, doc_type string, layout_text string, extracted_fields map<string,string>")
+    row = plan.extract_invoices(
+        docs(spark, [("a", "x")]), first, doubt, exemplars=past, embed=letter_profile, second_extract=x.model_extractor(call)
+    ).select("extract_error", fl.raw_value(F.col("fields"), "vendor_name").alias("v")).first()
+    assert tuple(row) == ("503 UNAVAILABLE", "Acme")
+
+
+def test_repeated_cache_rows(spark):
+    cache = spark.createDataFrame([("a", "f", 1, 1), ("a", "f", 2, 3), ("a", "f", 3, 2), ("b", "old", 4, 1)], "doc_name string, fingerprint string, fields int, written_at int")
+    work = spark.createDataFrame([("a",), ("b",)], "doc_name string")
+    assert [(r["doc_name"], r["fields"]) for r in inc.cached_results(work, cache, "f").collect()] == [("a", 2)]
+    assert tuple(inc.cache_tally(work, cache, "f").first()) == (1, 1)
 
 
 def test_statement_mask_opt_out(spark):
