@@ -109,6 +109,19 @@ def _raw_statements(spark, sf):
     return o.select(doc.alias("doc_file"), subtype.alias("subtype"), json.alias("json_data"))
 
 
+def statement_bad_amounts(spark, sf):
+    """Amounts written as text: with separators they are read, others are an error of the statement."""
+    k, total = F.col("o_orderkey"), F.col("o_totalprice")
+    debit = F.when(k % 31 == 0, F.lit("n/a")).when(k % 5 == 0, F.format_number(total, 2)).otherwise(total.cast("string"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    lines = F.array(F.struct(day.alias("date"), F.lit("Order").alias("description"), debit.alias("debit")))
+    raw = table(spark, sf, "orders").select(
+        F.concat(F.lit("s_"), k).alias("doc_file"), F.lit("Digital_Type1").alias("subtype"),
+        F.to_json(F.struct(F.lit("Bank").alias("bank_name"), lines.alias("transactions"))).alias("json_data"))
+    labels = imp.statement_labels(readers.with_raw_statement(raw))
+    return labels.select("doc_file", "row_error", F.when(F.col("row_error").isNull(), F.get("transactions", F.lit(0))["debit"]).alias("debit"))
+
+
 def _statement_labels(spark, sf):
     return imp.statement_labels(readers.with_raw_statement(_raw_statements(spark, sf)))
 
@@ -262,7 +275,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         import_invoices, import_invoice_failures, import_invoice_tally, invoice_batch_csv,
-        import_statements, import_statement_failures, import_statements_masked, statement_batch_files,
+        import_statements, import_statement_failures, import_statements_masked, statement_batch_files, statement_bad_amounts,
         label_files, labels_without_document, labels_with_document, label_sink, document_intake,
         upload_intake, training_csv, metrics_sink, call_trace_sink, exemplar_sink,
     )
@@ -298,6 +311,8 @@ ORACLES = {
         || right(account_number, 4) AS account_number, 2::BIGINT AS n_transactions FROM st WHERE row_error IS NULL""",
     "statement_batch_files": f"""WITH {_STMT} SELECT 'bankstmt_digital_type' || CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 2 END AS doc_file, count(*) AS n,
         2 * count(*) AS n_transactions, round(max(o_totalprice), 2) AS max_balance FROM st WHERE row_error IS NULL GROUP BY 1""",
+    "statement_bad_amounts": """SELECT 's_' || o_orderkey AS doc_file, CASE WHEN o_orderkey % 31 = 0 THEN 'bad transaction amount' END AS row_error,
+        CASE WHEN o_orderkey % 31 <> 0 THEN o_totalprice END AS debit FROM orders""",
     "label_files": f"""SELECT 'label' AS kind, count(*) AS n, round(sum(l_extendedprice::DECIMAL(12,2)), 0)::DOUBLE AS subtotal FROM lineitem WHERE {_ERROR} IS NULL AND l_linenumber <> 3
         UNION ALL SELECT 'skipped', count(*), NULL FROM lineitem WHERE {_ERROR} IS NULL AND l_linenumber = 3""",
     "labels_without_document": "SELECT 'doc_' || doc_id || '.pdf' AS doc_name, 'document not found' AS reason FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)",

@@ -116,6 +116,19 @@ def _either(value: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), fallback)
 
 
+_AMOUNTS = ("transaction_amount", "available_balance", "debit", "credit", "balance")
+
+
+def _amount_text(t: Column, key: str) -> Column:
+    return F.nullif(F.trim(F.try_element_at(t, F.lit(key))), F.lit(""))
+
+
+def _amount(t: Column, key: str) -> Column:
+    """A transaction's number, also one written as text with separators."""
+    text = _amount_text(t, key)
+    return F.coalesce(text.try_cast("double"), parse_amount(text))
+
+
 def transaction(t: Column) -> Column:
     """One raw transaction (string map) in either shape -> the common shape.
 
@@ -126,16 +139,16 @@ def transaction(t: Column) -> Column:
         return F.try_element_at(t, F.lit(key))
 
     signed = F.map_contains_key(t, "cr_dr")
-    amount = at("transaction_amount").try_cast("double")
+    amount = _amount(t, "transaction_amount")
     return F.struct(
         parse_statement_date(_transaction_date(t)).alias("date"),
         at("description").alias("narration"),
         F.when(signed, F.when(at("cr_dr") == "DR", amount))
-        .otherwise(at("debit").try_cast("double")).alias("debit"),
+        .otherwise(_amount(t, "debit")).alias("debit"),
         F.when(signed, F.when(at("cr_dr") == "CR", amount))
-        .otherwise(at("credit").try_cast("double")).alias("credit"),
-        F.when(signed, at("available_balance").try_cast("double"))
-        .otherwise(at("balance").try_cast("double")).alias("balance"),
+        .otherwise(_amount(t, "credit")).alias("credit"),
+        F.when(signed, _amount(t, "available_balance"))
+        .otherwise(_amount(t, "balance")).alias("balance"),
         normalize_ref_no(at("cheque_no")).alias("ref_no"),
     )
 
@@ -157,7 +170,12 @@ def statement_labels(
         F.zip_with(txs, F.col("_transactions"), lambda t, p: unread(_transaction_date(t), p["date"])),
         lambda bad: bad,
     )
-    error = _first_error((raw.isNull(), "invalid JSON"), (bad_date, "bad transaction date"))
+    bad_amount = F.exists(
+        txs, lambda t: F.exists(F.array(*[unread(_amount_text(t, k), _amount(t, k)) for k in _AMOUNTS]), lambda bad: bad)
+    )
+    error = _first_error(
+        (raw.isNull(), "invalid JSON"), (bad_date, "bad transaction date"), (bad_amount, "bad transaction amount")
+    )
     return computed_once(staged, "row_error", error).select(
         "doc_file",
         "row_error",
