@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import table, tokenizer_path, whole_text
+from fieldtrust.llm.common import slices, table, tokenizer_path, whole_text
 
 #: Code points of a leaf, and of a piece that is a task's row of its own.
-LEAF = 2048
+LEAF = 4096
 PIECE = 1 << 16
 #: Longest chunk that is looked up in the table of chunks, and most chunks in each of its two generations.
 CHUNK = 64
@@ -37,6 +38,11 @@ TABLE = 150_000
 Segments = tuple[list[str], list[bytes]]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TreeEncoder:
     """Encodes texts with one vocabulary file. A chunk met before is looked up instead of merged again."""
 
@@ -92,25 +98,31 @@ class TreeEncoder:
             del texts[0]
         ids: list[bytes | None] = list(map(self._young.get, texts))
         if None in ids:
-            if not all(self._CHUNK.match(t) for t, known in zip(texts[1:], ids[1:]) if known is None):
+            missing = [t for t, known in zip(texts, ids) if known is None]
+            if not all(map(self._CHUNK.match, missing[ids[0] is None :])):
                 texts = self._cut(text)
+                missing = texts
+            self._learn(missing)
+            ids = list(map(self._young.get, texts))
+            if None in ids:  # too long for the table, or gone to the old generation
+                self._learn([t for t, known in zip(texts, ids) if known is None])
                 ids = list(map(self._young.get, texts))
-            self._learn([t for t, known in zip(texts, ids) if known is None and len(t) <= CHUNK])
-            ids = [self._young.get(t) if known is None else known for t, known in zip(texts, ids)]
-            if None in ids:
-                return self._with_tokens(texts, ids)
+                if None in ids:
+                    return self._with_tokens(texts, ids)
         return texts, ids
 
     def _cut(self, text: str) -> list[str]:
         return [c for c in self._CUT.split(text) if c] or [""]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Puts chunks into the table; only the first may begin without a blank."""
+        """Puts chunks into the table, but those too long for it; only the first may begin without a blank."""
         if len(self._young) + len(chunks) > TABLE:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old
         new = []
         for chunk in dict.fromkeys(chunks):
+            if chunk in young or len(chunk) > CHUNK:
+                continue
             ids = old.get(chunk)
             if ids is None:
                 new.append(chunk)
@@ -118,15 +130,19 @@ class TreeEncoder:
                 young[chunk] = ids
         young.update(zip(new, self._encoded(new)))
 
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
+    def _encoded(self, chunks: list[str]) -> Iterator[bytes]:
         """Ids of each chunk: one text to the library, cut afterwards."""
         if not chunks:
-            return []
+            return
         encoding = self.tokenizer.encode("".join(chunks), add_special_tokens=False)
-        ids = np.array(encoding.ids, "<u4").tobytes()
-        starts = [start for start, _ in encoding.offsets]
-        ends = np.searchsorted(starts, np.cumsum([len(c) for c in chunks[:-1]])).tolist()
-        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], [*ends, len(starts)])]
+        ids, offsets = packed(encoding.ids), encoding.offsets
+        first = at = end = 0
+        for chunk in chunks:
+            end += len(chunk)
+            while at < len(offsets) and offsets[at][0] < end:
+                at += 1
+            yield ids[4 * first : 4 * at]
+            first = at
 
     def _with_tokens(self, texts: list[str], ids: list[bytes | None]) -> Segments:
         """The segments, with those of its tokens for each chunk too long for the table."""
@@ -152,7 +168,7 @@ class TreeEncoder:
         if not ends:
             return [text], [b""]
         ends[-1] = len(text)
-        return [text[a:b] for a, b in zip([0, *ends], ends)], [np.array(t, "<u4").tobytes() for t in tokens]
+        return [text[a:b] for a, b in zip([0, *ends], ends)], [packed(t) for t in tokens]
 
 
 @lru_cache(maxsize=2)
@@ -164,7 +180,7 @@ def worker_encoder(path: str) -> TreeEncoder:
 def _whole(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encoder.ids(t) for t in batch.column("text").to_pylist()]
             yield _rows(batch.column("doc_id"), ids, encoder)
 
@@ -179,7 +195,7 @@ def _rows(doc_ids: pa.Array, ids: list[bytes], encoder: TreeEncoder) -> pa.Recor
 def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             found = [encoder.segments(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

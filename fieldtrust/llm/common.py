@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.session import fresh_path, materialised
 
-__all__ = ["fresh_path", "materialised", "table", "whole_text", "tokenizer_path"]
+__all__ = ["fresh_path", "materialised", "slices", "table", "whole_text", "tokenizer_path"]
+
+#: Rows that a task turns into Python objects at a time.
+SLICE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +31,10 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at a time, so that long texts do not pile up in a worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import materialised, table, whole_text
+from fieldtrust.llm.common import materialised, slices, table, whole_text
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -31,7 +31,7 @@ MAX_HASHES = 128
 BLOCK = 256
 #: N-grams of two blocks that are compared at once.
 SLAB = 4096
-_WORD_TABLE = 1_000_000
+_WORD_TABLE = 200_000
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -105,7 +105,7 @@ def _sketch(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = worker_shingler(words)
         factors = np.random.default_rng(11).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler.grams(t) for t in batch.column("text").to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             hashed = [band_hashes(signature(s, factors), bands, rows) if len(s) else None for s in sets]
@@ -205,7 +205,7 @@ def _verify(words: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = worker_shingler(words)
         held: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
                 if held and held[0][:3] != row[:3]:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.bpe import worker_encoder
-from fieldtrust.llm.common import fresh_path, table, tokenizer_path, whole_text
+from fieldtrust.llm.common import fresh_path, slices, table, tokenizer_path, whole_text
 from fieldtrust.llm.files import place, read_file, write_file
 from fieldtrust.llm.ranges import in_ranges
 
@@ -168,7 +168,7 @@ def _write_shards(path: str, vocabulary: str, shard_bytes: int) -> Callable[[Ite
             if held:
                 write_file(shard_name(path, (place_ << 32) + number), b"".join([struct.pack(HEADER, MAGIC, VERSION, width, size // width), *held]))
 
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for range_, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("_range", "doc_id", "text")]):
                 if range_ != place_:
@@ -288,7 +288,7 @@ def _read_shards(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, file, width, header = None, None, 0, struct.calcsize(HEADER)
-        for batch in batches:
+        for batch in slices(batches):
             payloads = []
             for number, offset, length in zip(*[batch.column(c).to_pylist() for c in ("shard", "offset", "length")]):
                 if number != shard:

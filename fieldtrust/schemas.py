@@ -31,10 +31,7 @@ DATE_FIELDS = ["invoice_date", "due_date"]
 NUMBER_FIELDS = ["subtotal", "total_amount", TAX_TOTAL, "tax"]
 ADDRESS_FIELDS = ["vendor_address", "buyer_address"]
 
-# Document types, job states, audit events, review reasons.
-DOC_TYPES = ["invoice", "bank_statement"]
-JOB_STATUSES = ["pending", "running", "done", "failed"]
-REVIEW_REASONS = ["low_confidence", "no_source_location", "abstained"]
+# Job states by audit event.
 STATUS_OF_EVENT = {
     "doc_received": "pending",
     "extraction_started": "running",
