@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust.session import fresh_path, materialised
 
-__all__ = ["fresh_path", "materialised", "slices", "table", "whole_text", "tokenizer_path"]
+__all__ = ["fresh_path", "materialised", "sample_by_hash", "slices", "table", "whole_text", "tokenizer_path"]
 
 #: Rows that a task turns into Python objects at a time.
 SLICE = 256
@@ -38,3 +38,16 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             yield batch.slice(at, SLICE)
+
+
+def sample_by_hash(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """At most ``size`` of the rows, the first by the hash of ``columns``.
+
+    Rows are thinned by the same hash before they are ordered, to about twice as many, so that what leaves
+    the tasks is bounded however many there are. Reads ``rows`` once to count them.
+    """
+    count, span = rows.count(), 1 << 31
+    place = F.pmod(F.xxhash64(*columns), F.lit(span))
+    if count > 2 * size:
+        rows = rows.where(place < int(span * 2 * size / count))
+    return rows.orderBy(place, *columns).limit(size)

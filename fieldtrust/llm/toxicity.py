@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import materialised, table, whole_text
+from fieldtrust.llm.common import materialised, sample_by_hash, table, whole_text
 
 #: Labelled rows per class that the model is fitted on, at most.
 SAMPLE = 10_000
@@ -153,7 +153,7 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     chosen = [
-        known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).select("doc_id", "toxic") for c in (0, 1)
+        sample_by_hash(known.where(F.col("toxic") == c), size, "doc_id").select("doc_id", "toxic") for c in (0, 1)
     ]
     # At most 2 * size rows, so every executor can hold them.
     both = F.broadcast(chosen[0].unionByName(chosen[1]))

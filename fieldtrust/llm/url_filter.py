@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import materialised, table
+from fieldtrust.llm.common import materialised, sample_by_hash, table
 
 #: Labelled URLs that the trees are fitted on, at most, and suffixes that have statistics of their own.
 SAMPLE, SUFFIXES = 20_000, 200
@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, size: int = SAMPLE) -> Filter:
     At most ``size`` rows are used, the first by the hash of their url. Without labels everything is allowed.
     """
     rows = labelled.where(F.col("_verdict").isNotNull()).select("url", "host", "path", (F.col("_verdict") == "block").cast("double").alias("label"))
-    rows = materialised(rows.orderBy(F.xxhash64("url"), "url").limit(size), "labelled-urls")
+    rows = materialised(sample_by_hash(rows, size, "url"), "labelled-urls")
     counts = rows.groupBy("label").count().collect()
     total, blocked = sum(r["count"] for r in counts), sum(r["count"] for r in counts if r["label"] == 1)
     overall = blocked / max(1, total)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import fresh_path, table
+from fieldtrust.llm.common import fresh_path, sample_by_hash, table
 from fieldtrust.llm.files import read_file, write_file
 
 #: Dictionary size, the records it is trained on at most, and the largest of them.
@@ -137,7 +137,7 @@ def _write(path: str, words: bytes, file_bytes: int) -> Callable[[Iterator[pa.Re
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Archives ``pages`` (page_id, url, html) below ``path``; the files written, each with its number of records."""
     spark = pages.sparkSession
-    sample = pages.where(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id", "url"), "html").limit(SAMPLE)
+    sample = sample_by_hash(pages.where(F.octet_length("html") <= SAMPLE_BYTES), SAMPLE, "page_id", "url")
     # At most SAMPLE * SAMPLE_BYTES bytes and the urls.
     samples = [record(r["page_id"], r["url"], r["html"].encode("utf-8", "replace")) for r in sample.select("page_id", "url", "html").collect()]
     words = train(samples)
