@@ -117,6 +117,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
         .join(last.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left")
         .select("s.*", F.col("_cut._cell").alias("_cut"), "_last")
     )
+    # A row per source. Read back from a table its size is known, and while it is small no text is shuffled for it.
+    plan = materialised(plan, "plan")
     chosen = F.coalesce(
         (F.col("_cell") < F.col("_cut")) | ((F.col("_cell") == F.col("_cut")) & (F.struct("_key", "doc_id", "size") <= F.col("_last"))),
         F.lit(False),
