@@ -32,7 +32,7 @@ LEAF = 4096
 PIECE = 1 << 16
 #: Longest chunk that is looked up in the table of chunks, and most chunks in each of its two generations.
 CHUNK = 64
-TABLE = 150_000
+TABLE = 300_000
 
 #: Texts of consecutive segments, and the ids of each as little-endian unsigned 32-bit integers.
 Segments = tuple[list[str], list[bytes]]
