@@ -6,10 +6,11 @@ an exception phrase are not counted, and the sum, normalised by the text's lengt
 probability.
 
 Lexicon, exceptions and the curve of the probability are learned from a bounded sample of
-labelled rows (``SAMPLE`` per class, by the hash of their ids); nothing but the text enters a score.
-A word, or the beginning of words, joins the lexicon when toxic documents have it far more often than
-others and in ever new surroundings: the words of one much-copied toxic text have the same neighbours
-in every copy.
+labelled rows (``SAMPLE`` distinct texts per class, by their hash); nothing but the text enters a score.
+A word, or the beginning of words, joins the lexicon when toxic texts have it far more often than
+others and in several independent surroundings. Copies of a text count once, and near copies of one
+have the same neighbours on one side of a word at least, so neither add to what other texts show nor
+take from it.
 """
 
 from __future__ import annotations
@@ -35,13 +36,11 @@ LEXICON = 5_000
 EXCEPTIONS = 5_000
 #: Lengths of the beginnings of words that are tried.
 STEMS = (4, 5, 6, 8)
-#: A unit needs so many toxic documents, and this part of them; times the rate of others; part of the new surroundings expected.
-MIN_DOCS, MIN_PART, MIN_RATIO, MIN_NEW = 5, 0.01, 8.0, 0.8
+#: A unit needs so many toxic texts and independent surroundings, this part of the texts, and times the rate of others.
+MIN_DOCS, MIN_PART, MIN_RATIO = 5, 0.01, 8.0
 MIN_EXCEPTION_DOCS = 3
 #: Words added to a text's length, so that one hit in a few words is not everything.
 SMOOTHING = 50
-#: Surroundings are counted in a bitmap of so many longs.
-MAPS = 4
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -147,17 +146,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """(text, toxic) of at most ``size`` documents per class, written once."""
+    """(text, toxic) of at most ``size`` distinct texts per class, written once."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
+    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("_text", F.xxhash64("text"))
+    # Only ids and hashes are shuffled; of copies the one with the smallest id stays.
+    distinct = texts.select("doc_id", "_text").join(known, "doc_id").groupBy("_text", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    distinct = materialised(distinct, "known-texts")
     chosen = [
-        sample_by_hash(known.where(F.col("toxic") == c), size, "doc_id").select("doc_id", "toxic") for c in (0, 1)
+        sample_by_hash(distinct.where(F.col("toxic") == c), size, "_text").select("doc_id", "_text", "toxic") for c in (0, 1)
     ]
     # At most 2 * size rows, so every executor can hold them.
     both = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return materialised(docs.select("doc_id", whole_text().alias("text")).join(both, "doc_id").select("text", "toxic"), "labelled")
+    return materialised(texts.join(both, ["doc_id", "_text"]).select("text", "toxic"), "labelled")
 
 
 def units(word: str) -> list[str]:
@@ -166,33 +169,57 @@ def units(word: str) -> list[str]:
 
 
 def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences by class of each unit, its toxic documents, and a bitmap of the neighbours it has in them."""
+    """Occurrences by class of each unit, and its toxic texts."""
     for batch in batches:
         seen: dict[str, list[int]] = {}
         for text, toxic in zip(batch["text"], batch["toxic"]):
-            words = _WORDS.findall(fold(text))
             once = set()
-            for i, word in enumerate(words):
+            for word in _WORDS.findall(fold(text)):
                 if not 2 < len(word) < 40:
                     continue
-                if toxic:
-                    around = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
-                    bit = 1 << zlib.crc32(around.encode()) % (64 * MAPS)
                 for unit in units(word):
-                    row = seen.setdefault(unit, [0, 0, 0, 0])
+                    row = seen.setdefault(unit, [0, 0, 0])
                     row[toxic] += 1
-                    if toxic:
-                        row[3] |= bit
-                        if unit not in once:
-                            once.add(unit)
-                            row[2] += 1
-        maps = [np.array([(r[3] >> 64 * m) & (2**64 - 1) for r in seen.values()], "u8").astype("i8") for m in range(MAPS)]
+                    if toxic and unit not in once:
+                        once.add(unit)
+                        row[2] += 1
         yield pd.DataFrame({
-            "unit": list(seen), "clean": [r[0] for r in seen.values()], "toxic": [r[1] for r in seen.values()],
-            "docs": [r[2] for r in seen.values()], **{f"map{m}": maps[m] for m in range(MAPS)},
+            "unit": list(seen), "clean": [r[0] for r in seen.values()], "toxic": [r[1] for r in seen.values()], "docs": [r[2] for r in seen.values()],
         })
 
 
+def _surroundings(known: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For each unit of ``known`` and each left neighbour it has, one of the right neighbours; all as hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: dict[tuple[str, int], tuple[int, int]] = {}
+            for text in batch["text"]:
+                words = ["", *_WORDS.findall(fold(text)), ""]
+                for left, word, right in zip(words, words[1:], words[2:]):
+                    for unit in units(word):
+                        if unit in known:
+                            at = unit, zlib.crc32(left.encode())
+                            pair = zlib.crc32(f"{left} {right}".encode()), zlib.crc32(right.encode())
+                            seen[at] = min(seen.get(at, pair), pair)
+            yield pd.DataFrame({
+                "unit": [u for u, _ in seen], "left": [x for _, x in seen], "place": [p for p, _ in seen.values()], "right": [r for _, r in seen.values()],
+            })
+
+    return run
+
+
+def _independent(texts: DataFrame, known: frozenset[str]) -> dict[str, int]:
+    """How many surroundings each unit of ``known`` has of which no two share a neighbour.
+
+    Every left neighbour chooses one right neighbour, by hash, and the chosen ones are counted. Copies with
+    changes choose among the text's own neighbours: whatever their number, a place in it counts twice at most.
+    """
+    found = texts.mapInPandas(_surroundings(known), "unit string, left long, place long, right long")
+    chosen = found.groupBy("unit", "left").agg(F.min_by("right", F.struct("place", "right")).alias("right"))
+    return {r["unit"]: r["n"] for r in chosen.groupBy("unit").agg(F.count_distinct("right").alias("n")).collect()}
+
+
 def _phrase_counts(words: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Documents by class with each pair of neighbouring words of which one is in the lexicon."""
 
@@ -213,8 +240,8 @@ def _phrase_counts(words: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]],
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """Lexicon, exceptions and curve from the labelled rows that are not held out.
 
-    What comes to the driver is bounded: ``LEXICON`` units, ``EXCEPTIONS`` phrases and three numbers per
-    sampled row. Without toxic rows to learn from, every score is 0.
+    What comes to the driver is bounded by the sample: the units that pass, ``EXCEPTIONS`` phrases and three
+    numbers per sampled row. Without toxic rows to learn from, every score is 0.
     """
     sample = _sample(docs, labels, size)
     total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -222,21 +249,15 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     nothing = Model({}, (), (-60.0, 0.0, 0.0))
     if not toxic:
         return nothing
-    maps = [f"map{m}" for m in range(MAPS)]
     sums = [F.sum(c).alias(c) for c in ("clean", "toxic", "docs")]
-    schema = "unit string, clean long, toxic long, docs long, " + ", ".join(f"{m} long" for m in maps)
-    counts = sample.mapInPandas(_unit_counts, schema).groupBy("unit").agg(*sums, *[F.bit_count(F.bit_or(m)).alias(m) for m in maps])
+    counts = sample.mapInPandas(_unit_counts, "unit string, clean long, toxic long, docs long").groupBy("unit").agg(*sums)
     counts = materialised(counts.where(F.col("docs") >= max(MIN_DOCS, MIN_PART * toxic)), "units")
     length = sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()
     chars = {r["toxic"]: r["n"] + 1 for r in length}
-    slots = 64 * MAPS
     ratio = ((F.col("toxic") + 0.5) / chars[1]) / ((F.col("clean") + 0.5) / chars.get(0, chars[1]))
-    expected = slots * (1 - F.exp(-F.col("toxic") / slots))
-    chosen = (
-        counts.where((ratio >= MIN_RATIO) & (sum(map(F.col, maps)) >= MIN_NEW * expected))
-        .select("unit", F.log(ratio).alias("weight"), "docs").orderBy(F.desc("docs"), "unit").limit(LEXICON)
-    )
-    weights = {r["unit"]: r["weight"] for r in chosen.collect()}
+    likely = counts.where(ratio >= MIN_RATIO).select("unit", F.log(ratio).alias("weight"), "docs").orderBy(F.desc("docs"), "unit").collect()
+    places = _independent(sample.where("toxic = 1"), frozenset(r["unit"] for r in likely))
+    weights = {r["unit"]: r["weight"] for r in [r for r in likely if places[r["unit"]] >= MIN_DOCS][:LEXICON]}
     if not weights:
         return nothing
     phrases = sample.mapInPandas(_phrase_counts(frozenset(weights)), "phrase string, clean long, toxic long").groupBy("phrase").agg(*sums[:2])

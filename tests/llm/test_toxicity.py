@@ -90,3 +90,32 @@ def test_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert accepted(empty, fit(empty, spark.createDataFrame([], LABELS))).count() == 0
     assert units("abcdefg") == ["abcdefg", "abcd*", "abcde*", "abcdef*"]
+
+
+INSULTS = "grubbel vile scumbag nitwit dimwit".split()
+
+
+def insulting(copies, n=400, seed=5):
+    """Toxic rows with two of five insults each, and copies of one toxic text that holds all; each near copy has one word changed."""
+    rng = random.Random(seed)
+    docs = []
+    for i in range(n):
+        words = [rng.choice(WORDS) + rng.choice("abcdefg") for _ in range(40)]
+        for word in rng.sample(INSULTS, 2) if i % 4 == 0 else ():
+            words.insert(rng.randrange(len(words)), word)
+        docs.append((i, " ".join(words), int(i % 4 == 0)))
+    text = f"zebra {' of '.join(INSULTS)} quagga {' '.join(WORDS)}".split()
+    for i in range(copies):
+        at = rng.randrange(len(text))
+        near = text if i % 2 else [*text[:at], f"w{rng.randrange(10**6)}", *text[at + 1:]]
+        docs.append((10_000 + i, " ".join(near), 1))
+    return docs
+
+
+def test_copies_do_not_take_words_out(spark):
+    for copies in (0, 20, 300):
+        rows = insulting(copies)
+        frame = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows], DOCS)
+        model = fit(frame, spark.createDataFrame([(i, 1, x) for i, _, x in rows], LABELS))
+        assert {fold(w) for w in INSULTS} <= set(model.weights), copies
+        assert not {"zebra", "quagga"} & set(model.weights), copies
