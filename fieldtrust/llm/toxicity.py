@@ -31,13 +31,14 @@ from fieldtrust.llm.common import materialised, sample_by_hash, table, whole_tex
 
 #: Labelled rows per class that the model is fitted on, at most.
 SAMPLE = 10_000
-#: Most words in the lexicon, and most exception phrases.
-LEXICON = 5_000
+#: Most exception phrases.
 EXCEPTIONS = 5_000
 #: Lengths of the beginnings of words that are tried.
 STEMS = (4, 5, 6, 8)
-#: A unit needs so many toxic texts and independent surroundings, this part of the texts, and times the rate of others.
-MIN_DOCS, MIN_PART, MIN_RATIO = 5, 0.01, 8.0
+#: A unit needs so many toxic texts and independent surroundings, times the rate of others, and evidence.
+MIN_DOCS, MIN_RATIO = 5, 8.0
+#: The evidence is the exponent of the bound on the chance that a neutral unit's texts are toxic so often: exp(-10) is 1 in 22 000.
+MIN_EVIDENCE = 10.0
 MIN_EXCEPTION_DOCS = 3
 #: Words added to a text's length, so that one hit in a few words is not everything.
 SMOOTHING = 50
@@ -169,7 +170,7 @@ def units(word: str) -> list[str]:
 
 
 def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences by class of each unit, and its toxic texts."""
+    """Occurrences by class of each unit, and its texts by class."""
     for batch in batches:
         seen: dict[str, list[int]] = {}
         for text, toxic in zip(batch["text"], batch["toxic"]):
@@ -178,13 +179,16 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not 2 < len(word) < 40:
                     continue
                 for unit in units(word):
-                    row = seen.setdefault(unit, [0, 0, 0])
+                    row = seen.setdefault(unit, [0, 0, 0, 0])
                     row[toxic] += 1
-                    if toxic and unit not in once:
+                    if unit not in once:
                         once.add(unit)
-                        row[2] += 1
+                        row[2 + toxic] += 1
+        if not seen:
+            continue
         yield pd.DataFrame({
-            "unit": list(seen), "clean": [r[0] for r in seen.values()], "toxic": [r[1] for r in seen.values()], "docs": [r[2] for r in seen.values()],
+            "unit": list(seen), "clean": [r[0] for r in seen.values()], "toxic": [r[1] for r in seen.values()],
+            "clean_docs": [r[2] for r in seen.values()], "docs": [r[3] for r in seen.values()],
         })
 
 
@@ -202,6 +206,8 @@ def _surroundings(known: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], I
                             at = unit, zlib.crc32(left.encode())
                             pair = zlib.crc32(f"{left} {right}".encode()), zlib.crc32(right.encode())
                             seen[at] = min(seen.get(at, pair), pair)
+            if not seen:
+                continue
             yield pd.DataFrame({
                 "unit": [u for u, _ in seen], "left": [x for _, x in seen], "place": [p for p, _ in seen.values()], "right": [r for _, r in seen.values()],
             })
@@ -232,16 +238,27 @@ def _phrase_counts(words: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]],
                 pairs = {f"{a} {b}" for a, b, x, y in zip(found, found[1:], known, known[1:]) if x or y}
                 for pair in pairs:
                     seen.setdefault(pair, [0, 0])[toxic] += 1
+            if not seen:
+                continue
             yield pd.DataFrame({"phrase": list(seen), "clean": [r[0] for r in seen.values()], "toxic": [r[1] for r in seen.values()]})
 
     return run
 
 
+def _evidence_bound(part: float) -> Column:
+    """Chernoff's exponent for ``docs`` toxic of all texts with a unit, of which ``part`` are expected; 0 where there are no more."""
+    toxic, clean = F.col("docs"), F.col("clean_docs")
+    n = toxic + clean
+    exponent = toxic * F.log(toxic / (n * part)) + F.when(clean > 0, clean * F.log(clean / (n * (1 - part)))).otherwise(0.0)
+    return F.when(toxic > n * part, exponent).otherwise(0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """Lexicon, exceptions and curve from the labelled rows that are not held out.
 
-    What comes to the driver is bounded by the sample: the units that pass, ``EXCEPTIONS`` phrases and three
-    numbers per sampled row. Without toxic rows to learn from, every score is 0.
+    Neither the number of words nor the part of texts they must be in depends on the sample's size, so rare
+    words of a large one are learned too. What comes to the driver is bounded by the sample: the units that
+    pass, ``EXCEPTIONS`` phrases and three numbers per sampled row. Without toxic rows to learn from, every score is 0.
     """
     sample = _sample(docs, labels, size)
     total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -249,15 +266,17 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     nothing = Model({}, (), (-60.0, 0.0, 0.0))
     if not toxic:
         return nothing
-    sums = [F.sum(c).alias(c) for c in ("clean", "toxic", "docs")]
-    counts = sample.mapInPandas(_unit_counts, "unit string, clean long, toxic long, docs long").groupBy("unit").agg(*sums)
-    counts = materialised(counts.where(F.col("docs") >= max(MIN_DOCS, MIN_PART * toxic)), "units")
+    sums = [F.sum(c).alias(c) for c in ("clean", "toxic", "clean_docs", "docs")]
+    schema = "unit string, clean long, toxic long, clean_docs long, docs long"
+    counts = sample.mapInPandas(_unit_counts, schema).groupBy("unit").agg(*sums)
+    counts = materialised(counts.where(F.col("docs") >= MIN_DOCS), "units")
     length = sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()
     chars = {r["toxic"]: r["n"] + 1 for r in length}
     ratio = ((F.col("toxic") + 0.5) / chars[1]) / ((F.col("clean") + 0.5) / chars.get(0, chars[1]))
-    likely = counts.where(ratio >= MIN_RATIO).select("unit", F.log(ratio).alias("weight"), "docs").orderBy(F.desc("docs"), "unit").collect()
+    part = chars[1] / (chars[1] + chars.get(0, chars[1]))
+    likely = counts.where((ratio >= MIN_RATIO) & (_evidence_bound(part) >= MIN_EVIDENCE)).select("unit", F.log(ratio).alias("weight")).collect()
     places = _independent(sample.where("toxic = 1"), frozenset(r["unit"] for r in likely))
-    weights = {r["unit"]: r["weight"] for r in [r for r in likely if places[r["unit"]] >= MIN_DOCS][:LEXICON]}
+    weights = {r["unit"]: r["weight"] for r in sorted(likely) if places[r["unit"]] >= MIN_DOCS}
     if not weights:
         return nothing
     phrases = sample.mapInPandas(_phrase_counts(frozenset(weights)), "phrase string, clean long, toxic long").groupBy("phrase").agg(*sums[:2])

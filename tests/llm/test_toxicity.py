@@ -119,3 +119,20 @@ def test_copies_do_not_take_words_out(spark):
         model = fit(frame, spark.createDataFrame([(i, 1, x) for i, _, x in rows], LABELS))
         assert {fold(w) for w in INSULTS} <= set(model.weights), copies
         assert not {"zebra", "quagga"} & set(model.weights), copies
+
+
+def test_rare_words_of_a_large_sample_are_learned(spark):
+    """Each of 100 slurs stands in 30 of 3 000 toxic texts, a little under 1% once some are held out, and in no clean one."""
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("bcdfgjkmnpqrstvwxz") for _ in range(6))
+    slurs, rows = [name() for _ in range(100)], []
+    for i in range(6200):
+        words = [rng.choice(WORDS) + rng.choice("abcdefg") for _ in range(12)]
+        if i < 3000:
+            words[rng.randrange(len(words))] = slurs[i % 100]
+        rows.append((i, " ".join(words), int(i < 3000 or i >= 6000)))
+    frame = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows], DOCS)
+    model = fit(frame, spark.createDataFrame([(i, 1, x) for i, _, x in rows], LABELS))
+    assert {fold(w) for w in slurs} <= set(model.weights)
+    slurred = frame.where("doc_id < 3000")
+    assert accepted(slurred, model).count() <= 0.01 * slurred.count()
