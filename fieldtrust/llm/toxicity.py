@@ -161,7 +161,9 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     ]
     # At most 2 * size rows, so every executor can hold them.
     both = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return materialised(texts.join(both, ["doc_id", "_text"]).select("text", "toxic"), "labelled")
+    # Rows that repeat a chosen id and text come with it.
+    once = texts.join(both, ["doc_id", "_text"]).dropDuplicates(["_text", "toxic"])
+    return materialised(once.select("text", "toxic"), "labelled")
 
 
 def units(word: str) -> list[str]:

@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.toxicity import FOLDING, Matcher, Model, accepted, fit, fold, held_out, score, units
+from fieldtrust.llm.toxicity import FOLDING, Matcher, Model, _sample, accepted, fit, fold, held_out, score, units
 
 DOCS, LABELS = "doc_id long, text string, score double", "doc_id long, quality int, toxic int"
 WORDS = "lorem ipsum dolor sit amet elit sed tempor magna aliqua enim minim quis nisi aute irure velit esse nulla".split()
@@ -136,3 +136,13 @@ def test_rare_words_of_a_large_sample_are_learned(spark):
     assert {fold(w) for w in slurs} <= set(model.weights)
     slurred = frame.where("doc_id < 3000")
     assert accepted(slurred, model).count() <= 0.01 * slurred.count()
+
+
+def test_the_sample_is_bounded_in_rows(spark):
+    """A third of all rows has one labelled id, half of these rows with one text."""
+    docs = [(i, f"text {i}", 0.0) for i in range(400)] + [(1, "hot", 0.0)] * 100 + [(1, f"hot {i}", 0.0) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], LABELS)
+    rows = _sample(spark.createDataFrame(docs, DOCS), labels, 1000).collect()
+    assert len(rows) == len({(r["text"], r["toxic"]) for r in rows}) and ("hot", 1) in {tuple(r) for r in rows}
+    few = _sample(spark.createDataFrame(docs, DOCS), labels, 20).groupBy("toxic").count().collect()
+    assert len(few) == 2 and all(r["count"] <= 20 for r in few)
