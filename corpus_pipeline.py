@@ -23,8 +23,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
-    return mixing.mixture(docs)
+    """Every document as often as the mix of sources takes it, drawn by quality label."""
+    return mixing.mixture(docs, table(spark, sf_dir, "labels"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

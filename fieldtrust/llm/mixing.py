@@ -26,8 +26,6 @@ MAX_EPOCHS = 3
 CELLS = 65_536
 #: Weight of a document in the draw, by its quality label.
 QUALITY = {1: 2.0, 0: 0.5}
-#: Words from which a text without labels has its full weight.
-FULL_WORDS = 200
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -129,18 +127,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     return out.drop("_key", "_cell")
 
 
-def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+def mixture(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """The mix of ``docs`` (doc_id, source, text, any others) itself: every row as often as it is taken.
 
-    Texts weigh by their length up to ``FULL_WORDS`` words, from 0.5 to 1.5, which needs no second table
-    and so no shuffle of texts. Columns stay as they are, also those named like a result of ``mix``.
+    Documents weigh by their quality label, without ``labels`` all the same. The mix is made on rows without
+    texts, and one join brings its copies to the texts. Columns stay as they are, also those named like a
+    result of ``mix``.
     """
+    thin = sized(docs.select("doc_id", "source", "text")).drop("text")
+    thin = thin.withColumn("_weight", F.lit(1.0)) if labels is None else labelled_quality(thin, labels)
+    # Rows that agree in these three are taken alike.
+    place = ["doc_id", "source", "size"]
+    mixed = mix(thin, weights).where("copies > 0").groupBy(*place).agg(F.first("copies").alias("copies"))
+    mixed = materialised(mixed, "copies")
     given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = sized(docs.select("doc_id", "source", "text", given)).drop("text")
-    weight = 0.5 + F.least(F.col("size"), F.lit(FULL_WORDS)) / FULL_WORDS
-    mixed = mix(rows.withColumn("_weight", weight), weights).where("copies > 0")
-    repeated = mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select("_row.*")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in place]
+    taken = rows.alias("d").join(mixed.alias("m"), same)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

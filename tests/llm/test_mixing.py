@@ -3,7 +3,9 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
+import corpus_pipeline
 from fieldtrust.llm.mixing import QUALITY, labelled_quality, mix, mixture, sized, targets
 
 DOCS = "doc_id long, source string, text string"
@@ -82,3 +84,16 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mix(labelled_quality(sized(empty), spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
     assert mixture(empty).count() == 0
+
+
+def test_the_pipeline_draws_by_quality(spark, tmp_path):
+    docs = [(i, "hot" if i % 3 else f"s{i % 7}", "word " * (1 + i * 37 % 90)) for i in range(300)]
+    docs += [(None, "s1", "x y"), (1000, None, None), (5, "s9", "same"), (5, "s9", "same"), (5, "s9", "not the same")]
+    frame = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 200)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    want = Counter()
+    for r in mix(labelled_quality(sized(frame), labels)).collect():
+        want[r["doc_id"], r["source"], r["text"]] += r["copies"]
+    got = Counter(tuple(r) for r in corpus_pipeline.mix_sources(spark, frame, str(tmp_path)).collect())
+    assert got == +want
