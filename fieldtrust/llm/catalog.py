@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrust.llm import bpe, chat, jaccard, lempel_ziv, mixing, pieces, token_index, topk, toxicity, url_filter, warc
+from fieldtrust.llm import alignment, bpe, chat, hard_negatives, jaccard, lempel_ziv, mixing, pieces, token_index, topk, toxicity, url_filter, warc
 
-_MODULES = (bpe, chat, jaccard, lempel_ziv, mixing, pieces, token_index, topk, toxicity, url_filter, warc)
+_MODULES = (alignment, bpe, chat, hard_negatives, jaccard, lempel_ziv, mixing, pieces, token_index, topk, toxicity, url_filter, warc)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
