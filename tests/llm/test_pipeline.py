@@ -29,7 +29,7 @@ def corpus():
         text = " ".join(words)
         docs.append((i, text, "en", "hot" if i % 3 else f"s{i % 4}", len(text)))
         if i % 2:
-            labels.append((i, 1, int("scoundrel" in text or "v1llain" in text)))
+            labels.append((i, i // 2 % 2, int("scoundrel" in text or "v1llain" in text)))
     docs += [(500, None, "en", None, None), (501, "", None, "s1", 0)]
     return docs, labels
 
@@ -51,10 +51,11 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     counted = [(d[0], d[3], len((d[1] or "").split())) for d in single]
     sizes = {s: sum(z for _, o, z in counted if o == s) for _, s, _ in counted}
     target, copies = plain_targets(sizes), {}
+    weight = {i: (0.5, 2.0)[quality] for i, quality, _ in labels}  # good, bad and unlabelled documents differ
     for source, size in sizes.items():
         epochs = math.floor(target[source] / size) if size else 1
         before = 0
-        for _, doc_id, z in sorted((key(d, 0.5 + min(z, 200) / 200), d, z) for d, o, z in counted if o == source):
+        for _, doc_id, z in sorted((key(d, weight.get(d, 1.0)), d, z) for d, o, z in counted if o == source):
             copies[doc_id] = epochs + (2 * before + z <= 2 * (target[source] - epochs * size) if size else 0)
             before += z
 
