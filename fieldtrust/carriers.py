@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.fields import field_struct, location, no_location, wrap_fields
+from fieldtrust.operators.ranking import running_sums, spread_positions
 from fieldtrust.schemas import INVOICE_FIELDS
 
 
@@ -183,6 +184,102 @@ def statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("k"), name.alias("doc_name"), text.alias("text"))
 
 
+# Lines on a page of an invoice, bookings on a page of a statement.
+LINES_PER_PAGE, BOOKINGS_PER_PAGE = 8, 10
+
+
+def amount(cents: Column) -> Column:
+    return F.format_number(cents / F.lit(100.0), 2)
+
+
+def invoice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, doc_name, page, text): every line of every order, eight to a page, in sections of two layouts.
+
+    Returned goods stand in a section of their own, without codes; every fourth order is printed with other column
+    titles in another order, every sixth has a remark among its lines.
+    """
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    quantity = F.col("l_quantity").cast("int")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"),
+        (F.col("l_returnflag") == "R").alias("returned"),
+        F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(" ("), F.col("l_returnflag"), F.col("l_linestatus"), F.lit(")")).alias("description"),
+        F.when(F.col("l_linenumber") % 5 == 0, "-").otherwise(F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("code"),
+        quantity.alias("quantity"), F.col("l_extendedprice").alias("price"),
+        (price * quantity * 100).cast("bigint").alias("cents"),
+    )
+    totals = lines.groupBy("k").agg(F.sum("cents").alias("net"))
+    k = F.col("k")
+    other = k % 4 == 0
+    item = [F.col("description"), F.col("code"), F.col("quantity").cast("string"), F.format_number("price", 2), amount(F.col("cents"))]
+    plain, shuffled = F.concat_ws("  ", *item), F.concat_ws(" | ", item[0], item[3], item[2], item[1], item[4])
+    short = F.concat_ws("  ", item[0], item[2], item[3], item[4])
+    line = F.when(F.col("returned"), short).when(other, shuffled).otherwise(plain)
+    pages = (
+        spread_positions(lines, ["k"]).withColumn("page", F.floor(F.col("position") / LINES_PER_PAGE).cast("int"))
+        .groupBy("k", "page").agg(
+            # Eight lines at most.
+            F.collect_list(F.when(~F.col("returned"), line)).alias("goods"), F.collect_list(F.when(F.col("returned"), line)).alias("returns"),
+        )
+        .join(totals, "k")
+    )
+    tax = F.expr("net div 10")
+    heading = F.when(other, "Item | Rate | Quantity | HSN/SAC | Line total").otherwise("Description  HSN  Qty  Unit price  Amount")
+    remark = F.when(k % 6 == 0, F.array(F.lit("Goods dispatched as agreed"))).otherwise(F.array().cast("array<string>"))
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Invoice No: INV-"), k), F.concat(F.lit("Page: "), F.col("page") + 1), F.lit(""),
+        F.when(F.size("goods") > 0, F.concat_ws("\n", heading, F.concat(F.slice("goods", 1, 1), remark, F.slice("goods", 2, LINES_PER_PAGE)), F.lit(""))),
+        F.when(F.size("returns") > 0, F.concat_ws("\n", F.lit("Particulars  Qty  Rate  Amount"), F.col("returns"), F.lit(""))),
+        F.concat(F.lit("Subtotal: INR "), amount(F.col("net") + F.when(k % 41 == 7, 100).otherwise(0))),
+        F.when(k % 2 == 0, F.concat(F.lit("CGST @ 5%: "), amount(tax - F.expr("net div 10 div 2")))),
+        F.when(k % 2 == 0, F.concat(F.lit("SGST @ 5%: "), amount(F.expr("net div 10 div 2")))),
+        F.when(k % 2 != 0, F.concat(F.lit("IGST @ 10%: "), amount(tax))),
+        F.when(k % 3 == 0, F.concat(F.lit("VAT: "), amount(tax))),
+        F.concat(F.lit("Total: "), amount(F.col("net") + tax)),
+    )
+    return pages.select("k", F.concat(F.lit("invoice_"), k, F.lit(".pdf")).alias("doc_name"), "page", text.alias("text"))
+
+
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, doc_name, page, text): every order as a booking of its customer's account, ten to a page, with running balances.
+
+    One balance in 97 is printed one unit too high. Odd accounts have other column titles and no references.
+    """
+    key, account = F.col("o_orderkey"), F.col("o_custkey")
+    cents = (F.col("o_totalprice").cast("decimal(14,2)") * 100).cast("bigint")
+    booked = table(spark, sf_dir, "orders").select(
+        account.alias("k"), key.alias("booking"), F.col("o_orderdate").alias("day"), F.when(key % 3 == 0, cents).alias("credit"),
+        F.when(key % 3 != 0, cents).alias("debit"), F.when(key % 3 == 0, cents).otherwise(-cents).alias("delta"), F.lit(1).alias("one"),
+    )
+    placed = running_sums(booked, "booking", {"delta": "upto", "one": "position"}, ["k"])
+    k = F.col("k")
+    opening = k * 100 + 1_000_000
+    printed = opening + F.col("upto") + F.when(F.col("booking") % 97 == 5, 100).otherwise(0)
+    written = [
+        F.when(k % 2 == 0, F.date_format("day", "dd/MM/yyyy")).otherwise(iso(F.col("day"))),
+        F.concat(F.lit("ORDER "), F.col("booking")), F.when(F.col("booking") % 4 == 0, F.concat(F.lit("REF"), F.col("booking"))).otherwise("-"),
+        F.coalesce(amount(F.col("debit")), F.lit("-")), F.coalesce(amount(F.col("credit")), F.lit("-")), amount(printed),
+    ]
+    line = F.when(k % 2 == 0, F.concat_ws("  ", *written)).otherwise(F.concat_ws(" | ", written[0], written[1], *written[3:]))
+    pages = (
+        placed.withColumn("page", F.floor((F.col("position") - 1) / BOOKINGS_PER_PAGE).cast("int"))
+        # Ten lines at most.
+        .groupBy("k", "page").agg(F.sort_array(F.collect_list(F.struct("booking", line.alias("line")))).alias("lines"))
+    )
+    spans = booked.groupBy(k.alias("_k")).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    heading = F.when(k % 2 == 0, "Date  Narration  Ref no  Debit  Credit  Balance").otherwise("Value date | Particulars | Withdrawals | Deposits | Balance")
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Account number: "), account_number(k)),
+        F.concat(F.lit("Statement period: "), F.date_format("first", "dd/MM/yyyy"), F.lit(" to "), F.date_format("last", "dd/MM/yyyy")),
+        F.concat(F.lit("Opening balance: "), amount(opening)), F.lit(""),
+        heading, F.transform("lines", lambda x: x["line"]), F.concat(F.lit("Page "), F.col("page") + 1),
+    )
+    name = F.concat(F.lit("bankstmt_"), k, F.lit(".pdf"))
+    return pages.join(spans, k == F.col("_k")).select("k", name.alias("doc_name"), "page", text.alias("text"))
+
+
 def account_number(key: Column) -> Column:
     """Twelve digits, dashed for every other key."""
     digits = F.lpad(key.cast("string"), 12, "0")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrust.catalog import documents, imports, invoices, jobs, retrieval, router, scalars
+from fieldtrust.catalog import documents, imports, invoices, jobs, pages, retrieval, router, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (invoices, scalars, imports, jobs, retrieval, router, documents)
+_MODULES = (invoices, scalars, imports, jobs, retrieval, router, documents, pages)
 
 
 def all_queries() -> dict[str, Query]:

@@ -76,6 +76,26 @@ def verify_locations(spark, sf):
     return long.select("doc_name", "field", F.round(F.get("source_location.bbox", F.lit(0)), 6).alias("x0"))
 
 
+def _decoys(spark, sf):
+    """Orders' numbers and totals beside longer ones that hold them; only every third text has them on their own."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    total = F.format_number("o_totalprice", 2)
+    own = k % 3 == 0
+    text = F.concat(
+        F.lit("Order no: INV-"), k, F.lit("5\nSee also XINV-"), k, F.lit(", 9"), F.when(F.length(total) > 6, F.lit("")).otherwise("9,"), F.replace(total, F.lit(","), F.lit("")),
+        F.when(own, F.concat(F.lit("\n\fThis one: INV-"), k, F.lit(", of "), total)).otherwise(""),
+    )
+    fields = F.array(fl.field_struct("invoice_number", F.concat(F.lit("INV-"), k)), fl.field_struct("total_amount", total, F.col("o_totalprice")))
+    return o.select(k.alias("k"), text.alias("text"), fields.alias("fields"))
+
+
+def verify_decoys(spark, sf):
+    """Values that stand in a text inside longer words and numbers only are not found as they are."""
+    long = fl.fields_long(x.text_verifier(_decoys(spark, sf)), "k")
+    return long.select("k", "field", "confidence", F.col("source_location.page").cast("bigint").alias("page"))
+
+
 def model_extraction(spark, sf):
     """A plugged-in model: replies, retries after bad replies, and failures as rows."""
     def call(text, hint):
@@ -332,7 +352,7 @@ def draft_label_records(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_fields, extract_pages, page_field_accuracy, verify_fields, verify_locations, model_extraction,
+        extract_fields, extract_pages, page_field_accuracy, verify_fields, verify_locations, verify_decoys, model_extraction,
         invoice_pipeline, two_pass_pipeline, second_pass_off, statement_pipeline, unified_results, job_outcomes,
         outcome_events, failed_jobs, uncached_failures, second_pass_failure, cache_duplicates, absent_values, document_costs, document_latency_p95, work_list, cached_results,
         cache_tally, pairing_gaps, incremental_evaluation, incremental_progress, cache_round_trip,
@@ -360,6 +380,15 @@ _EXTRACTED_ROWS = ", ".join(
 )
 
 
+def at_edges(text: str, value: str) -> str:
+    """Whether the value stands in the text as words and numbers of its own."""
+    left = rf"""CASE WHEN regexp_matches({value}, '^[0-9]') THEN '(^|^[.,]|[^\p{{L}}\p{{M}}\p{{N}}_.,]|[^0-9][.,])'
+        WHEN regexp_matches({value}, '^[\p{{L}}\p{{M}}\p{{N}}_]') THEN '(^|[^\p{{L}}\p{{M}}\p{{N}}_])' ELSE '' END"""
+    right = rf"""CASE WHEN regexp_matches({value}, '[0-9]$') THEN '($|[.,]$|[^\p{{L}}\p{{M}}\p{{N}}_.,]|[.,][^0-9])'
+        WHEN regexp_matches({value}, '[\p{{L}}\p{{M}}\p{{N}}_]$') THEN '($|[^\p{{L}}\p{{M}}\p{{N}}_])' ELSE '' END"""
+    return f"regexp_matches({text}, ({left}) || regexp_escape({value}) || ({right}))"
+
+
 def _verified_sql(texts: str) -> str:
     return f"""extracted AS (SELECT doc_name, text, k, unnest([{_EXTRACTED_ROWS}], recursive := true) FROM {texts}),
     words AS (SELECT *, ' ' || {n2('text')} || ' ' AS words, ' ' || {n2('value')} || ' ' AS bare FROM extracted),
@@ -389,6 +418,9 @@ ORACLES = {
         SELECT field, round(avg(correct::INT), 4) AS accuracy, count(correct) AS n_scored FROM s GROUP BY GROUPING SETS ((field), ())""",
     "verify_fields": f"{_EXTRACT} SELECT doc_name, field, confidence, confidence >= 0.8::DOUBLE AS located FROM verified",
     "verify_locations": f"{_EXTRACT} SELECT doc_name, field, round((instr(text, value) - 1)::DOUBLE / length(text), 6) AS x0 FROM verified WHERE value IS NOT NULL",
+    # A part of the number, the letters, is in every text; of the total nothing is.
+    "verify_decoys": """SELECT o_orderkey AS k, field, CASE WHEN o_orderkey % 3 = 0 THEN 0.95::DOUBLE WHEN field = 'invoice_number' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END AS confidence,
+        CASE WHEN o_orderkey % 3 = 0 THEN 1::BIGINT END AS page FROM orders, (SELECT unnest(['invoice_number', 'total_amount']) AS field)""",
     "model_extraction": f"""WITH {RECORDS}, f AS (SELECT unnest(['invoice_number', 'subtotal']) AS field)
         SELECT doc_name, field, CASE WHEN k % 10 = 7 THEN NULL WHEN field = 'subtotal' THEN '1.5' ELSE invoice_number END AS value,
         CASE WHEN k % 10 <> 7 AND field = 'subtotal' THEN 1.5::DOUBLE END AS value_num, CASE WHEN k % 10 = 7 THEN 'no reply' END AS extract_error FROM records, f""",
@@ -418,7 +450,7 @@ ORACLES = {
     "cache_duplicates": f"""WITH {RECORDS} SELECT doc_name, 5::BIGINT AS n_fields, (SELECT count(*) FROM records WHERE {_CACHED}) AS n_cache_hits,
         (SELECT count(*) FROM records WHERE NOT ({_CACHED})) AS n_fresh_calls FROM records WHERE {_CACHED}""",
     "absent_values": f"""WITH {RECORDS}, {INVOICE_TEXT}, {PRED_LONG} SELECT pred.doc_name, coalesce(string_agg(field, ',' ORDER BY i) FILTER (WHERE value IS NOT NULL AND confidence >= 0.6::DOUBLE
-        AND instr({n1('text')}, {n1('value')}) = 0), '') AS absent FROM pred JOIN texts ON pred.doc_name = texts.doc_name GROUP BY pred.doc_name""",
+        AND NOT {at_edges(n1('text'), n1('value'))}), '') AS absent FROM pred JOIN texts ON pred.doc_name = texts.doc_name GROUP BY pred.doc_name""",
     "document_costs": "SELECT user_id AS doc_name, round(sum(round(value / 10, 3)), 3) AS latency_s, round(sum((props->>'$.k')::BIGINT) * 0.001::DOUBLE, 4) AS cost, count(*) AS n_calls FROM events GROUP BY user_id",
     "document_latency_p95": """WITH c AS (SELECT user_id, round(sum(round(value / 10, 3)), 3) AS l FROM events GROUP BY user_id)
         SELECT l AS p95 FROM (SELECT l, row_number() OVER (ORDER BY l) AS rn, count(*) OVER () AS n FROM c) WHERE rn = floor(n * 0.95::DOUBLE)::BIGINT + 1""",

@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtrust.functions.fields import field_struct, location, no_location, rebuilt
-from fieldtrust.functions.normalize import normalize_address, normalize_date, normalize_number, strip
+from fieldtrust.functions.fields import field_struct, no_location, rebuilt
+from fieldtrust.functions.grounding import find_exact, find_words, page_location, text_index, token_span, token_words
+from fieldtrust.functions.normalize import normalize_date, normalize_number, strip
 from fieldtrust.functions.staging import computed_once
-from fieldtrust.schemas import DATE_FIELDS, INVOICE_FIELDS, NUMBER_FIELDS
+from fieldtrust.functions.tables import TableRule, bound, text_tables
+from fieldtrust.schemas import DATE_FIELDS, INVOICE_FIELDS, LINE_ITEM_DDL, NUMBER_FIELDS, TAX_DDL, TRANSACTION_DDL
 
 # Task code travels with the job, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -50,6 +52,42 @@ STATEMENT_RULES = {
 }
 STATEMENT_NUMBERS = ["opening_balance", "closing_balance"]
 
+# Item sections of an invoice and booking sections of a statement.
+ITEM_TABLE = TableRule(
+    columns={
+        "description": (r"description|item|particulars|goods|services?", "text"),
+        "hsn_sac": (r"(?:hsn|sac)(?:\s*/\s*sac)?(?: code)?", "text"),
+        "quantity": (r"qty|quantity", "number"),
+        "unit_price": (r"unit price|price|rate", "number"),
+        "line_total": (r"amount|line total|net worth", "number"),
+    },
+    heading=["description", "quantity"],
+    required=["description", "quantity"],
+    end=r"sub ?total\b|total\b|net worth\b|terms\b|$",
+)
+BOOKING_TABLE = TableRule(
+    columns={
+        "date": (r"(?:value |txn )?date", "date"),
+        "narration": (r"narration|description|particulars", "text"),
+        "debit": (r"debit|withdrawals?", "number"),
+        "credit": (r"credit|deposits?", "number"),
+        "balance": (r"(?:running )?balance", "number"),
+        "ref_no": (r"ref(?:erence)?(?: no)?|che?que no", "text"),
+    },
+    heading=["date", "balance"],
+    required=["date", "balance"],
+    end=r"closing balance\b|page\b|$",
+)
+
+# The parts of an invoice's tax, and its total where it is written.
+TAX_RULES = {
+    "cgst": r"(?im)^\s*cgst\b[^:\r\n]*:\s*(\S[^\r\n]*)$",
+    "sgst": r"(?im)^\s*sgst\b[^:\r\n]*:\s*(\S[^\r\n]*)$",
+    "igst": r"(?im)^\s*igst\b[^:\r\n]*:\s*(\S[^\r\n]*)$",
+    "total_tax": r"(?im)^\s*(?:total )?(?:tax|vat)\s*:\s*(\S[^\r\n]*)$",
+}
+PERIOD_RULE = r"(?im)^\s*(?:statement )?period\s*:\s*(\S[^\r\n]*?)\s+(?:to|until|-)\s+(\S[^\r\n]*)$"
+
 
 def rule_value(text: Column, pattern: str) -> Column:
     return F.nullif(strip(F.regexp_extract(text, pattern, 1)), F.lit(""))
@@ -68,6 +106,40 @@ def rule_record(
     )
 
 
+def line_items(text: Column, rule: TableRule = ITEM_TABLE) -> Column:
+    """Items of an invoice text in order, of all its item sections."""
+    names = ("description", "hsn_sac", "quantity", "unit_price", "line_total")
+    found = F.transform(text_tables(text, rule), lambda r: F.struct(*[r[n].alias(n) for n in names]))
+    return found.cast(f"array<{LINE_ITEM_DDL}>")
+
+
+def transactions(text: Column, rule: TableRule = BOOKING_TABLE) -> Column:
+    """Bookings of a statement text in order."""
+    names = ("date", "narration", "debit", "credit", "balance", "ref_no")
+    found = F.transform(text_tables(text, rule), lambda r: F.struct(*[r[n].alias(n) for n in names]))
+    return found.cast(f"array<{TRANSACTION_DDL}>")
+
+
+def tax_breakdown(text: Column) -> Column:
+    """Parts of the tax and their total: the written one, else the sum of what parts there are; NULL without any."""
+    parts = [normalize_number(rule_value(text, p)).alias(n) for n, p in TAX_RULES.items()]
+
+    def whole(tax: Column) -> Column:
+        given = F.array_compact(F.array(tax["cgst"], tax["sgst"], tax["igst"]))
+        total = F.aggregate(given, F.lit(0).cast("decimal(20,2)"), lambda a, b: (a + b.cast("decimal(18,2)")).cast("decimal(20,2)"))
+        total = F.coalesce(tax["total_tax"], F.when(F.size(given) > 0, total.cast("double")))
+        return F.when(total.isNotNull(), F.struct(tax["cgst"].alias("cgst"), tax["sgst"].alias("sgst"), tax["igst"].alias("igst"), total.alias("total_tax")))
+
+    return bound(F.struct(*parts), whole).cast(TAX_DDL)
+
+
+def statement_period(text: Column) -> Column:
+    """First and last day of a statement as ISO dates; NULL where the text names none."""
+    day = lambda i: bound(normalize_date(F.regexp_extract(text, PERIOD_RULE, i)), lambda d: F.when(d.rlike(r"^\d{4}-\d{2}-\d{2}$"), d))
+    period = F.struct(day(1).alias("start"), day(2).alias("end"))
+    return F.when(text.rlike(PERIOD_RULE), period)
+
+
 def rule_extractor(
     rules: dict[str, str] = INVOICE_RULES, numbers: list[str] = NUMBER_FIELDS
 ) -> Callable[[DataFrame], DataFrame]:
@@ -194,72 +266,60 @@ def model_extractor(
 EXACT, REFORMATTED, PARTIAL, ABSENT = 0.95, 0.8, 0.6, 0.2
 
 
-# Written dates as word sequences, separators aside.
+# Written dates as token sequences, separators aside.
 _DATE_WORDS = [
     "yyyy MM dd", "dd MM yyyy", "MM dd yyyy", "d M yyyy",
     "MMMM dd yyyy", "MMMM d yyyy", "dd MMMM yyyy", "d MMMM yyyy",
 ]
 
 
-def text_verifier(df: DataFrame, text: str = "text", page: int = 0) -> DataFrame:
+def text_verifier(df: DataFrame, text: str = "text") -> DataFrame:
     """Set confidence and location of every field by looking its value up in the document's text.
 
-    The location is the span of characters as a box of relative offsets on the page.
+    A value counts as it stands, else by its tokens, as a date in another form, or as a number written otherwise; always
+    at word edges. Of a value found in part, at least half of its tokens have to stand in the text; it has no place.
+    Pages are separated by form feeds, and a location is the span of characters on its page.
     """
     body = F.col(text)
-    words = F.concat(F.lit(" "), normalize_address(F.col(text)), F.lit(" "))
-    staged = computed_once(df, "_words", words).withColumn(
-        "_length", F.greatest(F.length(body), F.lit(1)).cast("double")
-    )
-
-    def span(at: Column, width: Column, total: Column) -> Column:
-        x0 = (at - 1) / total
-        return location(
-            F.lit(page), x0, F.lit(0.0), F.least(x0 + width / total, F.lit(1.0)), F.lit(1.0)
-        )
-
-    def other_form_at(f: Column, bare: Column) -> Column:
-        """Place of the value in another spelling: by words, as a date, or as a number."""
+    exact = F.transform("fields", lambda f: F.when(f["value"].isNotNull(), F.coalesce(find_exact(body, f["value"]), F.lit(0))))
+    staged = computed_once(df, "_exact", exact)
+    # Most documents have every value as it stands, and need no index.
+    staged = computed_once(staged, "_index", F.when(F.exists("_exact", lambda at: at == 0), text_index(body)))
+    index = F.col("_index")
+
+    def other_form_at(f: Column, words: Column) -> Column:
+        """struct(first, count): place of the value in another spelling, by tokens, as a date, or as a number."""
         day = normalize_date(f["value"]).try_cast("date")
-        written = [
-            F.instr(F.col("_words"), F.concat(F.lit(" "), F.lower(F.date_format(day, form)), F.lit(" ")))
-            for form in _DATE_WORDS
-        ]
+        found = lambda w: F.struct(find_words(index, w).alias("first"), (F.size(F.split(w, " ")) - 2).alias("count"))
+        padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
         number = F.regexp_replace(f["value"], r"[^0-9.\-]", "")
-        plain = F.regexp_replace(body, r"(?<=\d),(?=\d)", "")
-        special = (
-            F.when(f["field"].isin(DATE_FIELDS), F.greatest(*written))
-            .when(f["field"].isin(NUMBER_FIELDS) & (number != ""), F.instr(plain, number))
-        )
-        return F.greatest(
-            F.when(F.trim(bare) != "", F.instr(F.col("_words"), bare)), special, F.lit(0)
-        )
-
-    def verify(f: Column) -> Column:
-        value = f["value"]
-        bare = F.concat(F.lit(" "), normalize_address(value), F.lit(" "))
-        exact_at = F.instr(body, value)
-        bare_at = other_form_at(f, bare)
-        tokens = F.filter(F.split(F.trim(bare), " "), lambda t: t != "")
-        hits = F.filter(
-            tokens, lambda t: F.instr(F.col("_words"), F.concat(F.lit(" "), t, F.lit(" "))) > 0
-        )
-        partly = (F.size(tokens) > 0) & (F.size(hits) * 2 >= F.size(tokens))
-        return rebuilt(
-            f,
-            confidence=F.when(value.isNull(), F.lit(ABSENT))
-            .when(exact_at > 0, F.lit(EXACT))
-            .when(bare_at > 0, F.lit(REFORMATTED))
-            .when(partly, F.lit(PARTIAL))
-            .otherwise(F.lit(ABSENT)),
-            source_location=F.when(
-                exact_at > 0, span(exact_at, F.length(value), F.col("_length"))
-            )
-            .when(
-                bare_at > 0,
-                span(bare_at, F.length(value), F.length(F.col("_words")).cast("double")),
-            )
-            .otherwise(no_location()),
-        )
-
-    return staged.withColumn("fields", F.transform("fields", verify)).drop("_words", "_length")
+        written = F.when(
+            f["field"].isin(DATE_FIELDS) & day.isNotNull(), F.array(*[padded(F.lower(F.date_format(day, form))) for form in _DATE_WORDS])
+        ).when(f["field"].isin(NUMBER_FIELDS), F.array(token_words(number)))
+        forms = F.concat(F.array(words), F.coalesce(written, F.array().cast("array<string>")))
+        return F.get(F.filter(F.transform(forms, found), lambda r: r["first"] > 0), F.lit(0))
+
+    def is_partly_there(words: Column) -> Column:
+        """Whether at least half of the value's tokens stand in the text."""
+        tokens = F.filter(F.split(words, " "), lambda t: t != "")
+        hits = F.filter(tokens, lambda t: F.instr(index["words"], F.concat(F.lit(" "), t, F.lit(" "))) > 0)
+        return (F.size(tokens) > 0) & (F.size(hits) * 2 >= F.size(tokens))
+
+    def verify(f: Column, number: Column) -> Column:
+        value, at = f["value"], F.get(F.col("_exact"), number)
+        unlocated = lambda confidence: F.struct(F.lit(confidence).alias("confidence"), no_location().alias("place"))
+
+        def at_run(run: Column) -> Column:
+            place = bound(token_span(index, run["first"], run["count"]), lambda s: page_location(body, s["start"], s["length"]))
+            return F.struct(F.lit(REFORMATTED).alias("confidence"), place.alias("place"))
+
+        # Each look-up only where the ones before it found nothing.
+        def otherwise_written(words: Column) -> Column:
+            partly = F.when(is_partly_there(words), unlocated(PARTIAL)).otherwise(unlocated(ABSENT))
+            return bound(other_form_at(f, words), lambda run: F.when(run.isNotNull(), at_run(run)).otherwise(partly))
+
+        as_it_stands = F.struct(F.lit(EXACT).alias("confidence"), page_location(body, at, F.length(value)).alias("place"))
+        found = F.when(value.isNull(), unlocated(ABSENT)).when(at > 0, as_it_stands).otherwise(bound(token_words(value), otherwise_written))
+        return bound(found, lambda r: rebuilt(f, confidence=r["confidence"], source_location=r["place"]))
+
+    return staged.withColumn("fields", F.transform("fields", verify)).drop("_exact", "_index")

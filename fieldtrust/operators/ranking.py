@@ -183,3 +183,23 @@ def stratified_folds(
     )
     fold = F.pmod(F.col("_before") + F.col("_rank"), F.lit(n_folds).cast("bigint")).cast("int")
     return joined.withColumn(out, fold).select(*df.columns, out)
+
+
+def spread_positions(df: DataFrame, groups: list[str], out: str = "position") -> DataFrame:
+    """0-based position of every row inside its group, in the order of a digest of the whole row.
+
+    The order says nothing, but numbers are without gaps, so a group can be cut into parts of bounded size.
+    Positions are summed up from 65 536 digest cells, so a group holding most rows is still spread over all tasks;
+    equal rows get numbers in any order.
+    """
+    keyed = df.withColumn("_digest", F.xxhash64(*df.columns))
+    keyed = keyed.withColumn("_cell", F.pmod("_digest", F.lit(65_536)))
+    counts = keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy("_digest")) - 1
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups], F.col("_cell") == F.col("_c"))
+    joined = keyed.withColumn("_inside", inside).join(offsets, same)
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))

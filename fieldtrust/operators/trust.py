@@ -23,6 +23,7 @@ from fieldtrust.functions.fields import (
     is_abstained,
     is_ungrounded_value,
 )
+from fieldtrust.functions.grounding import find_exact
 from fieldtrust.functions.matching import field_match
 from fieldtrust.functions.normalize import normalize_string
 from fieldtrust.operators.ranking import running_sums
@@ -384,7 +385,7 @@ def precision_recall(scored_long: DataFrame) -> DataFrame:
 
 
 def ungrounded_in_text(df: DataFrame, text: str = "text", fields: str = "fields") -> DataFrame:
-    """Documents with the accepted values that do not occur in their own text."""
+    """Documents with the accepted values that do not occur in their own text, as words and numbers of their own."""
     body = normalize_string(F.col(text))
     return df.withColumn("_body", body).withColumn(
         "absent_fields",
@@ -392,13 +393,31 @@ def ungrounded_in_text(df: DataFrame, text: str = "text", fields: str = "fields"
             F.filter(
                 F.col(fields),
                 lambda f: f["value"].isNotNull() & ~is_abstained(f)
-                & (F.instr(F.col("_body"), normalize_string(f["value"])) == 0),
+                & (find_exact(F.col("_body"), normalize_string(f["value"])) == 0),
             ),
             lambda f: f["field"],
         ),
     ).drop("_body")
 
 
+def unbalanced_items(pages: DataFrame, doc: str = "doc_name", tolerance: float = 0.011) -> DataFrame:
+    """Documents whose items do not add up to their subtotal: (doc, n_items, items_total, subtotal).
+
+    ``pages`` has any number of rows per document (line_items, subtotal); a page sums its own items before documents
+    meet. Items without a total and documents without a subtotal do not count.
+    """
+    money = "decimal(18,2)"
+    totals = F.filter(F.transform("line_items", lambda i: i["line_total"].cast(money)), lambda t: t.isNotNull())
+    page = pages.select(
+        doc, F.size(totals).alias("_n"), "subtotal",
+        F.aggregate(totals, F.lit(0).cast(money), lambda a, b: (a + b).cast(money)).alias("_sum"),
+    )
+    summed = page.groupBy(doc).agg(
+        F.sum("_n").alias("n_items"), F.sum("_sum").cast("double").alias("items_total"), F.max("subtotal").alias("subtotal")
+    )
+    return summed.filter(F.abs(F.col("items_total") - F.col("subtotal")) >= tolerance)
+
+
 def call_costs(trace: DataFrame, price_per_token: float, doc: str = "doc_name") -> DataFrame:
     """Latency and cost of all model calls of a document."""
     return trace.groupBy(doc).agg(
