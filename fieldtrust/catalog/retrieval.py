@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldtrust import carriers
 from fieldtrust.carriers import table
 from fieldtrust.catalog.sql import PRED_LONG, RECORDS
+from fieldtrust.operators import pruned
 from fieldtrust.operators import retrieval as r
 from fieldtrust.operators.gate import apply_gate
 
@@ -40,6 +41,13 @@ def top_k_vectors_small_blocks(spark, sf):
     return near.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("distance", 6).alias("distance"))
 
 
+def top_k_pruned(spark, sf):
+    """The same, each vector meeting only cells of vectors that may hold one of its nearest."""
+    v = _vectors(spark, sf)
+    near, _ = pruned.top_k_pruned(v.withColumnRenamed("id", "query_id"), pruned.PrunedIndex(v, cell_rows=16), 3, exclude_same_id=True, block_rows=64)
+    return near.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("distance", 6).alias("distance"))
+
+
 def _layouts(spark, sf):
     records = carriers.invoice_records(spark, sf)
     items = F.array(
@@ -105,7 +113,7 @@ def ingestable_exemplars(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_distances, top_k_vectors, top_k_vectors_small_blocks, exemplar_texts, similar_documents,
+        cosine_distances, top_k_vectors, top_k_vectors_small_blocks, top_k_pruned, exemplar_texts, similar_documents,
         similar_documents_hashed, few_shot_blocks, retrieval_off, ingestable_exemplars,
     )
 }
@@ -130,6 +138,7 @@ ORACLES = {
     "cosine_distances": f"SELECT a.vec_id AS id, round({_COS}, 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "top_k_vectors": _TOPK,
     "top_k_vectors_small_blocks": _TOPK,
+    "top_k_pruned": _TOPK,
     "exemplar_texts": f"WITH {RECORDS} SELECT doc_name AS id, {_TEXT} AS layout_text FROM records",
     "similar_documents": f"{_SIMILAR} SELECT query_id, rank, id, round(d, 6) AS distance FROM found",
     "few_shot_blocks": f"""{_SIMILAR} SELECT query_id, 'REFERENCE EXAMPLES from similar past documents:' || chr(10) || chr(10)
