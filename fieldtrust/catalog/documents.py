@@ -13,6 +13,7 @@ from fieldtrust.functions.parsing import fingerprint
 from fieldtrust.operators import extract as x
 from fieldtrust.operators import incremental as inc
 from fieldtrust.operators import retrieval, trust
+from fieldtrust.operators.exemplars import ExemplarIndex
 from fieldtrust.operators.gate import apply_gate
 from fieldtrust.operators.importers import draft_labels
 from fieldtrust.operators.ranking import value_at_fraction
@@ -20,7 +21,7 @@ from fieldtrust.plans import documents as plan
 from fieldtrust.plans.evaluation import cache_rows, evaluate
 
 from fieldtrust.session import fresh_path
-from fieldtrust.sources.readers import read_or_empty
+from fieldtrust.sources.readers import read_or_empty, scan_labels
 from fieldtrust.sources.writers import append_cache
 
 PAGE_RULES = {
@@ -111,6 +112,21 @@ def model_extraction(spark, sf):
     return long.select("doc_name", "field", "value", "value_num", "extract_error")
 
 
+def model_verification(spark, sf):
+    """A plugged-in verifier: answers, retries after bad replies, and failures that leave everything uncertain."""
+    def call(text, asked, hint):
+        number = text.split("\n")[0].removeprefix("Invoice No: ")
+        if number.endswith("7"):
+            raise RuntimeError("no reply")
+        sure = "high" if number.endswith("3") and not hint else 0.9
+        place = {"page": 0, "bbox": [0.0, 0.0, 1.0, 1.0]}
+        return {name: None if name == "currency" else {"confidence": sure, "source_location": place} for name in asked}
+
+    out = x.model_verifier(call)(x.rule_extractor()(_texts(spark, sf)))
+    long = fl.fields_long(out, "doc_name", "verify_error")
+    return long.select("doc_name", "field", "confidence", F.col("source_location").isNotNull().alias("located"), "verify_error")
+
+
 def invoice_pipeline(spark, sf):
     """Extract, verify, gate."""
     out = plan.extract_invoices(_texts(spark, sf))
@@ -165,6 +181,25 @@ def second_pass_off(spark, sf):
     return fl.fields_long(out, "doc_name").groupBy("field", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pipeline_exemplars(spark, sf):
+    """Clean documents become exemplars of later runs, however often a run is repeated."""
+    texts = _missed_texts(spark, sf)
+    index = ExemplarIndex(spark, fresh_path(spark, "exemplars"), retrieval.letter_profile, cell_rows=256)
+    half = F.col("k") % 2 == 0
+    for run, part in (("r1", half), ("r2", ~half), ("r2", ~half)):
+        plan.extract_invoices(texts.filter(part), verify=_shaky_verifier, embed=None, index=index, run_id=run)
+    return index.rows().select("id", "doc_type", "layout_text", F.size("extracted_fields").cast("bigint").alias("n_fields"), F.col("cell").isNotNull().alias("in_cell"))
+
+
+def draft_round_trip(spark, sf):
+    """Drafts written as label files are read back as labels."""
+    path = fresh_path(spark, "drafts")
+    plan.invoice_drafts(_texts(spark, sf)).write.json(path)
+    labels, skipped = scan_labels(spark, path, multi_line=False)
+    return labels.select("doc_name", "invoice_number", "vendor_name", "subtotal", F.col("tax.total_tax").alias("total_tax"), "total_amount").unionByName(
+        skipped.select(F.col("reason").alias("doc_name")), allowMissingColumns=True)
+
+
 def statement_pipeline(spark, sf):
     return plan.extract_statements(carriers.statement_texts(spark, sf)).select(
         "doc_name", "account_holder_name", "account_number", "bank_name", "currency", "closing_balance"
@@ -352,8 +387,8 @@ def draft_label_records(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_fields, extract_pages, page_field_accuracy, verify_fields, verify_locations, verify_decoys, model_extraction,
-        invoice_pipeline, two_pass_pipeline, second_pass_off, statement_pipeline, unified_results, job_outcomes,
+        extract_fields, extract_pages, page_field_accuracy, verify_fields, verify_locations, verify_decoys, model_extraction, model_verification,
+        invoice_pipeline, two_pass_pipeline, second_pass_off, pipeline_exemplars, draft_round_trip, statement_pipeline, unified_results, job_outcomes,
         outcome_events, failed_jobs, uncached_failures, second_pass_failure, cache_duplicates, absent_values, document_costs, document_latency_p95, work_list, cached_results,
         cache_tally, pairing_gaps, incremental_evaluation, incremental_progress, cache_round_trip,
         draft_label_records,
@@ -424,11 +459,18 @@ ORACLES = {
     "model_extraction": f"""WITH {RECORDS}, f AS (SELECT unnest(['invoice_number', 'subtotal']) AS field)
         SELECT doc_name, field, CASE WHEN k % 10 = 7 THEN NULL WHEN field = 'subtotal' THEN '1.5' ELSE invoice_number END AS value,
         CASE WHEN k % 10 <> 7 AND field = 'subtotal' THEN 1.5::DOUBLE END AS value_num, CASE WHEN k % 10 = 7 THEN 'no reply' END AS extract_error FROM records, f""",
+    "model_verification": f"""{_EXTRACT} SELECT doc_name, field, CASE WHEN k % 10 <> 7 AND value IS NOT NULL AND field <> 'currency' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+        k % 10 <> 7 AND value IS NOT NULL AND field <> 'currency' AS located, CASE WHEN k % 10 = 7 THEN 'no reply' END AS verify_error FROM extracted""",
     "invoice_pipeline": f"""{_EXTRACT} SELECT doc_name, field, value, confidence,
         CASE WHEN value IS NOT NULL AND confidence < 0.8::DOUBLE THEN 'abstained' ELSE 'extracted' END AS status FROM verified""",
     "two_pass_pipeline": f"{_SECOND} SELECT field, 'extracted' AS status, count(*) AS n FROM verified GROUP BY field",
     "second_pass_off": f"""{_SECOND} SELECT field, CASE WHEN field = 'vendor_name' AND k % 50 = 1 THEN 'abstained' ELSE 'extracted' END AS status,
         count(*) AS n FROM verified GROUP BY ALL""",
+    "pipeline_exemplars": f"""WITH {RECORDS}, {INVOICE_TEXT} SELECT doc_name AS id, 'invoice' AS doc_type, vendor_name || chr(10) || vendor_address AS layout_text,
+        (10 - (due_date IS NULL)::INT - (k % 29 = 0)::INT - (k % 19 = 0)::INT + 1)::BIGINT AS n_fields, true AS in_cell FROM records WHERE k % 50 <> 1""",
+    "draft_round_trip": f"""{_EXTRACT} SELECT doc_name, max(value) FILTER (WHERE field = 'invoice_number') AS invoice_number, max(value) FILTER (WHERE field = 'vendor_name') AS vendor_name,
+        max({n3('value')}) FILTER (WHERE field = 'subtotal') AS subtotal, max({n3('value')}) FILTER (WHERE field = 'tax') AS total_tax,
+        max({n3('value')}) FILTER (WHERE field = 'total_amount') AS total_amount FROM verified GROUP BY doc_name""",
     "statement_pipeline": f"""WITH {STATEMENT_TEXT} SELECT doc_name, c_name AS account_holder_name, {_MASKED} AS account_number,
         'Bank of ' || c_mktsegment AS bank_name, 'INR' AS currency, round(c_acctbal, 2) AS closing_balance FROM stmts""",
     "unified_results": f"""WITH {RECORDS}, {INVOICE_TEXT}, {STATEMENT_TEXT} SELECT doc_name, 'invoice' AS doc_type, round({_A} / ({_A} + {_B}), 6) AS router_confidence, true AS valid,

@@ -271,13 +271,42 @@ def exemplar_sink(spark, sf):
         "id", F.col("doc_type").cast("string").alias("doc_type"), F.size("embedding").cast("bigint").alias("width"))
 
 
+def _upload_contents(spark, sf):
+    """Documents as files of several kinds, some of them broken, by key."""
+    d, key = table(spark, sf, "documents"), F.col("doc_id")
+    pages = F.repeat(F.lit("<< /Type /Page /Parent 1 0 R >>\n"), (key % 3 + 1).cast("int"))
+    body = F.concat(F.lit("%PDF-1.4\n<< /Type /Pages /Kids [] >>\n"), pages, F.coalesce("text", F.lit("")))
+    end = F.lit("\n%%EOF\n")
+    kind = key % 9
+    text = (
+        F.when(kind == 0, F.concat(body, end)).when(kind == 1, body).when(kind == 4, F.concat(F.lit("%PDF-1.4\n"), end)).when(kind == 5, F.concat(F.lit("text"), end))
+        .when(kind == 6, F.concat(F.lit("notes"), end)).when(kind == 7, F.lit("")).when(kind == 8, F.concat(F.lit("%PDF-1.7\n<< /Type /Pages /Count 12 >>"), end))
+    )
+    content = F.when(kind.isin(2, 3), F.unhex(F.when(kind == 2, "89504E470D0A1A0A0000000D49484452").otherwise("FFD8FFE000104A464946"))).otherwise(F.encode(text, "UTF-8"))
+    suffix = F.when(kind.isin(2, 3), ".png").when(kind == 5, ".txt").otherwise(".PDF")
+    return d.select(key.alias("doc_id"), F.concat(F.lit("/in/d"), key, suffix).alias("path"), content.alias("content"))
+
+
+def corrupt_documents(spark, sf):
+    """What uploaded files are, how many pages they have and why some are not taken."""
+    return readers.inspected(_upload_contents(spark, sf)).select("doc_id", "doc_name", "kind", F.col("n_pages").cast("bigint").alias("n_pages"), "ok", "error")
+
+
+def ordered_report(spark, sf):
+    """Events by falling confidence, written in order and read back with their positions."""
+    path = fresh_path(spark, "report")
+    events = table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), "user_id")
+    writers.write_ordered(events, path, [F.col("k").desc(), F.col("event_id").asc()])
+    return readers.read_ordered(spark, path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         import_invoices, import_invoice_failures, import_invoice_tally, invoice_batch_csv,
         import_statements, import_statement_failures, import_statements_masked, statement_batch_files, statement_bad_amounts,
         label_files, labels_without_document, labels_with_document, label_sink, document_intake,
-        upload_intake, training_csv, metrics_sink, call_trace_sink, exemplar_sink,
+        upload_intake, training_csv, metrics_sink, call_trace_sink, exemplar_sink, corrupt_documents, ordered_report,
     )
 }
 
@@ -295,6 +324,14 @@ _STMT = """s AS (SELECT *, CASE WHEN o_orderkey % 51 = 0 THEN 'invalid JSON' WHE
 st AS (SELECT *, CASE WHEN o_custkey % 2 = 0 THEN substr(d, 1, 4) || '-' || substr(d, 5, 4) || '-' || substr(d, 9, 4) ELSE d END AS account_number FROM s)"""
 
 ORACLES = {
+    "corrupt_documents": """WITH d AS (SELECT doc_id, doc_id % 9 AS m, doc_id % 3 + 1 AS n FROM documents)
+        SELECT doc_id, 'd' || doc_id || CASE WHEN m IN (2, 3) THEN '.png' WHEN m = 5 THEN '.txt' ELSE '.PDF' END AS doc_name,
+        CASE WHEN m IN (0, 1, 4, 8) THEN 'pdf' WHEN m = 2 THEN 'png' WHEN m = 3 THEN 'jpeg' END AS kind,
+        CASE WHEN m IN (0, 1) THEN n WHEN m IN (2, 3) THEN 1 WHEN m = 8 THEN 12 ELSE 0 END::BIGINT AS n_pages, m IN (0, 2, 8) AS ok,
+        CASE m WHEN 1 THEN 'document breaks off' WHEN 3 THEN 'content is not what ''.png'' says' WHEN 4 THEN 'document has no pages'
+        WHEN 5 THEN 'cannot read files of type ''.txt''' WHEN 6 THEN 'content is not what ''.pdf'' says' WHEN 7 THEN 'document has no pages' END AS error FROM d""",
+    "ordered_report": """SELECT event_id, (props->>'$.k')::BIGINT AS k, user_id,
+        row_number() OVER (ORDER BY (props->>'$.k')::BIGINT DESC, event_id) - 1 AS position FROM events""",
     "import_invoices": _INVOICES,
     "invoice_batch_csv": _INVOICES,
     "import_invoice_failures": f"SELECT {_NAME} AS filename, {_ERROR} AS row_error FROM lineitem WHERE {_ERROR} IS NOT NULL",

@@ -6,6 +6,7 @@ runs batch-wise inside ``mapInPandas``.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterator
 
@@ -15,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtrust.functions.fields import field_struct, no_location, rebuilt
+from fieldtrust.functions.fields import apply_verification, field_struct, no_location, rebuilt
 from fieldtrust.functions.grounding import find_exact, find_words, page_location, text_index, token_span, token_words
 from fieldtrust.functions.normalize import normalize_date, normalize_number, strip
 from fieldtrust.functions.staging import computed_once
 from fieldtrust.functions.tables import TableRule, bound, text_tables
-from fieldtrust.schemas import DATE_FIELDS, INVOICE_FIELDS, LINE_ITEM_DDL, NUMBER_FIELDS, TAX_DDL, TRANSACTION_DDL
+from fieldtrust.schemas import DATE_FIELDS, INVOICE_FIELDS, LINE_ITEM_DDL, LOCATION_DDL, NUMBER_FIELDS, TAX_DDL, TRANSACTION_DDL
 
 # Task code travels with the job, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -261,6 +262,74 @@ def model_extractor(
     return extract
 
 
+def model_verifier(
+    call: Callable[[str, dict[str, str], str | None], dict], max_retries: int = 3,
+) -> Callable[[DataFrame], DataFrame]:
+    """Verifier around a user's model: ``call(text, {field: value}, hint) -> {field: answer}``.
+
+    Only fields with a value are asked for, the tax under ``tax_total_tax``. An answer is None or a record with
+    ``confidence`` (0 to 1) and, where the value was found, ``source_location`` with ``page`` and the four numbers of
+    ``bbox``. A reply of another shape is asked for again with what was wrong as the hint; a call that raises is made
+    again, unless its error is permanent. After ``max_retries`` tries all fields count as uncertain, and the document
+    has the last error in ``verify_error``. Fields without an answer, or asked for in vain, get the default.
+    """
+
+    def checked(reply: object, asked: dict[str, str]) -> dict:
+        if not isinstance(reply, dict):
+            raise ValueError(f"expected a record, got {type(reply).__name__}")
+        answers = {}
+        for name, answer in reply.items():
+            if name not in asked:
+                raise ValueError(f"unknown field {name}")
+            if answer is None:
+                continue
+            confidence, place = float(answer["confidence"]), answer.get("source_location")
+            if not 0 <= confidence <= 1:
+                raise ValueError(f"confidence of {name} is not between 0 and 1")
+            if place is not None:
+                box = [float(x) for x in place["bbox"]]
+                if len(box) != 4:
+                    raise ValueError(f"bbox of {name} has {len(box)} numbers")
+                place = {"page": int(place["page"]), "bbox": box}
+            answers[name] = {"confidence": confidence, "source_location": place}
+        return answers
+
+    def verified(text: str, asked: dict[str, str]) -> dict:
+        hint, error = None, None
+        for _ in range(max_retries):
+            try:
+                reply = call(text, asked, hint)
+            except Exception as exc:  # noqa: BLE001 - a failed call is data here
+                error = str(exc)
+                if is_permanent(error):
+                    break
+                continue
+            try:
+                return {"answers": checked(reply, asked)}
+            except (ValueError, TypeError, KeyError, AttributeError) as exc:
+                error = f"{type(exc).__name__}: {exc}"
+                hint = f"The last reply could not be used: {exc}"
+        return {"error": error}
+
+    @F.pandas_udf("string")
+    def replies(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(verified(t or "", json.loads(a))) for t, a in zip(texts, asked)], dtype=object)
+
+    replies = replies.asNondeterministic()
+
+    def verify(df: DataFrame) -> DataFrame:
+        key = lambda f: F.when(f["field"] == "tax", F.lit("tax_total_tax")).otherwise(f["field"])
+        asked = F.transform(F.filter("fields", lambda f: f["value"].isNotNull()), lambda f: F.struct(key(f), f["value"]))
+        staged = computed_once(df, "_reply", replies(F.col("text"), F.to_json(F.map_from_entries(asked))))
+        answer = f"struct<answers:map<string,struct<confidence:double,source_location:{LOCATION_DDL}>>,error:string>"
+        parsed = computed_once(staged, "_parsed", F.from_json("_reply", answer))
+        return parsed.withColumns({
+            "fields": apply_verification(F.col("fields"), F.col("_parsed.answers")), "verify_error": F.col("_parsed.error"),
+        }).drop("_reply", "_parsed")
+
+    return verify
+
+
 # Confidence by how a value is found, inside the bands 0.9-1 (as it stands), 0.7-0.9 (other
 # format), 0.5-0.7 (partly) and below 0.5 (not at all). A missing value cannot be confirmed.
 EXACT, REFORMATTED, PARTIAL, ABSENT = 0.95, 0.8, 0.6, 0.2

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtrust.functions.media import file_kind, kind_of_suffix, pdf_is_whole, pdf_pages
 from fieldtrust.functions.staging import computed_once
 from fieldtrust.schemas import INVOICE_LABEL_DDL, RAW_INVOICE_DDL, RAW_STATEMENT_DDL
 
@@ -142,6 +143,42 @@ def intake(
     )
 
 
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that ``write_ordered`` has written, each with its 0-based ``position``; nothing is sorted again."""
+    rows = spark.read.parquet(f"{path}/rows")
+    files = spark.read.parquet(f"{path}/files").select(F.col("file").alias("_file"), "first")
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_index"))
+    return placed.join(files, F.col("_name") == F.col("_file")).select(*rows.columns, (F.col("first") + F.col("_index")).alias("position"))
+
+
+def document_contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of a folder's files."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+
+
+def inspected(files: DataFrame, suffixes: list[str] | None = None, path: str = "path") -> DataFrame:
+    """Files (path, content) with ``doc_name``, ``suffix``, ``kind``, ``n_pages``, ``ok`` and ``error``; contents are not carried on.
+
+    A file is bad if its suffix is not taken in, its content is of another kind than the suffix says, a PDF breaks off
+    before its end, or there is no page. Only signatures and page objects are looked at; nothing is decoded.
+    """
+    allowed = PDF_SUFFIXES + IMAGE_SUFFIXES if suffixes is None else suffixes
+    content = F.coalesce("content", F.lit(b""))
+    named = files.select(
+        *[c for c in files.columns if c != "content"], file_name(F.col(path)).alias("doc_name"), file_suffix(F.col(path)).alias("suffix"),
+        file_kind(content).alias("kind"), F.when(file_kind(content) == "pdf", pdf_pages(content)).otherwise(F.when(file_kind(content).isNotNull(), 1).otherwise(0)).alias("n_pages"),
+        (file_kind(content) != "pdf").alias("_image"), pdf_is_whole(content).alias("_whole"), (F.octet_length(content) == 0).alias("_empty"),
+    )
+    error = (
+        F.when(~F.col("suffix").isin(allowed), F.concat(F.lit("cannot read files of type '"), "suffix", F.lit("'")))
+        .when(F.col("_empty"), F.lit("document has no pages"))
+        .when(~F.col("kind").eqNullSafe(kind_of_suffix(F.col("suffix"))), F.concat(F.lit("content is not what '"), "suffix", F.lit("' says")))
+        .when(~F.col("_image") & ~F.col("_whole"), F.lit("document breaks off"))
+        .when(F.col("n_pages") == 0, F.lit("document has no pages"))
+    )
+    return named.withColumn("error", error).withColumn("ok", F.col("error").isNull()).drop("_image", "_whole", "_empty")
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Parquet table, or an empty one with the schema where nothing was written yet."""
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.masking import mask_account_number
@@ -58,6 +58,24 @@ def write_report(metrics: DataFrame, path: str) -> None:
     )
 
 
+def write_ordered(df: DataFrame, path: str, order: list[str | Column], partitions: int | None = None) -> None:
+    """Rows as files that follow one another in the order of ``order``; a re-run replaces them.
+
+    Rows are dealt by ranges of the order and sorted inside a range, so no task sorts all of them. ``files`` beside
+    the rows says for each file how many rows stand before it, which gives every row its position without another
+    sort (``read_ordered``). The order should have no ties; rows that tie are in any order, and in one file.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/rows")
+    written = spark.read.schema(df.schema).parquet(f"{path}/rows").select(F.col("_metadata.file_name").alias("file"))
+    # A row per file from here on; a task numbers its files one by one.
+    files = written.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
+    task = F.regexp_extract("file", r"^part-(\d+)", 1).cast("bigint")
+    before = Window.orderBy(task, "file").rowsBetween(Window.unboundedPreceding, -1)
+    files.withColumn("first", F.coalesce(F.sum("n_rows").over(before), F.lit(0))).write.mode("overwrite").parquet(f"{path}/files")
+
+
 def write_statements(statements: DataFrame, path: str, mask_pii: bool = True) -> None:
     out = statements
     if mask_pii:

@@ -222,3 +222,30 @@ def test_incremental(spark):
     assert tuple(inc.cache_tally(work, cache, current).first()) == (1, 3)
     gaps = {tuple(r) for r in inc.pairing_gaps(work, results).collect()}
     assert gaps == {("d", True, False)}
+
+
+def test_model_verifier(spark):
+    asked = []
+
+    def call(text, fields, hint):
+        asked.append(fields)
+        if text == "down":
+            raise RuntimeError("503")
+        if text == "quota":
+            raise RuntimeError("429 PerDay")
+        if text == "odd" and hint is None:
+            return {"vendor_name": {"confidence": 2}}
+        if text == "never":
+            return [1]
+        return {"vendor_name": {"confidence": 1, "source_location": {"page": 1, "bbox": [0, 0, 1, 1]}}, "tax_total_tax": None}
+
+    df = documents(spark, {t: {"vendor_name": ("Acme", 1.0), "tax": ("5", 1.0), "due_date": (None, 1.0)} for t in ("fine", "odd", "down", "quota", "never")})
+    out = {r["doc_name"]: r for r in x.model_verifier(call)(df.withColumn("text", F.col("doc_name"))).collect()}
+
+    def told(name):
+        return {f["field"]: (f["confidence"], f["source_location"] and f["source_location"]["page"]) for f in out[name]["fields"] if f["field"] in ("vendor_name", "tax", "due_date")}
+
+    sure, unsure = {"vendor_name": (1.0, 1), "tax": (0.5, None), "due_date": (0.5, None)}, {n: (0.5, None) for n in ("vendor_name", "tax", "due_date")}
+    assert told("fine") == told("odd") == sure and told("down") == told("quota") == told("never") == unsure
+    assert [out[t]["verify_error"] for t in ("fine", "odd", "down", "quota")] == [None, None, "503", "429 PerDay"]
+    assert "expected a record" in out["never"]["verify_error"]
