@@ -85,7 +85,7 @@ def similar_documents_hashed(spark, sf):
     """With the default hashed embedding."""
     queries, exemplars = _queries_and_exemplars(spark, sf)
     found = r.retrieve_exemplars(queries, exemplars)
-    return found.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("distance", 6).alias("distance"))
 
 
 def few_shot_blocks(spark, sf):
@@ -141,8 +141,18 @@ ORACLES = {
     "top_k_pruned": _TOPK,
     "exemplar_texts": f"WITH {RECORDS} SELECT doc_name AS id, {_TEXT} AS layout_text FROM records",
     "similar_documents": f"{_SIMILAR} SELECT query_id, rank, id, round(d, 6) AS distance FROM found",
-    "few_shot_blocks": f"""{_SIMILAR} SELECT query_id, 'REFERENCE EXAMPLES from similar past documents:' || chr(10) || chr(10)
-        || string_agg({_SHOT}, chr(10) ORDER BY rank) || chr(10) || 'Use these examples as reference for field formats and layout conventions when extracting from the current document.'
+    "similar_documents_hashed": f"""WITH {RECORDS}, lay AS (SELECT doc_name AS id, lower({_TEXT}) AS x FROM records), texts AS (SELECT DISTINCT x FROM lay),
+        slots AS (SELECT x, ('0x' || substr(md5(w), 1, 8))::BIGINT % 768 AS slot, sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS v
+            FROM (SELECT x, unnest(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM texts) GROUP BY ALL),
+        norms AS (SELECT x, sqrt(sum(v * v)) AS n FROM slots GROUP BY x HAVING n > 0),
+        dots AS (SELECT a.x AS qx, b.x AS cx, sum(a.v * b.v) AS d FROM slots a JOIN slots b USING (slot) GROUP BY ALL),
+        members AS (SELECT x, id FROM (SELECT x, id, row_number() OVER (PARTITION BY x ORDER BY id) AS rn FROM lay) WHERE rn <= 3),
+        cand AS (SELECT q.x AS qx, m.id, round(1 - coalesce(dots.d, 0) / (q.n * c.n), 10) AS d FROM norms q CROSS JOIN norms c JOIN members m ON m.x = c.x
+            LEFT JOIN dots ON dots.qx = q.x AND dots.cx = c.x),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qx ORDER BY d, id) AS rank FROM cand) WHERE rank <= 3)
+        SELECT lay.id AS query_id, rank, best.id, round(d, 6) AS distance FROM lay JOIN best ON lay.x = best.qx""",
+    "few_shot_blocks": f"""{_SIMILAR} SELECT query_id, 'Earlier documents that look alike, with the values read from them:' || chr(10) || chr(10)
+        || string_agg({_SHOT}, chr(10) ORDER BY rank) || chr(10) || 'Formats and layout are likely to be the same in this one.'
         || chr(10) AS few_shot FROM found JOIN lay e ON e.id = found.id GROUP BY query_id""",
     "retrieval_off": f"WITH {RECORDS} SELECT NULL::INTEGER AS rank, count(*) AS n FROM records",
     "ingestable_exemplars": f"""WITH {RECORDS}, {PRED_LONG} SELECT doc_name AS id, max(value) FILTER (WHERE field = 'vendor_name') || chr(10)

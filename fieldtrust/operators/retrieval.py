@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.fields import has_value, raw_value
+from fieldtrust.functions.staging import computed_once
+from fieldtrust.schemas import NUMBER_FIELDS
 from fieldtrust.session import materialised
 
 # Task code travels with the job, so that executors need no copy of this package.
@@ -179,16 +181,28 @@ def document_text(df: DataFrame) -> Column:
 
 
 def hashed_embedding(df: DataFrame, text: str = "layout_text", dim: int = EMBEDDING_DIM) -> DataFrame:
-    """Default embedder: hashed term counts, unit length, no fitting pass."""
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
+    """Default embedder: signed feature hashing of words, unit length, no fitting pass.
 
-    tokens = RegexTokenizer(
-        inputCol=text, outputCol="_tokens", pattern=r"[\p{L}\p{N}_]+", gaps=False
-    ).transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
-    counts = HashingTF(numFeatures=dim, inputCol="_tokens", outputCol="_tf").transform(tokens)
-    unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counts)
-    return unit.withColumn("embedding", vector_to_array("_unit")).drop("_tokens", "_tf", "_unit")
+    A word's md5 gives its slot (first eight hexadecimal digits modulo ``dim``) and its sign (the ninth one), so words
+    that share a slot cancel out on average, and any engine with md5 finds the same vector. A text without words, or
+    whose words cancel out, has a zero vector.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+    def feature(digest: Column) -> Column:
+        slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
+        return F.struct(slot.alias("slot"), F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0).alias("sign"))
+
+    features = F.transform(F.transform(words, lambda w: F.md5(w)), feature)
+    vector = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
+        lambda i: F.aggregate(F.col("_features"), F.lit(0.0), lambda total, f: total + F.when(f["slot"] == i, f["sign"]).otherwise(0.0)),
+    )
+    staged = computed_once(computed_once(df, "_features", features), "_counts", vector)
+    length = F.sqrt(dot(F.col("_counts"), F.col("_counts")))
+    staged = staged.withColumn("_length", length)
+    unit = F.transform("_counts", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(x))
+    return staged.withColumn("embedding", unit).drop("_features", "_counts", "_length")
 
 
 def letter_profile(df: DataFrame, text: str = "layout_text") -> DataFrame:
@@ -300,7 +314,7 @@ def retrieve_exemplars(
 def few_shot_blocks(retrieved: DataFrame, exemplars: DataFrame) -> DataFrame:
     """(query_id, few_shot): retrieved exemplars as one text per query, nearest first.
 
-    At most k exemplars meet in one group. Fields are listed as ``key: 'value'`` without nulls.
+    At most k exemplars meet in one group. Fields are listed as ``key: 'value'`` without nulls, amounts without quotes.
     """
     found = retrieved.join(exemplars.select("id", "extracted_fields"), "id")
     shots = found.groupBy("query_id").agg(
@@ -319,17 +333,15 @@ def few_shot_text(shots: Column) -> Column:
         vendor = F.get(F.filter(shot["entries"], lambda e: e["key"] == "vendor_name"), F.lit(0))["value"]
         title = F.when(F.coalesce(vendor, F.lit("")) != "", F.concat(F.lit(" ("), vendor, F.lit(")"))).otherwise("")
         header = F.concat(F.lit("--- Example "), (i + 1).cast("string"), title, F.lit(" ---"))
+        is_number = lambda e: e["key"].isin(NUMBER_FIELDS) & e["value"].try_cast("double").isNotNull()
         lines = F.transform(
-            entries, lambda e: F.concat(F.lit("  "), e["key"], F.lit(": '"), e["value"], F.lit("'"))
+            entries,
+            lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), F.when(is_number(e), e["value"]).otherwise(F.concat(F.lit("'"), e["value"], F.lit("'")))),
         )
         return F.concat(F.array_join(F.concat(F.array(header), lines), "\n"), F.lit("\n"))
 
-    # The wording around the examples.
-    intro = "REFERENCE EXAMPLES from similar past documents:\n"
-    outro = (
-        "Use these examples as reference for field formats and layout conventions "
-        "when extracting from the current document.\n"
-    )
+    intro = "Earlier documents that look alike, with the values read from them:\n"
+    outro = "Formats and layout are likely to be the same in this one.\n"
     body = F.array_join(F.transform(shots, example), "\n")
     return F.when(F.size(shots) == 0, F.lit("")).otherwise(
         F.concat(F.lit(intro + "\n"), body, F.lit("\n" + outro))
