@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.bpe import worker_encoder
+from fieldtrust.llm.byte_chunks import worker_bytes
 from fieldtrust.llm.common import fresh_path, slices, table, tokenizer_path, whole_text
 from fieldtrust.llm.files import place, read_file, write_file
 from fieldtrust.llm.ranges import in_ranges
@@ -39,19 +39,21 @@ END = 0
 GAMMA, LEVELS = 2.0, 40
 
 
-def key_hash(doc_id: int | None, ordinal: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{'' if doc_id is None else doc_id}#{ordinal}")
+def key_hash(doc_id: int | None, ordinal: int) -> tuple[int, int]:
+    """128 bits as two signed numbers: keys that share them are not to be expected in any corpus."""
+    return struct.unpack("<2q", xxhash.xxh3_128_digest(f"{'' if doc_id is None else doc_id}#{ordinal}"))
 
 
-def _mix(hashes: np.ndarray, level: int) -> np.ndarray:
-    x = hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
+def _mix(keys: np.ndarray, level: int) -> np.ndarray:
+    """A 64-bit hash of each key (two columns) for a level; keys that share one half part on another level."""
+    x = keys[:, 0] + keys[:, 1] * np.uint64(2 * level + 1) + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys: n keys get the slots 0 to n - 1.
+    """Minimal perfect hash of distinct 128-bit keys (rows of two unsigned numbers): n keys get the slots 0 to n - 1.
 
     On each level a key that no other one meets at its bit sets it; the others go on to the next level.
     A key's slot is the number of bits set before its own.
@@ -62,10 +64,13 @@ class PerfectHash:
         counts = [0, *np.cumsum([int(bits.sum()) for bits in levels]).tolist()]
         self.ranks = [start + np.cumsum(bits) - bits for start, bits in zip(counts, (b.astype("i8") for b in levels))]
         self.placed = counts[-1]
+        self._listed = {key: self.placed + i for i, key in enumerate(map(tuple, rest.tolist()))}
 
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = GAMMA, most: int = LEVELS) -> PerfectHash:
-        levels, left = [], np.unique(keys)
+        levels, left = [], np.unique(keys, axis=0)
+        if len(left) < len(keys):
+            raise ValueError("keys are not distinct")
         while len(left) and len(levels) < most:
             size = max(64, int(gamma * len(left)))
             at = (_mix(left, len(levels)) % np.uint64(size)).astype("i8")
@@ -85,10 +90,8 @@ class PerfectHash:
             hit = bits[at] == 1
             out[open_[hit]] = ranks[at[hit]]
             open_ = open_[~hit]
-        if len(open_) and len(self.rest):
-            at = np.searchsorted(self.rest, keys[open_])
-            hit = (at < len(self.rest)) & (self.rest[np.minimum(at, len(self.rest) - 1)] == keys[open_])
-            out[open_[hit]] = self.placed + at[hit]
+        if self._listed:
+            out[open_] = [self._listed.get(key, -1) for key in map(tuple, keys[open_].tolist())]
         return out
 
 
@@ -139,8 +142,8 @@ class IndexPart:
             width = (bits + 7) // 8
             levels.append(np.unpackbits(np.frombuffer(raw, "u1", width, at), count=bits))
             at += width
-        left = np.frombuffer(raw, "<u8", rest, at)
-        at += 8 * rest
+        left = np.frombuffer(raw, "<u8", 2 * rest, at).reshape(rest, 2)
+        at += 16 * rest
         columns = {}
         for name, kind in (("print", "<u4"), ("shard", "<u8"), ("offset", "<u8"), ("length", "<u8")):
             columns[name] = np.frombuffer(raw, kind, size, at)
@@ -156,10 +159,9 @@ def _write_shards(path: str, vocabulary: str, shard_bytes: int) -> Callable[[Ite
     """Rows arrive range by range in the order of their ids; puts out where each went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary)
-        kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        width = np.dtype(kind).itemsize
-        end = np.array([END], kind).tobytes()
+        encoder = worker_bytes(vocabulary)
+        width = np.dtype(encoder.kind).itemsize
+        end = np.array([END], encoder.kind).tobytes()
         place_, ordinal, before, number = None, 0, None, 0
         held: list[bytes] = []
         size = 0
@@ -170,7 +172,8 @@ def _write_shards(path: str, vocabulary: str, shard_bytes: int) -> Callable[[Ite
 
         for batch in slices(batches):
             out: list[tuple] = []
-            for range_, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("_range", "doc_id", "text")]):
+            encoded = encoder.ids(batch.column("text").to_pylist())
+            for range_, doc_id, ids in zip(batch.column("_range").to_pylist(), batch.column("doc_id").to_pylist(), encoded):
                 if range_ != place_:
                     close()
                     place_, number, held, size, ordinal, before = range_, 0, [], 0, 0, ()
@@ -179,17 +182,21 @@ def _write_shards(path: str, vocabulary: str, shard_bytes: int) -> Callable[[Ite
                     number, held, size = number + 1, [], 0
                 ordinal = ordinal + 1 if doc_id == before else 0
                 before = doc_id
-                ids = np.frombuffer(encoder.ids(text), "<u4").astype(kind).tobytes() + end
-                out.append((doc_id, ordinal, np.uint64(key_hash(doc_id, ordinal)).astype("i8"), (place_ << 32) + number, size // width, len(ids) // width))
-                held.append(ids)
-                size += len(ids)
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "ordinal", "key", "shard", "offset", "length"])
+                length = len(ids) // width + 1
+                out.append((doc_id, ordinal, *key_hash(doc_id, ordinal), (place_ << 32) + number, size // width, length))
+                held += (ids, end)
+                size += length * width
+            columns = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "ordinal", "key", "check", "shard", "offset", "length"])
         close()
 
     return run
 
 
+def _keys(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.column_stack([rows.column(c).to_numpy() for c in ("key", "check")]).astype("i8").view("u8")
+
+
 def _write_index(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows arrive part by part; puts out the size of each part."""
 
@@ -199,8 +206,7 @@ def _write_index(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         def close() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
             number = rows.column("part")[0].as_py()
-            values = {c: rows.column(c).to_numpy() for c in ("key", "shard", "offset", "length")}
-            part = IndexPart.build(values["key"].astype("i8").view("u8"), values["shard"], values["offset"], values["length"])
+            part = IndexPart.build(_keys(rows), *[rows.column(c).to_numpy() for c in ("shard", "offset", "length")])
             write_file(f"{path}/index/{number:08d}.mph", part.dump())
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([rows.num_rows], pa.int64())], ["part", "keys"])
 
@@ -234,11 +240,11 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, shard_bytes: int =
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     rows = in_ranges(rows).withColumn("_hash", F.xxhash64("text"))
     ordered = rows.repartition("_range").sortWithinPartitions("_range", F.col("doc_id").asc_nulls_first(), "_hash")
-    schema = "doc_id long, ordinal long, key long, shard long, offset long, length long"
+    schema = "doc_id long, ordinal long, key long, check long, shard long, offset long, length long"
     ordered.mapInArrow(_write_shards(path, vocabulary, shard_bytes), schema).write.parquet(f"{path}/directory.parquet")
     directory = spark.read.schema(schema).parquet(f"{path}/directory.parquet")
     parts = max(1, -(-directory.count() // part_keys))
-    placed = directory.withColumn("part", part_of(parts)).select("part", "key", "shard", "offset", "length")
+    placed = directory.withColumn("part", part_of(parts)).select("part", "key", "check", "shard", "offset", "length")
     placed.repartition("part").sortWithinPartitions("part").mapInArrow(_write_index(path), "part long, keys long").write.parquet(f"{path}/parts.parquet")
     # A row per shard; ranges have disjoint ids, so a shard's documents follow all those of the shards before.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -261,7 +267,7 @@ def _look_up(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 if parts[a] != number:
                     number, part = parts[a], IndexPart.load(read_file(f"{path}/index/{parts[a]:08d}.mph"))
                 rows = batch.slice(a, b - a)
-                found, places = part.find(rows.column("key").to_numpy().view("u8"))
+                found, places = part.find(_keys(rows))
                 columns = [rows.column("doc_id").filter(pa.array(found))]
                 columns += [pa.array(places[c][found].astype("i8")) for c in ("shard", "offset", "length")]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "offset", "length"])
@@ -272,13 +278,13 @@ def _look_up(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def _key_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, ordinals = batch.column("doc_id"), batch.column("ordinal")
-        keys = np.array([key_hash(i, o) for i, o in zip(ids.to_pylist(), ordinals.to_pylist())], "u8").view("i8")
-        yield pa.RecordBatch.from_arrays([ids, pa.array(keys)], ["doc_id", "key"])
+        keys = np.array([key_hash(i, o) for i, o in zip(ids.to_pylist(), ordinals.to_pylist())], "i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([ids, *map(pa.array, keys.T)], ["doc_id", "key", "check"])
 
 
 def look_up(keys: DataFrame, path: str, parts: int) -> DataFrame:
     """doc_id, shard, offset and length of each of ``keys`` (doc_id, ordinal) that the store has."""
-    hashed = keys.select("doc_id", F.col("ordinal").cast("long")).mapInArrow(_key_hashes, "doc_id long, key long")
+    hashed = keys.select("doc_id", F.col("ordinal").cast("long")).mapInArrow(_key_hashes, "doc_id long, key long, check long")
     placed = hashed.withColumn("part", part_of(parts)).repartition("part").sortWithinPartitions("part")
     return placed.mapInArrow(_look_up(path), "doc_id long, shard long, offset long, length long")
 
@@ -323,8 +329,6 @@ def every_key(docs: DataFrame) -> DataFrame:
     return counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("ordinal"))
 
 
-
-
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = fresh_path(spark, "token-store")

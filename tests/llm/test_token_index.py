@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtrust.llm import token_index
+from fieldtrust.llm import byte_chunks, token_index
 from fieldtrust.llm.bpe import TreeEncoder
 from fieldtrust.llm.common import tokenizer_path
 from fieldtrust.llm.token_index import IndexPart, PerfectHash, every_key, look_up, read_documents, write_store
@@ -18,7 +18,7 @@ DOCS = "doc_id long, text string"
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 30_000])
 def test_perfect_hash_is_minimal(n):
-    keys = np.random.default_rng(n).integers(0, 2**64, n, dtype="u8")
+    keys = np.random.default_rng(n).integers(0, 2**64, (n, 2), dtype="u8")
     hashing = PerfectHash.build(keys)
     assert sorted(hashing.slots(keys).tolist()) == list(range(n))
     # With one level most keys go to the list; slots stay minimal.
@@ -27,16 +27,41 @@ def test_perfect_hash_is_minimal(n):
 
 def test_index_part_round_trip():
     rng = np.random.default_rng(3)
-    keys = rng.integers(0, 2**64, 5000, dtype="u8")
+    keys = rng.integers(0, 2**64, (5000, 2), dtype="u8")
+    keys[:2000] = np.repeat(keys[:1000], 2, axis=0)  # keys that share a half
+    keys[1:2000:2, 1] += np.uint64(1)
+    keys[2000:2500, 1] = 7
     values = [rng.integers(0, 2**40, 5000) for _ in range(3)]
     part = IndexPart.load(IndexPart.build(keys, *values).dump())
     found, places = part.find(keys)
     assert found.all()
     assert all((places[c] == v).all() for c, v in zip(("shard", "offset", "length"), values))
-    strangers = rng.integers(0, 2**64, 20_000, dtype="u8")
+    strangers = rng.integers(0, 2**64, (20_000, 2), dtype="u8")
     assert part.find(strangers)[0].sum() < 5  # 32-bit fingerprints
 
 
+def test_equal_keys_are_refused():
+    with pytest.raises(ValueError, match="distinct"):
+        PerfectHash.build(np.array([[1, 2], [1, 2]], "u8"))
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_chunk_table_equals_the_library(plain, monkeypatch):
+    monkeypatch.setattr(byte_chunks, "TABLE", 50)
+    encoder, rng = byte_chunks.ByteEncoder(VOCABULARY, plain), random.Random(8)
+    parts = ["ab", "the", " the", " ", "  ", "   ", "\n", "\n\n", " \n", "\t", "é", "中文", "😀", "\0", "<|endoftext|>", "<|endof", "text|>", "'s", "1", "x" * 70, "\xa0", "ä"]
+    for _ in range(60):
+        some = rng.sample(parts, rng.randint(1, 8))
+        texts = ["".join(rng.choice(some) for _ in range(rng.choice((0, 1, 2, 3, 20, 60)))) for _ in range(30)]
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(i, encoder.kind).tolist() for i in encoder.ids(texts)] == want
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        byte_chunks.ByteEncoder(tokenizer_path("word_bpe_49k.json"))
+
+
 def expected(docs):
     tokenizer = TreeEncoder(VOCABULARY).tokenizer
     out, start = [], 0
