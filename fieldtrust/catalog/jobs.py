@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust import carriers
 from fieldtrust.operators import jobs as j
+from fieldtrust.operators.job_table import JobTable
 from fieldtrust.operators.ranking import value_at_fraction
 from fieldtrust.session import fresh_path
 from fieldtrust.sources.writers import append_events
@@ -128,10 +129,10 @@ def _log_files(spark, sf) -> str:
     return path
 
 
-def _log_stream(spark, sf):
+def _log_stream(spark, sf, triggers=None):
     source = _log_files(spark, sf)
-    schema = spark.read.parquet(source).schema
-    return stream.event_stream(spark, source, schema)
+    log = spark.read.parquet(source)
+    return stream.event_stream(spark, source, log.schema, triggers and -(-len(log.inputFiles()) // triggers))
 
 
 def streaming_job_states(spark, sf):
@@ -148,6 +149,25 @@ def streaming_job_stats(spark, sf):
     return stream.last_batch(spark, out)
 
 
+def job_table_merge(spark, sf):
+    """Job states merged into a stored table in quarters of the log, the last one twice and the first one once more, late."""
+    log = carriers.job_log(spark, sf)
+    quarter = F.floor(F.col("ord") / F.lit(2000)) % 4
+    stored = JobTable(spark, fresh_path(spark, "jobs"), buckets=16)
+    for i in (0, 1, 2, 3, 3, 0):
+        part = log.filter(quarter == i).groupBy("job_id").agg(F.max("ord").alias("updated_ord"), F.max_by("event_type", "ord").alias("last_event"), F.max_by("doc_name", "ord").alias("doc_name"))
+        stored.upsert(part)
+    stored.vacuum(1)
+    return stored.read()
+
+
+def compacted_states(spark, sf):
+    """The stream's states in a stored table, after several triggers."""
+    stored = JobTable(spark, fresh_path(spark, "jobs"), buckets=16)
+    stream.merge_states(stream.job_states(_log_stream(spark, sf, triggers=3)), stored, fresh_path(spark, "checkpoint")).awaitTermination()
+    return _shown(stored.read())
+
+
 def streaming_audit_copy(spark, sf):
     out = fresh_path(spark, "copy")
     stream.append_audit(_log_stream(spark, sf), out, fresh_path(spark, "checkpoint")).awaitTermination()
@@ -162,7 +182,7 @@ QUERIES = {
         job_view, job_lifecycle, job_lookup, job_stats, processing_time_p95, order_value_p95,
         account_balance_median, queue_listing, queue_pending, queue_split, queue_resolved,
         queue_resolved_in_place, resolution_events, status_breakdown, doc_type_breakdown,
-        latest_values, streaming_job_states, streaming_job_stats, streaming_audit_copy,
+        latest_values, job_table_merge, compacted_states, streaming_job_states, streaming_job_stats, streaming_audit_copy,
     )
 }
 
@@ -220,6 +240,8 @@ ORACLES = {
     "doc_type_breakdown": f"{_JOBS} SELECT doc_type, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM jobs WHERE doc_type <> '' GROUP BY doc_type",
     "latest_values": "SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS last_purchase FROM events GROUP BY user_id",
     "streaming_job_states": f"{_JOBS} SELECT {_SHOWN} FROM jobs",
+    "compacted_states": f"{_JOBS} SELECT {_SHOWN} FROM jobs",
+    "job_table_merge": f"WITH {_LOG} SELECT job_id, max(ord) AS updated_ord, arg_max(event_type, ord) AS last_event, arg_max('doc_' || user_id, ord) AS doc_name FROM log GROUP BY job_id",
     "streaming_job_stats": f"{_JOBS} SELECT status, count(*) AS n, round(avg(processing_time_s), 2) AS avg_processing_time_s FROM jobs GROUP BY status",
     "streaming_audit_copy": f"WITH {_LOG} SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT job_id) AS n_jobs FROM log GROUP BY ALL",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fieldtrust.operators.job_table import JobTable
 from fieldtrust.operators.jobs import job_view
 
 
@@ -58,6 +59,21 @@ def current_states(spark: SparkSession, path: str) -> DataFrame:
     return published.groupBy("job_id").agg(newest.alias("s")).select("job_id", "s.*")
 
 
+def merge_states(states: DataFrame, table: JobTable, checkpoint: str) -> StreamingQuery:
+    """Merge the jobs that changed in each trigger into a stored table, whose reading costs the same after any number of triggers.
+
+    A trigger rewrites the buckets of the jobs it changed; one that is done again after a failure changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(batch)
+
+    return (
+        states.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def publish_stats(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Live counts and mean times by status, a few rows per trigger under ``path/batch=<n>``."""
 
