@@ -39,7 +39,7 @@ def score_documents(
 
     Joined per document, one row each, and only then exploded: the shuffle carries a twelfth of
     the rows a join per (document, field) would. Truth drives; a document without prediction gives
-    misses, and so does a field missing from the prediction.
+    misses, and so does a field missing from the prediction. ``first_of_doc`` marks one row of every document.
     """
     pred = predicted.select(doc, F.col("fields").alias("_pred"), F.lit(True).alias("extracted_doc"))
     joined = truth.select(doc, F.col("fields").alias("_truth")).join(pred, doc, "left")
@@ -57,10 +57,12 @@ def score_documents(
             dotted(t["field"]).alias("field"),
             t["value"].alias("truth"),
             t["value_num"].alias("truth_num"),
+            (i + 1 == F.col("_first")).alias("first_of_doc"),
             p.cast(FIELD_DDL).alias("p"),
         )
 
-    long = joined.select(
+    first = F.array_position(F.transform("_truth", lambda t: dotted(t["field"]).isin(fields)), F.lit(True))
+    long = joined.withColumn("_first", first).select(
         doc, F.coalesce("extracted_doc", F.lit(False)).alias("extracted_doc"),
         F.inline(F.transform("_truth", pair)),
     ).filter(F.col("field").isin(fields))
@@ -123,6 +125,7 @@ def cells(scored_long: DataFrame, merge: bool = False) -> DataFrame:
         "field",
         "confidence",
         F.lit(1).cast("bigint").alias("n"),
+        *([one(F.col("first_of_doc")).alias("n_docs")] if "first_of_doc" in scored_long.columns else []),
         one(F.col("correct").isNotNull()).alias("n_scored"),
         one(F.col("correct")).alias("n_correct"),
         one(has_value(f)).alias("n_value"),
@@ -160,14 +163,16 @@ def corpus_metrics(cell_rows: DataFrame) -> DataFrame:
 def corpus_summary(cell_rows: DataFrame) -> DataFrame:
     """The headline row: pooled accuracy, documents, scored pairs.
 
-    A document has one row per field, so the fullest field tells the number of documents.
+    Documents scored by ``score_documents`` are counted one by one. Of tables that exist in long form only, the fullest
+    field tells their number, as a document has one row per field there.
     """
+    counted = "n_docs" in cell_rows.columns
     per_field = cell_rows.groupBy("field").agg(
-        *[F.sum(c).alias(c) for c in ("n", "n_scored", "n_correct")]
+        *[F.sum(c).alias(c) for c in ("n", "n_scored", "n_correct", *["n_docs"] * counted)]
     )
     return per_field.agg(
         F.round(F.try_divide(F.sum("n_correct"), F.sum("n_scored")), 4).alias("macro_accuracy"),
-        F.coalesce(F.max("n"), F.lit(0)).alias("n_docs"),
+        F.coalesce(F.sum("n_docs") if counted else F.max("n"), F.lit(0)).alias("n_docs"),
         F.coalesce(F.sum("n_scored"), F.lit(0)).alias("n_scored_pairs"),
     )
 

@@ -181,3 +181,12 @@ def test_precision_recall(spark):
     ])
     got = {r["field"]: (r["precision"], r["recall"], r["f1"]) for r in trust.precision_recall(df).collect()}
     assert got["a"] == (0.3333, 0.3333, 0.3333)
+
+
+def test_documents_with_different_fields_count_each(spark):
+    from fieldtrust.functions.fields import field_struct
+
+    rows = spark.createDataFrame([("a", "currency"), ("b", "vendor_name"), ("c", "unscored")], "doc_name string, name string")
+    fields = rows.select("doc_name", F.array(F.transform(F.array(field_struct("currency", F.lit("INR"))), lambda f: f.withField("field", F.col("name")))[0]).alias("fields"))
+    summary = trust.corpus_summary(trust.cells(trust.score_documents(fields, fields), merge=True)).first()
+    assert (summary["n_docs"], summary["n_scored_pairs"], summary["macro_accuracy"]) == (2, 2, 1.0)
