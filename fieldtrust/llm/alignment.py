@@ -14,6 +14,7 @@ Neither tokens nor links are shuffled.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -24,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.bpe import TreeEncoder
+from fieldtrust.llm.byte_chunks import CHUNK, ByteEncoder
 from fieldtrust.llm.common import fresh_path, materialised, slices, table, tokenizer_path, whole_text
 from fieldtrust.llm.files import read_file, write_file
 from fieldtrust.llm.pieces import SPACE, PieceEncoder
 
 #: Ends merged by a piece, and ends in a block of documents that one file of pair counts serves.
 STEPS, BLOCK_STEPS = 1 << 18, 1 << 24
+#: Words whose pieces a worker keeps for look-up.
+WORDS = 600_000
 #: Distinct pairs that a task holds before it puts them out.
 HELD = 1 << 21
 
@@ -43,39 +46,51 @@ SCORED = (
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def byte_of_character() -> dict[str, int]:
-    """The byte that each character of a byte-level entry stands for: visible Latin ones for themselves, the others counted up from 256."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(visible)]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Vocabularies:
     """Both tokenizers, and for each id its bytes, their number and its decimal forms."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = TreeEncoder(path_a), PieceEncoder(path_b)
-        self.a.tokenizer.encode_special_tokens = True
-        bytes_, added = byte_of_character(), self.a.tokenizer.get_added_tokens_decoder()
-        size = self.a.tokenizer.get_vocab_size()
-        entries = [added[i].content.encode() if i in added else bytes(bytes_[c] for c in self.a.tokenizer.id_to_token(i) or "") for i in range(size)]
-        self.bytes_a, self.bytes_b = entries, [p.replace(SPACE.encode(), b" ") for p in self.b.normal]
+        self.a, self.b = ByteEncoder(path_a, plain_controls=True), PieceEncoder(path_b)
+        self.bytes_a, self.bytes_b = self.a.bytes, [p.replace(SPACE.encode(), b" ") for p in self.b.normal]
         self.length_a, self.length_b = (np.array([len(e) for e in v], "i8") for v in (self.bytes_a, self.bytes_b))
         self.n_a, self.n_b = len(self.bytes_a), len(self.bytes_b)
-        self.kind_a, self.kind_b = ("<u2" if n <= 1 << 16 else "<u4" for n in (self.n_a, self.n_b))
+        self.kind_a, self.kind_b = self.a.kind, "<u2" if self.n_b <= 1 << 16 else "<u4"
+        self._words: dict[str, bytes] = {}
         # Decimal forms with what follows: A inside and at the end of its part of a group, B likewise.
         self.forms = [f"{i}{end}" for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for end in ends for i in range(n)]
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both tokenizers; none where either's bytes are not those of a space and the text."""
-        if text:
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both tokenizers for each text; none where either's bytes are not those of a space and the text."""
+        cut = self.a.chunks([f" {text}" for text in texts])
+        out = []
+        for text, (_, found), b in zip(texts, cut, self._pieces(texts, [chunks for chunks, _ in cut])):
             raw = f" {text}".encode()
-            a = np.frombuffer(self.a.ids(f" {text}"), "<u4")
-            if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw:
-                b = self.b.ids_of(self.b.normalised(text)[0])
-                if b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw:
-                    return a, b
-        return np.zeros(0, "<u4"), np.zeros(0, "<u4")
+            # A's chunks give their bytes back, or their encoder would have raised.
+            if text and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw:
+                out.append((np.frombuffer(b"".join(found), self.kind_a), b))
+            else:
+                out.append((np.zeros(0, self.kind_a), np.zeros(0, self.kind_b)))
+        return out
+
+    def _pieces(self, texts: list[str], cut: list[list[str]]) -> list[np.ndarray]:
+        """B's ids. A's chunks are looked up where each begins with the one blank before a word; other texts are encoded as a whole."""
+        if len(self._words) > WORDS:
+            self._words = {}
+        words = self._words
+        apart = [self.b.by_words and "  " not in text and not text.startswith(" ") and SPACE not in text for text in texts]
+        new = list(dict.fromkeys(c for chunks, by_chunk in zip(cut, apart) if by_chunk for c in chunks if c not in words))
+        form = "H" if self.kind_b == "<u2" else "I"
+        found = {c: struct.pack(f"<{len(ids)}{form}", *ids) for c, ids in zip(new, self.b.ids_of_words([c.replace(" ", SPACE) for c in new]))}
+        long = {c: found.pop(c) for c in new if len(c) > CHUNK}
+        words.update(found)
+        out = []
+        for text, chunks, by_chunk in zip(texts, cut, apart):
+            if by_chunk:
+                raw = b"".join([words[c] if c in words else long[c] for c in chunks])
+                out.append(np.frombuffer(raw, self.kind_b))
+            else:
+                out.append(self.b.ids_of(self.b.normalised(text)[0]).astype(self.kind_b))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -186,12 +201,10 @@ def _tokens(paths: tuple[str, str], steps: int, block_steps: int, names: list[st
         for batch in slices(batches):
             out: list[tuple] = []
             taken: list[int] = []
-            for place, text in enumerate(batch.column("text")):
-                a, b = vocab.tokens(text.as_py())
+            for place, (a, b) in enumerate(vocab.tokens(batch.column("text").to_pylist())):
                 pieces = cut(a, b, vocab, steps)
                 for number, p in enumerate(pieces):
-                    ids = p.a.astype(vocab.kind_a).tobytes(), p.b.astype(vocab.kind_b).tobytes()
-                    out.append(((task << 32) + block, (task << 33) + row, number, len(pieces), p.n_a, p.n_b, p.a_at, p.b_at, *ids))
+                    out.append(((task << 32) + block, (task << 33) + row, number, len(pieces), p.n_a, p.n_b, p.a_at, p.b_at, p.a.tobytes(), p.b.tobytes()))
                     taken.append(place)
                 row, filled = row + 1, filled + len(a) + len(b)
                 if filled >= block_steps:

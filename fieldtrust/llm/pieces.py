@@ -265,6 +265,15 @@ class PieceEncoder:
             at = end
         return np.concatenate(found)
 
+    @property
+    def by_words(self) -> bool:
+        """Whether a text's words are encoded apart: blanks become U+2581 and nothing else is normalised, and no piece goes on into the next word."""
+        return self._next is not None and self.prefix and self.escape and not (self.map.units or self.squeeze or self.suffix)
+
+    def ids_of_words(self, normals: list[str]) -> list[list[int]]:
+        """Ids of each of many short normalised texts."""
+        return self._plain.encode(normals, num_threads=1)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, as the library decodes them."""
         listed = ids.tolist()

@@ -87,7 +87,7 @@ def test_empty_table(spark):
 def test_pieces_are_of_equal_work():
     vocab, rng = Vocabularies(*paths()), random.Random(5)
     text = " ".join(rng.choice(PARTS) for _ in range(3000))
-    a, b = vocab.tokens(text)
+    ((a, b),) = vocab.tokens([text])
     for steps in (7, 100, 1000):
         pieces = cut(a, b, vocab, steps)
         assert sum(p.n_a for p in pieces) == len(a) and sum(p.n_b for p in pieces) == len(b)
