@@ -44,12 +44,12 @@ class SortedLists:
         self.items = items
         self.order = np.argsort(items, axis=0, kind="stable")
         self.ascending = np.take_along_axis(items, self.order, axis=0)
+        self.rank = np.empty_like(self.order)
+        np.put_along_axis(self.rank, self.order, np.arange(len(items))[:, None], axis=0)
 
     def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each vector's components: (lowest, highest) they can be when ``depth`` of each list is read from the top, and from the bottom."""
-        n = len(self.items)
-        rank = np.empty_like(self.order)
-        np.put_along_axis(rank, self.order, np.arange(n)[:, None], axis=0)
+        n, rank = len(self.items), self.rank
         from_top, from_bottom = rank >= n - depth, rank < depth
         last_top, last_bottom = self.ascending[n - depth], self.ascending[depth - 1]
         return (
@@ -58,11 +58,17 @@ class SortedLists:
         )
 
 
-def search(lists: SortedLists, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (its own id left out), ids and scores of the best k of the block; equal scores by smaller id."""
+def search(
+    lists: SortedLists, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int = K, rows: np.ndarray | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query, ids and scores of the best k of the block; equal scores by smaller id.
+
+    ``rows`` are the block's row numbers (its ids, if not given), of which a query's ``own`` is left out.
+    """
     n, exact = len(ids), lists.items
+    rows = ids if rows is None else rows
     positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    alive = own[:, None] != ids[None, :]
+    alive = own[:, None] != rows[None, :]
     reading = np.arange(len(queries))
     for part in DEPTHS:
         depth = max(1, min(n, int(np.ceil(n * part))))
@@ -98,16 +104,16 @@ def search(lists: SortedLists, ids: np.ndarray, queries: np.ndarray, own: np.nda
 
 def _search(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(_: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+        kinds = dict.fromkeys(("query", "query_id", "vec_id", "score"), pa.int64())
         empty = pa.table({n: pa.array([], t) for n, t in kinds.items()})
         if not vectors.num_rows or not queries.num_rows:
             return empty
 
-        def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            items = rows.column(4).combine_chunks()
-            return rows.column(3).to_numpy(), items.flatten().to_numpy().reshape(rows.num_rows, -1).astype("f8")
+        def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            items = rows.column(5).combine_chunks()
+            return rows.column(3).to_numpy(), rows.column(4).to_numpy(), items.flatten().to_numpy().reshape(rows.num_rows, -1).astype("f8")
 
-        (ids, items), (asked, factors) = block(vectors), block(queries)
+        (rows, ids, items), (own, asked, factors) = block(vectors), block(queries)
         if items.shape[1] == 0:
             items, factors = np.zeros((len(ids), 1)), np.zeros((len(asked), 1))
         if np.abs(items).max() * np.abs(factors).max() * items.shape[1] >= 2**53:
@@ -115,8 +121,8 @@ def _search(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         lists, found = SortedLists(items), []
         for at in range(0, len(asked), QUERIES_AT_ONCE):
             part = slice(at, at + QUERIES_AT_ONCE)
-            for query, (near, scores) in zip(asked[part], search(lists, ids, factors[part], asked[part], k)):
-                found.append((np.full(len(near), query), near, scores.astype("i8")))
+            for row, query, (near, scores) in zip(own[part], asked[part], search(lists, ids, factors[part], own[part], k, rows)):
+                found.append((np.full(len(near), row), np.full(len(near), query), near, scores.astype("i8")))
         if not found:
             return empty
         return pa.table({n: pa.array(np.concatenate(c), t) for (n, t), c in zip(kinds.items(), zip(*found))})
@@ -127,30 +133,30 @@ def _search(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
 def top_k(vectors: DataFrame, queries: Callable[[Column], Column], k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other rows of ``vectors`` (vec_id, items) for each row ``queries`` picks by id.
 
-    Vectors are dealt evenly over blocks by the hash of their rows, queries over groups; each pair of a block
-    and a query group is one task's work, and k rows per query leave it. Of equal vectors in a block
-    all are read; only k + 1 of one value can be among the k best. Only vectors of the same length
-    as the query are compared. Repeated ids are rows of their own, but never results of a query of their id.
+    Vectors are dealt evenly over blocks by their row numbers, queries over groups; each pair of a block
+    and a query group is one task's work, and k rows per query leave it. Only vectors of the same length
+    as the query are compared. Repeated rows, also of one id, are rows of their own: each is a query where its id is
+    picked, and a candidate of all queries but itself.
     """
-    rows = materialised(vectors.withColumn("_width", F.size("items")), "vectors")
+    rows = materialised(vectors.select("vec_id", "items", F.size("items").alias("_width"), F.monotonically_increasing_id().alias("row")), "vectors")
     counts = rows.groupBy("_width").agg(F.count("*").alias("_n"), F.count_if(queries(F.col("vec_id"))).alias("_q"))
     blocks = F.ceil(F.col("_n") / block).cast("int")
     groups = F.greatest(F.ceil(F.col("_q") / block).cast("int"), F.lit(1))
     # A row per vector length.
     sized = counts.select("_width", blocks.alias("_blocks"), groups.alias("_groups"))
     dealt = rows.join(F.broadcast(sized), "_width")
-    number = lambda seed, n: F.pmod(F.xxhash64("vec_id", "items", F.lit(seed)), F.col(n)).cast("int")
+    number = lambda seed, n: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stored = dealt.withColumn("_block", number(1, "_blocks")).withColumn("_group", every("_groups"))
     asked = dealt.where(queries(F.col("vec_id"))).withColumn("_group", number(2, "_groups")).withColumn("_block", every("_blocks"))
-    place, columns = ["_width", "_block", "_group"], ["_width", "_block", "_group", "vec_id", "items"]
+    place, columns = ["_width", "_block", "_group"], ["_width", "_block", "_group", "row", "vec_id", "items"]
     # The two sides come from one table, so the queries' columns get names of their own.
     asked = asked.select(*[F.col(c).alias(f"{c}_asked") for c in columns])
     found = stored.select(*columns).groupBy(*place).cogroup(asked.groupBy(*[f"{c}_asked" for c in place])).applyInArrow(
-        _search(k), "query_id long, vec_id long, score long"
+        _search(k), "query long, query_id long, vec_id long, score long"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -163,15 +169,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_top_k": op2
 
 ORACLES = {
     "op2_top_k": """
-WITH vectors AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS items FROM embeddings
+WITH vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS items FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.items, v.items)::BIGINT AS score
-    FROM vectors q JOIN vectors v ON q.vec_id <> v.vec_id AND len(q.items) = len(v.items)
+    SELECT q.r, q.vec_id AS query_id, v.vec_id, list_inner_product(q.items, v.items)::BIGINT AS score
+    FROM vectors q JOIN vectors v ON q.r <> v.r AND len(q.items) = len(v.items)
     WHERE q.vec_id % 20 = 0
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

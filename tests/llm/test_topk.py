@@ -14,11 +14,11 @@ VECTORS = "vec_id long, embedding array<float>"
 def brute(rows, k=20, every=20):
     """Scores as Python integers."""
     clean = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for i, q in clean:
+    out = []
+    for row, (i, q) in enumerate(clean):
         if i % every == 0:
-            near = sorted({(-sum(a * b for a, b in zip(q, v)), j) for j, v in clean if j != i and len(v) == len(q)})[:k]
-            out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(near)}
+            near = sorted((-sum(a * b for a, b in zip(q, v)), j) for other, (j, v) in enumerate(clean) if other != row and len(v) == len(q))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
     return sorted(out)
 
 
@@ -67,7 +67,14 @@ def test_fewer_than_k_and_none(spark):
 def test_repeated_rows(spark):
     rows = [(0, [1.0]), (0, [1.0]), (5, [3.0]), (5, [3.0]), (7, [2.0])]
     got = top_k(quantised(spark.createDataFrame(rows, VECTORS)), lambda i: i % 20 == 0).collect()
-    assert sorted(map(tuple, got)) == [(0, 1, 5, 12288), (0, 2, 7, 8192)]
+    once = [(0, 1, 5, 12288), (0, 2, 5, 12288), (0, 3, 7, 8192), (0, 4, 0, 4096)]
+    assert sorted(map(tuple, got)) == sorted(2 * once) == brute(rows)
+
+
+def test_one_row_that_many_repeat(spark):
+    rows = [(3, [1.0, 2.0])] * 200 + [(20, [1.0, 1.0]), (4, [9.0, 9.0])]
+    got = top_k(quantised(spark.createDataFrame(rows, VECTORS).repartition(3)), lambda i: i % 20 == 0, block=16).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
 
 
 def test_too_large_components_are_refused(spark):
