@@ -89,20 +89,22 @@ class Filter(NamedTuple):
 def fit(labelled: DataFrame, size: int = SAMPLE) -> Filter:
     """A filter from ``labelled`` (url, host, path, _verdict); rows without a verdict are not looked at.
 
-    At most ``size`` rows are used, the first by the hash of their url. Without labels everything is allowed.
+    At most ``size`` different urls are used, the first by their hash; each counts as often as it occurs. Without
+    labels everything is allowed.
     """
     rows = labelled.where(F.col("_verdict").isNotNull()).select("url", "host", "path", (F.col("_verdict") == "block").cast("double").alias("label"))
-    rows = materialised(sample_by_hash(rows, size, "url"), "labelled-urls")
-    counts = rows.groupBy("label").count().collect()
+    different = rows.groupBy("url", "host", "path", "label").agg(F.count("*").cast("double").alias("_n"))
+    rows = materialised(sample_by_hash(different, size, "url"), "labelled-urls")
+    counts = rows.groupBy("label").agg(F.sum("_n").alias("count")).collect()
     total, blocked = sum(r["count"] for r in counts), sum(r["count"] for r in counts if r["label"] == 1)
     overall = blocked / max(1, total)
     if len(counts) < 2:
         return Filter(None, "block" if blocked else "allow", {}, overall)
-    by_suffix = rows.groupBy(suffix().alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    by_suffix = rows.groupBy(suffix().alias("suffix")).agg(F.sum("_n").alias("n"), F.sum(F.col("label") * F.col("_n")).alias("blocked"))
     top = by_suffix.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
     rates = {r["suffix"]: (r["blocked"] + PRIOR * overall) / (r["n"] + PRIOR) for r in top}
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(rows, rates, overall))
-    trees = GBTClassifier(maxIter=10, maxDepth=4, seed=1, cacheNodeIds=False).fit(data.select("features", "label").coalesce(1))
+    trees = GBTClassifier(maxIter=10, maxDepth=4, seed=1, cacheNodeIds=False, weightCol="_n").fit(data.select("features", "label", "_n").coalesce(1))
     return Filter(trees, "", rates, overall)
 
 

@@ -77,3 +77,12 @@ def test_few_or_no_labels(spark):
     assert filter_urls(spark.createDataFrame([], PAGES)).count() == 0
     assert filter_urls(spark.createDataFrame([(1, "http://x.org/"), (2, None)], PAGES)).where("verdict = 'allow'").count() == 2
     assert filter_urls(spark.createDataFrame([(1, "http://x.org/"), (2, "http://a.net/es/")], PAGES)).where("verdict = 'block'").count() == 2
+
+
+def test_repeated_urls_above_the_bound(spark):
+    """Copies of few urls are no reason to lose a kind of label, whatever their hashes."""
+    for seed in range(6):
+        rows = [(i, f"http://{'bad' if i % 7 < 2 else 'good'}{seed}{i % 7}.org/{'9' * 12 if i % 7 < 2 else 'about'}", "block" if i % 7 < 2 else "allow") for i in range(680)]
+        rows += [(1000 + i, rows[0][1], "block") for i in range(300)]
+        model = fit(parts(spark.createDataFrame(rows, PAGES + ", _verdict string").repartition(3)), size=100)
+        assert model.trees is not None and abs(model.overall - (300 + sum(r[2] == "block" for r in rows[:680])) / 980) < 1e-9
