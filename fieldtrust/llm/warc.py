@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import fresh_path, sample_by_hash, table
+from fieldtrust.llm.common import fresh_path, materialised, sample_by_hash, table
 from fieldtrust.llm.files import read_file, write_file
 
 #: Dictionary size, the records it is trained on at most, and the largest of them.
@@ -92,7 +92,8 @@ def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Of payloads of at least ``min_bytes`` that are equal, the page with the smallest id is the response. A
     null html is empty. Rows that repeat the smallest id are responses too; null ids revisit a known one.
-    Only digests are grouped; a payload with many pages is split by adaptive execution in the join.
+    Only digests are grouped. Those with copies are written first: few are broadcast, and beyond that the join is one
+    of two plain shuffles, where adaptive execution splits a payload with very many pages.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("_digest", F.sha1("payload"))
@@ -101,7 +102,7 @@ def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     )
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return rows.join(shared, "_digest", "left").select(
+    return rows.join(materialised(shared, "shared-payloads"), "_digest", "left").select(
         "page_id", "url", "payload", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit")
     )
 
@@ -137,7 +138,11 @@ def _write(path: str, words: bytes, file_bytes: int) -> Callable[[Iterator[pa.Re
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Archives ``pages`` (page_id, url, html) below ``path``; the files written, each with its number of records."""
     spark = pages.sparkSession
-    sample = sample_by_hash(pages.where(F.octet_length("html") <= SAMPLE_BYTES), SAMPLE, "page_id", "url")
+    # Of long records a window anywhere in them, so that they train the dictionary as well.
+    span = SAMPLE_BYTES // 4
+    begin = F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.length("html") - span, F.lit(0)) + 1).cast("int") + 1
+    window = F.when(F.octet_length("html") <= SAMPLE_BYTES, F.col("html")).otherwise(F.substring("html", begin, F.lit(span)))
+    sample = sample_by_hash(pages.where(F.col("html").isNotNull()).select("page_id", "url", window.alias("html")), SAMPLE, "page_id", "url")
     # At most SAMPLE * SAMPLE_BYTES bytes and the urls.
     samples = [record(r["page_id"], r["url"], r["html"].encode("utf-8", "replace")) for r in sample.select("page_id", "url", "html").collect()]
     words = train(samples)

@@ -67,6 +67,18 @@ def test_the_dictionary_helps():
     assert sum(len(zstandard.ZstdCompressor(dict_data=words).compress(s)) for s in samples) < plain / 2
 
 
+def test_long_records_train_the_dictionary(spark, tmp_path):
+    """Pages all longer than a sample may be."""
+    line = "<li class='entry'><a href='/catalogue/item/{}'>Item number {} of the catalogue</a></li>"
+    pages = [(i, f"http://e.org/{i}", "".join(line.format(i * 1000 + j, j) for j in range(400))) for i in range(60)]
+    path = str(tmp_path / "long")
+    files = write_archives(spark.createDataFrame(pages, PAGES), path)
+    raw = (tmp_path / "long" / files.first()["file"]).read_bytes()
+    words = raw[8 : 8 + struct.unpack_from("<II", raw)[1]]
+    assert len(words) > 1000 and b"catalogue" in words
+    assert read_archives(files, path).count() == 60
+
+
 def test_edges(spark, tmp_path):
     empty = str(tmp_path / "none")
     assert read_archives(write_archives(spark.createDataFrame([], PAGES), empty), empty).count() == 0
