@@ -249,3 +249,17 @@ def test_model_verifier(spark):
     assert told("fine") == told("odd") == sure and told("down") == told("quota") == told("never") == unsure
     assert [out[t]["verify_error"] for t in ("fine", "odd", "down", "quota")] == [None, None, "503", "429 PerDay"]
     assert "expected a record" in out["never"]["verify_error"]
+
+
+def test_steps_are_computed_once_below_the_long_form(spark):
+    """What a generator takes in is put into a filter on its size too, unless it is staged."""
+    from fieldtrust.functions.fields import fields_long
+    from fieldtrust.operators.gate import review_queue
+
+    docs = spark.createDataFrame([("a", "Invoice No: 7\nTotal: 1,250.00")], "doc_name string, text string")
+    out = plan.extract_invoices(docs)
+    for long in (fields_long(out, "doc_name"), review_queue(out)):
+        steps = long._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert not [s for s in steps if s.strip(" :+-").startswith("Filter") and "lambda" in s]
+    found = {r["field"]: (r["value"], r["confidence"]) for r in fields_long(out, "doc_name").collect()}
+    assert found["invoice_number"] == ("7", 0.95) and found["total_amount"] == ("1,250.00", 0.95)
