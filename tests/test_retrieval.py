@@ -91,3 +91,30 @@ def test_own_embedder(spark):
     embed = r.pandas_embedding(lambda s: pd.Series([[float(len(t)), 1.0] for t in s]), dim=2)
     df = spark.createDataFrame([("abc",)], "layout_text string")
     assert embed(df, "layout_text").first()["embedding"] == [3.0, 1.0]
+
+
+def test_small_blocks_share_tasks(spark, monkeypatch):
+    """Copies of a row and tasks grow with bundles, not with blocks."""
+    from fieldtrust.operators import retrieval
+
+    calls, real = spark.sparkContext.accumulator(0), retrieval._block_product
+
+    def counted(k, exclude):
+        product = real(k, exclude)
+
+        def run(q, c):
+            calls.add(1)
+            return product(q, c)
+
+        return run
+
+    monkeypatch.setattr(retrieval, "_block_product", counted)
+    rows = [(i, "a", [float(i % 7), float(i % 11), 1.0]) for i in range(400)]
+    corpus = spark.createDataFrame(rows, "id long, doc_type string, embedding array<double>")
+    asked = corpus.withColumnRenamed("id", "query_id")
+    wanted = sorted(map(tuple, retrieval.top_k_similar(asked, corpus, 3, True).collect()))
+    calls.value = 0
+    assert sorted(map(tuple, retrieval.top_k_similar(asked, corpus, 3, True, block_rows=16).collect())) == wanted
+    assert calls.value <= 2
+    monkeypatch.setattr(retrieval, "TASK_ROWS", 64)
+    assert sorted(map(tuple, retrieval.top_k_similar(asked, corpus, 3, True, block_rows=16).collect())) == wanted
