@@ -124,3 +124,22 @@ def test_report_sink_replaces_its_section(spark, tmp_path):
     writers.write_report(rows("a", 1.0).union(rows("b", 1.0)), path)
     writers.write_report(rows("a", 2.0), path)
     assert {(r["section"], r["value"]) for r in spark.read.parquet(path).collect()} == {("a", 2.0), ("b", 1.0)}
+
+
+def test_batch_files_have_a_bound(spark, tmp_path, monkeypatch):
+    """A file with values of several lines is one task's work, so a batch is many files."""
+    import datetime
+    import os
+
+    from fieldtrust.catalog import imports
+
+    day = datetime.datetime(2020, 3, 1)
+    rows = [(i, i % 5, i % 3, 1, 2.0, 10.5 + i, day) for i in range(60)]
+    ddl = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    batch = tmp_path / "batch"
+    monkeypatch.setattr(imports, "fresh_path", lambda spark, name: f"file://{batch}")
+    monkeypatch.setattr(imports, "BATCH_ROWS", 10, raising=False)
+    got = sorted(map(tuple, imports.invoice_batch_csv(spark, str(tmp_path)).collect()), key=str)
+    assert len([f for f in os.listdir(batch) if f.endswith(".csv")]) >= 6
+    assert got == sorted(map(tuple, imports.import_invoices(spark, str(tmp_path)).collect()), key=str)
