@@ -143,3 +143,20 @@ def test_batch_files_have_a_bound(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, imports.invoice_batch_csv(spark, str(tmp_path)).collect()), key=str)
     assert len([f for f in os.listdir(batch) if f.endswith(".csv")]) >= 6
     assert got == sorted(map(tuple, imports.import_invoices(spark, str(tmp_path)).collect()), key=str)
+
+
+def test_packed_labels(spark, tmp_path):
+    import glob
+
+    from fieldtrust.sources.writers import write_labels
+
+    labels = spark.createDataFrame([("invoice", f"INV-{i}", 1.5 * i) for i in range(2000)], "kind string, invoice_number string, subtotal double")
+    labels = labels.select(F.struct(F.col("kind").alias("doc_type")).alias("_meta"), "invoice_number", "subtotal")
+    sizes = {}
+    for codec in (None, "gzip"):
+        path = str(tmp_path / str(codec))
+        write_labels(labels, path, compression=codec)
+        sizes[codec] = sum(len(open(f, "rb").read()) for f in glob.glob(f"{path}/doc_type=invoice/part-*"))
+        back = spark.read.schema("invoice_number string, subtotal double").json(f"{path}/doc_type=invoice")
+        assert sorted(map(tuple, back.collect())) == sorted((f"INV-{i}", 1.5 * i) for i in range(2000))
+    assert 3 * sizes["gzip"] < sizes[None]
