@@ -39,9 +39,8 @@ def stratified_folds(spark, sf):
 
 
 def _results(spark, sf):
-    training = materialised(_training(spark, sf), "training")
-    model = r.fit_router(training)
-    scored = model.predict(training).withColumn("true_type", F.col("label"))
+    model = r.fit_router(_training(spark, sf))
+    scored = model.predict(model.examples).withColumn("true_type", F.col("label"))
     return r.router_results(scored)
 
 
@@ -68,8 +67,8 @@ def router_saved(spark, sf):
 
 
 def router_record(spark, sf):
-    training = materialised(_training(spark, sf), "training")
-    return r.training_record(training, r.fit_router(training))
+    model = r.fit_router(_training(spark, sf))
+    return r.training_record(model.examples, model)
 
 
 def _mixed(spark, sf):

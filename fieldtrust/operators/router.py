@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -79,9 +83,16 @@ class RouterModel:
 
     pipeline: PipelineModel
     meta: dict = field(default_factory=dict)
+    #: The rows it was fitted on, with their counts in place of their texts; a loaded model has none.
+    examples: DataFrame | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``predicted_type`` and ``confidence`` (the winning class's probability)."""
+        """Add ``predicted_type`` and ``confidence`` (the winning class's probability).
+
+        Rows that carry their counts already (``examples``) are not cut into terms again.
+        """
+        if "_tf" in df.columns:
+            return _scored(PipelineModel(self.pipeline.stages[len(_token_stages()) + 1 :]), df)
         return _scored(self.pipeline, df)
 
     def save(self, path: str) -> None:
@@ -106,23 +117,86 @@ def _scored(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-def _with_terms(df: DataFrame) -> DataFrame:
-    return PipelineModel(_token_stages()).transform(df).drop("_all_tokens", "_tokens", "_bigrams")
+def _with_words(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``_tokens`` in place of ``text``, written: texts are cut into words once, whoever reads those."""
+    cut = PipelineModel(_token_stages()[:2]).transform(df)
+    return materialised(cut.drop("text", "_all_tokens"), name)
+
 
+def _with_terms(words: DataFrame) -> DataFrame:
+    return PipelineModel(_token_stages()[2:]).transform(words).drop("_tokens", "_bigrams")
 
-def _term_totals(terms: DataFrame, *keys: str) -> DataFrame:
-    """How often each term occurs (added up before the shuffle)."""
-    return terms.select(*keys, F.explode("_terms").alias("term")).groupBy(*keys, "term").agg(
+
+def _word_totals(words: DataFrame, *keys: str) -> DataFrame:
+    """How often each word occurs (added up before the shuffle)."""
+    return words.select(*keys, F.explode("_tokens").alias("term")).groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
+def _count_pairs(kept: list[str] | None, key: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of neighbouring words per batch, of ``kept`` words only unless that is None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if kept is None else pa.array(kept, pa.string())
+        for batch in batches:
+            lists = batch.column("_tokens")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype("i8")
+            coded = lists.flatten().cast(pa.string()).dictionary_encode()
+            entries, codes = coded.dictionary, coded.indices.to_numpy().astype("i8")
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            both = row[1:] == row[:-1]
+            if wanted is not None:
+                known = pc.is_in(entries, value_set=wanted).to_numpy(zero_copy_only=False)[codes]
+                both &= known[1:] & known[:-1]
+            groups = np.zeros(len(sizes), "i8") if key is None else batch.column(key).to_numpy().astype("i8")
+            for group in np.unique(groups):
+                at = np.flatnonzero(both & (groups[row[1:]] == group))
+                pairs, n = np.unique(codes[at] * len(entries) + codes[at + 1], return_counts=True)
+                first, second = np.divmod(pairs, max(1, len(entries)))
+                terms = pc.binary_join_element_wise(entries.take(pa.array(first)), entries.take(pa.array(second)), " ")
+                columns = {"term": terms, "n": pa.array(n, pa.int64())}
+                if key is not None:
+                    columns[key] = pa.array(np.full(len(n), group), pa.int32())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _pair_totals(words: DataFrame, kept: list[str] | None, key: str | None = None) -> DataFrame:
+    """How often each bigram of ``kept`` words occurs; of all words where that is None. ``key`` names an integer column."""
+    keys = [] if key is None else [key]
+    schema = "term string, n long" + "".join(f", {k} int" for k in keys)
+    counted = words.select(*keys, "_tokens").mapInArrow(_count_pairs(kept, key), schema)
+    return counted.groupBy(*keys, "term").agg(F.sum("n").alias("n")).select(*keys, "term", "n")
+
+
 def _top_terms(totals: DataFrame, max_features: int) -> list[str]:
     """The most frequent terms, equal counts in alphabetical order."""
     top = totals.orderBy(F.desc("n"), "term").limit(max_features)
     return [row["term"] for row in top.collect()]
 
 
+def _words_of_pairs(totals: DataFrame, max_features: int) -> list[str] | None:
+    """The words of which a bigram among the ``max_features`` most frequent terms can consist, None for any.
+
+    A bigram is no more frequent than either of its words, and the last place of the vocabulary goes to nothing rarer
+    than the last of as many words. Where very many words share that last count all bigrams are counted.
+    """
+    top = totals.orderBy(F.desc("n"), "term").limit(2 * max_features).collect()
+    least = top[max_features - 1]["n"] if len(top) >= max_features else 0
+    if len(top) == 2 * max_features and top[-1]["n"] == least:
+        return None
+    return [row["term"] for row in top if row["n"] >= least]
+
+
+def _vocabulary(words: DataFrame, max_features: int) -> list[str]:
+    """The most frequent words and bigrams."""
+    totals = materialised(_word_totals(words), "word-totals")
+    pairs = _pair_totals(words, _words_of_pairs(totals, max_features))
+    return _top_terms(totals.unionByName(pairs), max_features)
+
+
 def _fit_on_counts(
     counted: DataFrame, c: float = REGULARISATION_C, max_iter: int = MAX_ITER
 ) -> tuple[list, list[str], int]:
@@ -156,21 +230,21 @@ def fit_router(
 ) -> RouterModel:
     """Fit TF-IDF over uni- and bigrams with logistic regression on (text, label).
 
-    Texts are cut into terms twice, for the vocabulary and for the counts. The counts, at most
-    ``max_features`` numbers per text, are written, and all later passes read those.
+    Texts are cut into words once. Words are counted first, then the bigrams of words frequent enough for a bigram to
+    have a place in the vocabulary. The counts, at most ``max_features`` numbers per text, are written, and all later
+    passes read those, scoring of the same rows (``examples``) among them.
     """
     started = time.monotonic()
-    terms = _with_terms(training.select("text", "label"))
-    vocabulary = _top_terms(_term_totals(terms), max_features)
-    counts = CountVectorizerModel.from_vocabulary(vocabulary, "_terms", "_tf")
-    counted = materialised(counts.transform(terms).select("_tf", "label"), "term-counts")
-    tail, classes, n = _fit_on_counts(counted, **solver)
+    words = _with_words(training, "words")
+    counts = CountVectorizerModel.from_vocabulary(_vocabulary(words, max_features), "_terms", "_tf")
+    counted = materialised(counts.transform(_with_terms(words)).drop("_terms"), "term-counts")
+    tail, classes, n = _fit_on_counts(counted.select("_tf", "label"), **solver)
     meta = {
         "n_examples": n,
         "classes": sorted(classes),
         "train_time_s": round(time.monotonic() - started, 4),
     }
-    return RouterModel(PipelineModel([*_token_stages(), counts, *tail]), meta)
+    return RouterModel(PipelineModel([*_token_stages(), counts, *tail]), meta, counted)
 
 
 def cross_validate(
@@ -179,22 +253,25 @@ def cross_validate(
 ) -> DataFrame:
     """Accuracy per held-out fold (fold, accuracy, n).
 
-    Each fold has its own vocabulary, but texts are still cut into terms only twice: term totals are
+    Each fold has its own vocabulary, but texts are still cut into words only once: term totals are
     kept per fold, so that every training part's totals are sums of them, and counts are taken
-    once over the union of the vocabularies.
+    once over the union of the vocabularies. Bigrams are counted where any part can need them.
     """
-    terms = _with_terms(stratified_folds(training, "label", key, n_folds, seed))
-    totals = materialised(_term_totals(terms, "fold"), "fold-terms")
-    vocabularies = [
-        _top_terms(
-            totals.filter(F.col("fold") != i).groupBy("term").agg(F.sum("n").alias("n")), max_features
-        )
-        for i in range(n_folds)
-    ]
+    words = _with_words(stratified_folds(training, "label", key, n_folds, seed), "fold-words")
+
+    def without(totals: DataFrame, i: int) -> DataFrame:
+        return totals.filter(F.col("fold") != i).groupBy("term").agg(F.sum("n").alias("n"))
+
+    singles = materialised(_word_totals(words, "fold"), "fold-word-totals")
+    kept = [_words_of_pairs(without(singles, i), max_features) for i in range(n_folds)]
+    either = None if None in kept else sorted(set().union(*kept))
+    pairs = materialised(_pair_totals(words, either, "fold"), "fold-pair-totals")
+    totals = singles.unionByName(pairs)
+    vocabularies = [_top_terms(without(totals, i), max_features) for i in range(n_folds)]
     union = sorted(set().union(*vocabularies))
     place = {term: i for i, term in enumerate(union)}
     counter = CountVectorizerModel.from_vocabulary(union, "_terms", "_all_tf")
-    counted = materialised(counter.transform(terms).select("label", "fold", "_all_tf"), "fold-counts")
+    counted = materialised(counter.transform(_with_terms(words)).select("label", "fold", "_all_tf"), "fold-counts")
     scores = None
     for i, vocabulary in enumerate(vocabularies):
         own = VectorSlicer(inputCol="_all_tf", outputCol="_tf", indices=[place[t] for t in vocabulary])

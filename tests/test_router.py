@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,44 @@ def test_cross_validation_equals_fitting_each_fold(spark):
         want = held.select(F.avg((F.col("predicted_type") == F.col("label")).cast("int"))).first()[0]
         assert accuracy == pytest.approx(want)
     assert min(got.values()) < 1.0
+
+
+def _all_terms(text):
+    words = text.split()
+    return words + [" ".join(p) for p in zip(words, words[1:])]
+
+
+@pytest.mark.parametrize(("n_words", "lean", "size"), [(60, 1.2, 40), (60, 0.0, 20), (12, 1.0, 200), (400, 0.0, 15)])
+def test_vocabulary_equals_counting_every_bigram(spark, n_words, lean, size):
+    """Also with many equal counts at the last place, and with fewer terms than places."""
+    rng = np.random.default_rng(n_words + size)
+    weights = 1 / np.arange(1, n_words + 1) ** lean
+    names = [f"w{i:03d}" for i in range(n_words)]
+    texts = [" ".join(rng.choice(names, rng.integers(0, 12), p=weights / weights.sum())) for _ in range(120)]
+    words = r._with_words(spark.createDataFrame([(t,) for t in texts], "text string"), "words")
+    totals = Counter(t for text in texts for t in _all_terms(text))
+    want = sorted(totals, key=lambda t: (-totals[t], t))[:size]
+    assert r._vocabulary(words, size) == want
+
+
+def test_only_bigrams_of_frequent_words_are_counted(spark):
+    texts = ["alpha beta alpha beta rare%d alpha" % i for i in range(30)] + ["gamma", "gamma"]
+    words = r._with_words(spark.createDataFrame([(t,) for t in texts], "text string"), "words")
+    totals = r._word_totals(words)
+    assert sorted(r._words_of_pairs(totals, 2)) == ["alpha", "beta"]
+    # The fifth place is shared by all rare words.
+    assert r._words_of_pairs(totals, 5) is None
+    got = {x["term"]: x["n"] for x in r._pair_totals(words, ["alpha", "rare1"]).collect()}
+    assert got == {"rare1 alpha": 1}
+
+
+def test_pairs_by_fold_stay_inside_their_rows(spark):
+    df = spark.createDataFrame([(0, ["aa", "bb"]), (0, ["bb", "aa"]), (1, ["aa", "bb", "aa"]), (1, None), (1, []), (1, ["cc"])], "fold int, _tokens array<string>")
+    got = {(x["fold"], x["term"]): x["n"] for x in r._pair_totals(df.coalesce(1), None, "fold").collect()}
+    assert got == {(0, "aa bb"): 1, (0, "bb aa"): 1, (1, "aa bb"): 1, (1, "bb aa"): 1}
+
+
+def test_examples_are_scored_without_their_texts(training, model):
+    assert "text" not in model.examples.columns
+    want = {(x["doc_name"], x["predicted_type"], round(x["confidence"], 9)) for x in model.predict(training).collect()}
+    assert {(x["doc_name"], x["predicted_type"], round(x["confidence"], 9)) for x in model.predict(model.examples).collect()} == want
