@@ -13,9 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrust.session import materialised
+
 # Digits of the 63-bit key from high to low: a window never spans more than 2^21 keys.
 _DIGIT_BITS = (21, 21, 21)
 
+#: Rows of a group that one window numbers; larger groups are numbered cell by cell.
+GROUP_ROWS = 1 << 20
+
 
 def order_key(c: Column) -> Column:
     """Integer in the order of the double (the value's own exponent and mantissa bits)."""
@@ -185,15 +190,34 @@ def stratified_folds(
     return joined.withColumn(out, fold).select(*df.columns, out)
 
 
-def spread_positions(df: DataFrame, groups: list[str], out: str = "position") -> DataFrame:
+def spread_positions(df: DataFrame, groups: list[str], out: str = "position", group_rows: int = GROUP_ROWS) -> DataFrame:
     """0-based position of every row inside its group, in the order of a digest of the whole row.
 
     The order says nothing, but numbers are without gaps, so a group can be cut into parts of bounded size.
-    Positions are summed up from 65 536 digest cells, so a group holding most rows is still spread over all tasks;
-    equal rows get numbers in any order.
+    Positions in groups of more than ``group_rows`` rows are summed up from 65 536 digest cells, so a group holding
+    most rows is still spread over all tasks; one window numbers any other group, in the same order. Equal rows get
+    numbers in any order. Groups are counted when this is called.
     """
     keyed = df.withColumn("_digest", F.xxhash64(*df.columns))
     keyed = keyed.withColumn("_cell", F.pmod("_digest", F.lit(65_536)))
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > group_rows)
+    # A row per so many rows at most.
+    large = materialised(sizes.select(*[F.col(g).alias(f"_l_{g}") for g in groups]), "large-groups")
+    is_large = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_l_{g}")) for g in groups])
+    if large.isEmpty():
+        return _numbered(keyed, groups).select(*df.columns, F.col("_inside").cast("bigint").alias(out))
+    rest = _numbered(keyed.join(large, is_large, "left_anti"), groups)
+    spread = _spread(keyed.join(large, is_large, "left_semi"), groups)
+    both = rest.withColumn("_before", F.lit(0).cast("bigint")).unionByName(spread)
+    return both.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))
+
+
+def _numbered(keyed: DataFrame, groups: list[str]) -> DataFrame:
+    inside = F.row_number().over(Window.partitionBy(*groups).orderBy("_cell", "_digest")) - 1
+    return keyed.withColumn("_inside", inside)
+
+
+def _spread(keyed: DataFrame, groups: list[str]) -> DataFrame:
     counts = keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -202,4 +226,4 @@ def spread_positions(df: DataFrame, groups: list[str], out: str = "position") ->
     inside = F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy("_digest")) - 1
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups], F.col("_cell") == F.col("_c"))
     joined = keyed.withColumn("_inside", inside).join(offsets, same)
-    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))
+    return joined.select(*keyed.columns, "_inside", "_before")

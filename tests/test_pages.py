@@ -134,3 +134,18 @@ def test_positions_have_no_gaps(spark):
     got = spread_positions(spark.createDataFrame(rows, "g string, v int"), ["g"]).collect()
     for group, n in (("hot", 3000), ("b", 5), (None, 2)):
         assert sorted(r["position"] for r in got if r["g"] == group) == list(range(n))
+
+
+def test_positions_are_the_same_however_large_a_group_may_be(spark):
+    rows = [(g, i % 40) for g, n in (("a", 90), ("b", 7), (None, 50), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    found = [sorted(((x["g"] or "", x["v"], x["position"]) for x in spread_positions(df, ["g"], group_rows=n).collect())) for n in (1000, 20, 0)]
+    assert found[0] == found[1] == found[2]
+    assert [p for g, p in sorted((g, p) for g, _, p in found[0]) if g == "a"] == list(range(90))
+
+
+def test_one_window_numbers_groups_of_usual_size(spark):
+    """No row is joined with counts of cells, of which a small group has as many as rows."""
+    df = spark.createDataFrame([(1, 2)], "g int, v int")
+    plan = spread_positions(df, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window") == plan.count("Window [row_number()")
