@@ -263,3 +263,28 @@ def test_steps_are_computed_once_below_the_long_form(spark):
         assert not [s for s in steps if s.strip(" :+-").startswith("Filter") and "lambda" in s]
     found = {r["field"]: (r["value"], r["confidence"]) for r in fields_long(out, "doc_name").collect()}
     assert found["invoice_number"] == ("7", 0.95) and found["total_amount"] == ("1,250.00", 0.95)
+
+
+def test_incremental_queries_build_the_invoices_once(spark, monkeypatch):
+    from fieldtrust import carriers
+    from fieldtrust.catalog import documents as catalog
+
+    ddl = """k long, doc_name string, invoice_number string, invoice_date string, due_date string, vendor_name string, vendor_gstin string,
+        vendor_address string, buyer_name string, buyer_gstin string, currency string, subtotal double,
+        tax struct<cgst:double,sgst:double,igst:double,total_tax:double>, total_amount double"""
+    rows = [
+        (k, f"invoice_{k}.pdf", f"INV-{k}", "2024-01-05", None, "Seller", "27G", "1 Street, X", "Buyer", None, "INR", 10.0, (None, None, None, 1.0), 11.0)
+        for k in (1, 2, 3, 4, 10)
+    ]
+    calls = []
+
+    def records(spark, sf):
+        calls.append(sf)
+        return spark.createDataFrame(rows, ddl)
+
+    monkeypatch.setattr(carriers, "invoice_records", records)
+    assert tuple(catalog.cache_round_trip(spark, "unused").first()) == (4, 1)
+    progress = {x["doc_name"]: x["cached"] for x in catalog.incremental_progress(spark, "unused").collect()}
+    assert progress == {"invoice_2.pdf": True, "invoice_3.pdf": False, "invoice_4.pdf": True, "invoice_10.pdf": False}
+    assert catalog.incremental_evaluation(spark, "unused").first()["n_docs"] == 4
+    assert len(calls) == 3
