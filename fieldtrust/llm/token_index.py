@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.byte_chunks import worker_bytes
-from fieldtrust.llm.common import fresh_path, slices, table, tokenizer_path, whole_text
+from fieldtrust.llm.common import fresh_path, slices, slices_by_bytes, table, tokenizer_path, whole_text
 from fieldtrust.llm.files import place, read_file, write_file
 from fieldtrust.llm.ranges import in_ranges
 
@@ -170,9 +170,9 @@ def _write_shards(path: str, vocabulary: str, shard_bytes: int) -> Callable[[Ite
             if held:
                 write_file(shard_name(path, (place_ << 32) + number), b"".join([struct.pack(HEADER, MAGIC, VERSION, width, size // width), *held]))
 
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, "text"):
             out: list[tuple] = []
-            encoded = encoder.ids(batch.column("text").to_pylist())
+            encoded = encoder.ids(batch.column("text"))
             for range_, doc_id, ids in zip(batch.column("_range").to_pylist(), batch.column("doc_id").to_pylist(), encoded):
                 if range_ != place_:
                     close()

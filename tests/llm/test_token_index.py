@@ -1,15 +1,18 @@
 """The store read back against plain encoding, and the hash against a dictionary."""
 
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldtrust.llm import byte_chunks, token_index
 from fieldtrust.llm.bpe import TreeEncoder
-from fieldtrust.llm.common import tokenizer_path
+from fieldtrust.llm.common import slices_by_bytes, tokenizer_path
 from fieldtrust.llm.token_index import IndexPart, PerfectHash, every_key, look_up, read_documents, write_store
 
 VOCABULARY = tokenizer_path("byte_bpe_50k.json")
@@ -57,6 +60,59 @@ def test_chunk_table_equals_the_library(plain, monkeypatch):
         assert [np.frombuffer(i, encoder.kind).tolist() for i in encoder.ids(texts)] == want
 
 
+def library(encoder, texts):
+    return [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def numbers(encoder, texts):
+    return [np.frombuffer(i, encoder.kind).tolist() for i in encoder.ids(texts)]
+
+
+def test_words_with_punctuation_are_put_together():
+    encoder = byte_chunks.ByteEncoder(VOCABULARY)
+    texts = ["a qzwort über", "a qzwort, qzwort. über!!! qzwort.\nZeile. (qzwort"]
+    asked = []
+    plain = encoder._words
+    encoder._words = lambda words: asked.extend(words) or plain(words)
+    assert [numbers(encoder, [t])[0] for t in texts] == library(encoder, texts)
+    # Known words are not encoded again for what stands behind them.
+    assert sorted(asked) == sorted([" qzwort", " über", "\nZeile", " (qzwort"])
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_parts_equal_the_library(plain, monkeypatch):
+    monkeypatch.setattr(byte_chunks, "TABLE", 100)
+    encoder, rng = byte_chunks.ByteEncoder(VOCABULARY, plain), random.Random(4)
+    parts = [" the", " Über", "école", " ", " ", "\n", "\nDie", ".", ",", "***", "(", "'", "'s", "_", "-", "7", "<|endoftext|>", "\t", "ɏ", "ɐ", "×", "ß", "z" * 70]
+    for _ in range(60):
+        some = rng.sample(parts, rng.randint(1, 8))
+        texts = ["".join(rng.choice(some) for _ in range(rng.choice((0, 1, 3, 20, 60)))) for _ in range(30)]
+        want = library(encoder, texts)
+        assert numbers(encoder, texts) == want
+        assert numbers(encoder, pa.array(["x", *texts]).slice(1)) == want
+        assert [np.frombuffer(b"".join(ids), encoder.kind).tolist() for _, ids in encoder.chunks(texts)] == want
+
+
+def test_other_ways_to_cut_words(tmp_path):
+    settings = json.loads(Path(VOCABULARY).read_text())
+    cut = {"type": "Split", "pattern": {"Regex": r" ?[^\s\p{L}]+[\r\n]*| ?\p{L}+|\s+"}, "behavior": "Isolated", "invert": False}
+    settings["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [cut, settings["pre_tokenizer"] | {"use_regex": False}]}
+    (tmp_path / "other.json").write_text(json.dumps(settings))
+    encoder = byte_chunks.ByteEncoder(str(tmp_path / "other.json"))
+    texts = ["one two three", "one two,\nthree two.\ntwo", "two..\nOne"]
+    assert [numbers(encoder, [t])[0] for t in texts] == library(encoder, texts)
+    assert not encoder.in_parts
+
+
+def test_slices_by_bytes():
+    texts = ["a" * n for n in (3, 0, 0, 9, 30, 1, 1, 1)] + [None]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(9))], ["text", "n"])
+    found = [s.column("n").to_pylist() for s in slices_by_bytes(iter([rows, rows.slice(0, 0), rows.slice(4)]), "text", 10)]
+    assert [n for s in found for n in s] == [*range(9), *range(4, 9)]
+    sizes = [[len(texts[n] or "") for n in s] for s in found]
+    assert all(sum(s) - max(s) < 10 for s in sizes) and len(sizes) == 4
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError, match="byte-level"):
         byte_chunks.ByteEncoder(tokenizer_path("word_bpe_49k.json"))
