@@ -145,6 +145,30 @@ def test_batch_files_have_a_bound(spark, tmp_path, monkeypatch):
     assert got == sorted(map(tuple, imports.import_invoices(spark, str(tmp_path)).collect()), key=str)
 
 
+def test_large_batches_are_packed(spark, tmp_path, monkeypatch):
+    import datetime
+    import os
+
+    from fieldtrust.catalog import imports
+
+    day = datetime.datetime(2020, 3, 1)
+    rows = [(i, i % 5, i % 3, 1, 2.0, 10.5 + i, day) for i in range(600)]
+    ddl = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got, size, names = {}, {}, {}
+    for most in (600, 599):
+        batch = tmp_path / f"batch-{most}"
+        monkeypatch.setattr(imports, "fresh_path", lambda spark, name: f"file://{batch}")
+        monkeypatch.setattr(imports, "BATCH_ROWS", 100)
+        monkeypatch.setattr(imports, "PLAIN_ROWS", most, raising=False)
+        got[most] = sorted(map(tuple, imports.invoice_batch_csv(spark, str(tmp_path)).collect()), key=str)
+        names[most] = [f for f in os.listdir(batch) if f.startswith("part-")]
+        size[most] = sum(os.path.getsize(batch / f) for f in names[most])
+    assert all(f.endswith(".csv") for f in names[600]) and all(f.endswith(".csv.gz") for f in names[599])
+    assert len(names[599]) >= 6 and 5 * size[599] < size[600]
+    assert got[599] == got[600] == sorted(map(tuple, imports.import_invoices(spark, str(tmp_path)).collect()), key=str)
+
+
 def test_packed_labels(spark, tmp_path):
     import glob
 
