@@ -169,6 +169,38 @@ def test_large_batches_are_packed(spark, tmp_path, monkeypatch):
     assert got[599] == got[600] == sorted(map(tuple, imports.import_invoices(spark, str(tmp_path)).collect()), key=str)
 
 
+def test_label_files_are_packed(spark, tmp_path, monkeypatch):
+    import datetime
+    import os
+
+    from fieldtrust.catalog import imports
+
+    day = datetime.datetime(2020, 3, 1)
+    rows = [(i, i % 5, i % 3, i % 4 + 1, 2.0, 10.0 + i, day) for i in range(600)]
+    ddl = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    path = tmp_path / "labels"
+    monkeypatch.setattr(imports, "fresh_path", lambda spark, name: f"file://{path}")
+    monkeypatch.setattr(imports.writers, "PACKED_ROWS", 100)
+    got = {r["kind"]: (r["n"], r["subtotal"]) for r in imports.label_files(spark, str(tmp_path)).collect()}
+    good = [r for r in rows if r[0] % 17 and r[0] % 23]
+    labels = [r for r in good if r[3] != 3]
+    assert got == {"label": (len(labels), sum(r[5] for r in labels)), "skipped": (len(good) - len(labels), None)}
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert all(f.endswith(".txt.gz") for f in files) and len(files) == -(-len(good) // 100)
+
+
+def test_packed_label_files_are_documents(spark, tmp_path):
+    """What a codec adds to a file's name is no part of the document's name."""
+    import gzip
+
+    (tmp_path / "one two.json.gz").write_bytes(gzip.compress(json.dumps({"subtotal": 1.5}).encode()))
+    (tmp_path / "bad.json.gz").write_bytes(gzip.compress(b"{"))
+    labels, skipped = readers.scan_labels(spark, str(tmp_path), glob="*.json.gz")
+    assert [(r["doc_name"], r["subtotal"]) for r in labels.collect()] == [("one two.pdf", 1.5)]
+    assert skipped.count() == 1
+
+
 def test_packed_labels(spark, tmp_path):
     import glob
 
