@@ -22,14 +22,24 @@ from fieldtrust.functions.fields import (
     has_value,
     is_abstained,
     is_ungrounded_value,
+    wrap_fields,
 )
 from fieldtrust.functions.grounding import find_exact
 from fieldtrust.functions.matching import field_match
 from fieldtrust.functions.normalize import normalize_string
 from fieldtrust.operators.ranking import running_sums
-from fieldtrust.schemas import CALIBRATED_FIELDS, FIELD_DDL, SCORED_FIELDS, TAX_TOTAL
+from fieldtrust.schemas import CALIBRATED_FIELDS, INVOICE_FIELDS, LOCATION_DDL, SCORED_FIELDS, TAX_TOTAL
 from fieldtrust.session import materialised
 
+# A wrapped field's members in the order of ``FIELD_DDL``.
+_MEMBERS_DDL = {
+    "field": "string", "value": "string", "value_num": "double", "confidence": "double", "source_location": LOCATION_DDL,
+    "status": "string",
+}
+_MEMBERS = list(_MEMBERS_DDL)
+# States of a field that extraction and gate give.
+_STATES = ["extracted", "abstained"]
+
 
 def score_documents(
     truth: DataFrame, predicted: DataFrame, doc: str = "doc_name",
@@ -38,46 +48,77 @@ def score_documents(
     """Scored long table from documents with ``fields`` arrays on both sides.
 
     Joined per document, one row each, and only then exploded: the shuffle carries a twelfth of
-    the rows a join per (document, field) would. Truth drives; a document without prediction gives
-    misses, and so does a field missing from the prediction. ``first_of_doc`` marks one row of every document.
+    the rows a join per (document, field) would. It carries an array per member instead of one of structs, so
+    members nobody reads are left out. ``truth`` may also be plain records, which take less room still and are
+    wrapped after the join. Truth drives; a document without prediction gives misses, and so does a field missing
+    from the prediction. ``first_of_doc`` marks one row of every document.
     """
-    pred = predicted.select(doc, F.col("fields").alias("_pred"), F.lit(True).alias("extracted_doc"))
-    joined = truth.select(doc, F.col("fields").alias("_truth")).join(pred, doc, "left")
+    # Lists of names and states are nearly always made of these, so that others only are written out.
+    usual = F.array(*[F.lit("tax" if f == TAX_TOTAL else f) for f in fields])
+    states = F.array(*[F.lit(s) for s in _STATES])
+
+    def member(df: DataFrame, name: str) -> Column:
+        theirs = df.schema["fields"].dataType.elementType.names
+        return F.col("fields")[theirs[_MEMBERS.index(name)]].cast(f"array<{_MEMBERS_DDL[name]}>")
+
+    def unusual(names: Column) -> Column:
+        return F.when(names != usual, names)
+
+    status = member(predicted, "status")
+    pred = predicted.select(
+        doc, unusual(member(predicted, "field")).alias("_p_field"),
+        *[member(predicted, n).alias(f"_p_{n}") for n in _MEMBERS[1:-1]],
+        F.transform(status, lambda s: F.array_position(states, s).cast("tinyint")).alias("_p_state"),
+        F.when(F.exists(status, lambda s: ~s.isin(_STATES)), status).alias("_p_status"),
+        F.lit(True).alias("extracted_doc"),
+    )
+    if "fields" in truth.columns:
+        named = truth.select(
+            doc, unusual(member(truth, "field")).alias("_t_field"),
+            *[member(truth, n).alias(f"_t_{n}") for n in ("value", "value_num")],
+        )
+        joined = named.join(pred, doc, "left")
+        # A document without a list of values has no list of names either.
+        joined = joined.withColumn("_t_field", F.when(F.col("_t_value").isNotNull(), F.coalesce("_t_field", usual)))
+    else:
+        joined = truth.select(doc, *INVOICE_FIELDS).join(pred, doc, "left")
+        joined = joined.select(*pred.columns, *[wrap_fields(joined)[n].alias(f"_t_{n}") for n in ("field", "value", "value_num")])
+    joined = joined.withColumn("_p_field", F.coalesce("_p_field", usual))
 
     def dotted(field: Column) -> Column:
         return F.when(field == "tax", F.lit(TAX_TOTAL)).otherwise(field)
 
-    def pair(t: Column, i: Column) -> Column:
-        # Both sides normally list the fields in declared order; search only where they do not.
-        same_place = F.get("_pred", i)
-        p = F.when(same_place["field"] == t["field"], same_place).otherwise(
-            F.get(F.filter(F.col("_pred"), lambda f: f["field"] == t["field"]), F.lit(0))
-        )
-        return F.struct(
-            dotted(t["field"]).alias("field"),
-            t["value"].alias("truth"),
-            t["value_num"].alias("truth_num"),
-            (i + 1 == F.col("_first")).alias("first_of_doc"),
-            p.cast(FIELD_DDL).alias("p"),
-        )
-
-    first = F.array_position(F.transform("_truth", lambda t: dotted(t["field"]).isin(fields)), F.lit(True))
-    long = joined.withColumn("_first", first).select(
-        doc, F.coalesce("extracted_doc", F.lit(False)).alias("extracted_doc"),
-        F.inline(F.transform("_truth", pair)),
-    ).filter(F.col("field").isin(fields))
-    return scored(long)
+    first = F.array_position(F.transform("_t_field", lambda f: dotted(f).isin(fields)), F.lit(True))
+    arrays = [c for c in joined.columns if c not in (doc, "extracted_doc")]
+    placed = joined.withColumn("_first", first).select(
+        doc, F.coalesce("extracted_doc", F.lit(False)).alias("extracted_doc"), "_first", *arrays,
+        F.posexplode("_t_field").alias("_i", "_field"),
+    ).filter(dotted(F.col("_field")).isin(fields))
+    # Both sides normally list the fields in declared order; search only where they do not.
+    place = F.when(F.get("_p_field", F.col("_i")) == F.col("_field"), F.col("_i")).otherwise(
+        F.array_position("_p_field", F.col("_field")).cast("int") - 1
+    )
+    long = placed.withColumn("_at", place).select(
+        doc, "extracted_doc",
+        dotted(F.col("_field")).alias("field"),
+        F.get("_t_value", F.col("_i")).alias("truth"),
+        F.get("_t_value_num", F.col("_i")).alias("truth_num"),
+        (F.col("_i") + 1 == F.col("_first")).alias("first_of_doc"),
+        *[F.get(f"_p_{n}", F.col("_at")).alias(n) for n in _MEMBERS[1:-1]],
+        F.coalesce(F.get("_p_status", F.col("_at")), F.get(states, F.get("_p_state", F.col("_at")) - 1)).alias("status"),
+    )
+    return scored(long, field_members())
 
 
-def scored(long: DataFrame) -> DataFrame:
-    """Add the three-valued ``correct`` to a long table with ``truth``/``truth_num`` and struct ``p``."""
-    p = F.col("p")
+def scored(long: DataFrame, p: Column | dict[str, Column] | None = None) -> DataFrame:
+    """Add the three-valued ``correct`` to a long table with ``truth``/``truth_num`` and struct ``p``, or with the
+    members ``p`` as columns."""
+    p = F.col("p") if p is None else p
     correct = field_match(
         F.col("field"), effective_value(p), F.col("truth"), effective_number(p), F.col("truth_num")
     )
-    members = ["value", "value_num", "confidence", "source_location", "status"]
     return long.select(
-        *[c for c in long.columns if c != "p"], *[p[m].alias(m) for m in members],
+        *[c for c in long.columns if c not in ("p", *_MEMBERS[1:])], *[p[m].alias(m) for m in _MEMBERS[1:]],
         correct.alias("correct"),
     )
 

@@ -24,11 +24,11 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, scored): all extraction results under ``current`` and their scored long table.
 
-    ``truth`` and the results are (doc_name, fields); ``cache`` adds ``fingerprint``. A document whose
-    extraction failed yields no result and is left out of the scores, not counted as a miss.
+    ``truth`` and the results are (doc_name, fields), the truth may be plain records as well; ``cache`` adds
+    ``fingerprint``. A document whose extraction failed yields no result and is left out of the scores, not counted as a miss.
     """
     # Written at once: extraction is what the cache is there to spare, whoever reads the results.
-    split = materialised(with_cache(docs, cache, current), "work")
+    split = materialised(with_cache(docs, cache, current), "work", lean=True)
     hits = split.filter(F.col("_cached").isNotNull()).select(
         "doc_name", F.col("_cached.fields").alias("fields"), F.lit(True).alias("cached")
     )
@@ -36,7 +36,7 @@ def evaluate(
     done = extract(todo)
     if "extract_error" in done.columns:
         done = done.filter(F.col("extract_error").isNull())
-    fresh = materialised(done.select("doc_name", "fields", F.lit(False).alias("cached")), "fresh-results")
+    fresh = materialised(done.select("doc_name", "fields", F.lit(False).alias("cached")), "fresh-results", lean=True)
     results = merge_results(hits, fresh)
     scored = score_documents(truth, results).filter(F.col("extracted_doc"))
     return results, scored

@@ -190,3 +190,65 @@ def test_documents_with_different_fields_count_each(spark):
     fields = rows.select("doc_name", F.array(F.transform(F.array(field_struct("currency", F.lit("INR"))), lambda f: f.withField("field", F.col("name")))[0]).alias("fields"))
     summary = trust.corpus_summary(trust.cells(trust.score_documents(fields, fields), merge=True)).first()
     assert (summary["n_docs"], summary["n_scored_pairs"], summary["macro_accuracy"]) == (2, 2, 1.0)
+
+
+def shuffled_types(df):
+    """Types of the columns that a plan's joins and exchanges move."""
+    found, todo = [], [df._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            found += [n.output().apply(i).dataType().catalogString() for n in below for i in range(n.output().size())]
+        todo += below
+    return found
+
+
+def test_members_nobody_reads_are_not_shuffled(spark):
+    docs = documents(spark, {"1": {"vendor_name": ("Acme", 1.0)}, "2": {"vendor_name": ("Beta", 1.0)}})
+    progress = trust.doc_progress(trust.score_documents(docs, docs))
+    types = shuffled_types(progress)
+    # Neither places nor confidences, nor structs with both.
+    assert types and not [t for t in types if "struct" in t]
+    assert types.count("array<double>") == 2
+    assert {tuple(r) for r in progress.collect()} == {("1", 1, 1, 0), ("2", 1, 1, 0)}
+
+
+def test_unusual_names_and_states_are_kept(spark):
+    ddl = "doc_name string, fields array<struct<field:string,value:string,value_num:double,confidence:double,source_location:struct<page:int,bbox:array<double>>,status:string>>"
+    f = lambda name, value, status="extracted": (name, value, None, 0.5, BOX, status)
+    truth = spark.createDataFrame([
+        ("usual", [f(n, "x") for n in INVOICE_FIELDS]), ("few", [f("odd", "x"), f("currency", "x")]), ("none", None), ("empty", []),
+        ("alone", [f("currency", "x")]), (None, [f("currency", "x")]),
+    ], ddl)
+    pred = spark.createDataFrame([
+        ("usual", [f(n, "x", s) for n, s in zip(INVOICE_FIELDS, ["extracted", "abstained", "doubtful", None] * 3)]),
+        ("few", [f("currency", "x", "abstained"), None, f(None, "x"), f("currency", "y")]), ("none", [f("currency", "x")]), ("alone", None),
+        (None, [f("currency", "x")]),
+    ], ddl)
+    got = {(r["doc_name"], r["field"]): r for r in trust.score_documents(truth, pred).collect()}
+    usual = [got["usual", trust.TAX_TOTAL if n == "tax" else n] for n in INVOICE_FIELDS]
+    assert [r["status"] for r in usual] == ["extracted", "abstained", "doubtful", None] * 3
+    assert all(r["value"] == "x" and r["source_location"]["bbox"] == BOX[1] and r["extracted_doc"] for r in usual)
+    assert [r["first_of_doc"] for r in usual] == [True] + [False] * 11
+    few = got["few", "currency"]
+    assert (few["status"], few["value"], few["correct"], few["first_of_doc"]) == ("abstained", "x", False, True)
+    assert len(got) == 15
+    for doc, extracted in (("alone", True), (None, False)):
+        r = got[doc, "currency"]
+        assert (r["extracted_doc"], r["value"], r["status"], r["correct"]) == (extracted, None, None, False)
+
+
+def test_plain_records_score_as_wrapped_ones(spark):
+    ddl = """doc_name string, invoice_number string, invoice_date string, due_date string, vendor_name string, vendor_gstin string,
+        vendor_address string, buyer_name string, buyer_gstin string, currency string, subtotal double, tax struct<cgst:double,total_tax:double>, total_amount double"""
+    records = spark.createDataFrame([
+        ("1", "7", "2024-01-05", None, "Acme", None, "1 Street, X", "Buyer", "29G", "INR", 10.0, (None, 1.0), 11.0),
+        ("2", None, None, None, None, None, None, None, None, None, None, None, None),
+        ("3", "8", "2024-01-06", None, "Beta", None, "2 Street, X", "Buyer", "29G", "INR", 20.0, (None, 2.0), 22.0),
+    ], ddl)
+    wrapped = records.select("doc_name", fl.wrap_fields(records).alias("fields"))
+    pred = wrapped.filter("doc_name != '3'")
+    rows = lambda truth: sorted(map(str, trust.score_documents(truth, pred).collect()))
+    assert rows(records) == rows(wrapped) and len(rows(records)) == 36
+    assert not [t for t in shuffled_types(trust.doc_progress(trust.score_documents(records, pred))) if "struct" in t]
